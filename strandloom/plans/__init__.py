@@ -1,4 +1,4 @@
 """Queries over the shared tables."""
 
-from strandloom.plans import format_queries, kmer_queries, mapping_queries, sequence_queries  # noqa: F401
+from strandloom.plans import format_queries, kmer_queries, mapping_queries, readset_queries, sequence_queries  # noqa: F401
 from strandloom.plans.registry import ORACLES, QUERIES  # noqa: F401
