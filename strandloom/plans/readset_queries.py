@@ -6,10 +6,7 @@ classes depth 1 as copy 0, [2,5) as copy 1, [5,20) as copy 2.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from strandloom.functions import kmers as K
-from strandloom.operators import kmerset, overlaps, readset
+from strandloom.operators import assembly, kmerset, overlaps, readset
 from strandloom.plans import fixtures as fx
 from strandloom.plans import sql
 from strandloom.plans.registry import query
@@ -199,9 +196,6 @@ def clusters(spark, sf_dir):
     return overlaps.clusters(overlaps.candidates(load(spark, sf_dir)))
 
 
-STATS_READS = """n_reads, total_len, n_hit, n_miss, bad, n_copy0, n_copy1, n_copy2, n_copy3"""
-
-
 def _stats_sql() -> str:
     groups = {"0": "n_copy1=0", "1": "n_copy1=1", "more": "n_copy1>1"}
     flags = {"repeat": 1, "order10": 2, "order1": 4, "no_match": 8, "low_hit": 16, "low_copy1": 32}
@@ -246,10 +240,6 @@ from ov join h on h.read_id=ov.y where ov.is_plus group by ov.x, h.kmer)
 select least(n,19) as count_bin, least(depth,19) as depth_bin, (10*n-1)//depth as share_bin, count(*) as n_kmers from ch where info=1 group by 1,2,3""",
 )
 def consensus_hits(spark, sf_dir):
-    from strandloom.operators import assembly
-
     loaded = load(spark, sf_dir).materialized()
     return assembly.consensus_table(assembly.consensus_hits(loaded, overlaps.overlaps(loaded)))
 
-
-RESET = f"""{HITS}, {FLAGS}, core as (select t.kmer, t.depth, info as old, coalesce(is_repeat,false) as rep, t.depth between 3 and 19 as is_core from t left join f on t.kmer=f.kmer)"""
