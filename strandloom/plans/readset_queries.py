@@ -243,3 +243,31 @@ def consensus_hits(spark, sf_dir):
     loaded = load(spark, sf_dir).materialized()
     return assembly.consensus_table(assembly.consensus_hits(loaded, overlaps.overlaps(loaded)))
 
+
+
+@query(
+    "links",
+    f"""{HITS}, o as (select *, lead(kmer) over w as nk, lead(is_fwd) over w as nf, lead(pos) over w as np,
+lag(kmer) over w as bk, lag(is_fwd) over w as bf, lag(pos) over w as bp from h where info<>0 window w as (partition by read_id order by pos))
+select read_id, kmer as from_kmer, is_fwd as from_fwd, nk as to_kmer, nf as to_fwd, coalesce(np, len) as x from o
+union all select read_id, kmer, not is_fwd, bk, not bf, coalesce(len-bp, len) from o""",
+)
+def links(spark, sf_dir):
+    return assembly.links(load(spark, sf_dir)).drop("len", "to_single")
+
+
+def _walk_input(spark, sf_dir):
+    loaded = load(spark, sf_dir).materialized()
+    return loaded, assembly.cluster_seeds(loaded, overlaps.clusters(overlaps.candidates(loaded)))
+
+
+@query("assemble_walk")
+def assemble_walk(spark, sf_dir):
+    """Layouts grown from the deepest single-copy k-mer of every read cluster."""
+    return assembly.layouts(*_walk_input(spark, sf_dir))
+
+
+@query("assemble_path")
+def assemble_path(spark, sf_dir):
+    """The k-mers the layouts went through, walking against the seed's strand."""
+    return assembly.paths(*_walk_input(spark, sf_dir), forward=False)
