@@ -165,6 +165,18 @@ def jumping_minima(codes: np.ndarray, bounds: np.ndarray, k: int, w: int, factor
     return hits
 
 
+def byte_counter(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Function for ``mapInArrow``: one partial byte histogram per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.bincount(_buffers(batch.column(text))[1], minlength=256)
+            present = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array(counts[present])], ["byte", "n"])
+
+    return run
+
+
 def arrow_mapper(
     extract: Callable[..., dict[str, np.ndarray]],
     text: str,

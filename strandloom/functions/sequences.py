@@ -36,7 +36,8 @@ def convert_alphabet(seq: Column, alphabet: str) -> Column:
     """Rewrite letters by an ALPHABETS table and drop rejected characters."""
     table = ALPHABETS[alphabet]
     folded = seq if alphabet == "text" else _ascii_upper(seq)
-    return F.translate(F.regexp_replace(folded, f"[^{table['from']}]+", ""), table["from"], table["to"])
+    kept = F.regexp_replace(folded, f"[^{table['from']}]+", "")
+    return kept if table["from"] == table["to"] else F.translate(kept, table["from"], table["to"])
 
 
 def letter_codes(seq: Column, codes: dict[str, int]) -> Column:

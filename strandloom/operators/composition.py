@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strandloom.functions import kernel
 from strandloom.functions.sequences import ALPHABETS, length_bin, percent, ratio
 
 
+def byte_histogram(reads: DataFrame, seq: str = "seq") -> DataFrame:
+    """Occurrences of each byte: one partial histogram per batch, then a sum by byte."""
+    partial = reads.select(seq).mapInArrow(kernel.byte_counter(seq), "byte int, n bigint")
+    return partial.groupBy("byte").agg(F.sum("n").alias("n"))
+
+
 def base_composition(reads: DataFrame, seq: str = "seq", letters: str = ALPHABETS["text"]["from"]) -> DataFrame:
-    """Count and percentage of each letter present.
-
-    One global aggregate of per-row letter counts: no explosion to single bases.
-    """
-    counts = [F.sum(F.length(seq) - F.length(F.translate(seq, c, ""))).alias(f"c{i}") for i, c in enumerate(letters)]
-    totals = reads.agg(F.sum(F.length(seq)).alias("total"), *counts)
-    rows = F.array(*[F.struct(F.lit(c).alias("base"), F.col(f"c{i}").alias("n")) for i, c in enumerate(letters)])
-    listed = totals.select("total", F.inline(rows))
-    return listed.where("n > 0").select("base", "n", percent(F.col("n"), F.col("total")).alias("pct"))
+    """Count and percentage of each accepted letter present."""
+    accepted = byte_histogram(reads, seq).where(F.col("byte").isin(*[ord(c) for c in letters]))
+    # One row per letter is left, so the total is taken in a single task.
+    total = F.sum("n").over(W.partitionBy())
+    return accepted.select(F.char("byte").alias("base"), "n", percent(F.col("n"), total).alias("pct"))
 
 
 def quality_histogram(reads: DataFrame, qual: str = "qual") -> DataFrame:

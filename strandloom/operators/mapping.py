@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequences import bases, ratio
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
-from strandloom.session import lookup, with_ordinal
+from strandloom.session import checkpointed, lookup, with_ordinal
 
 MAX_GAP_DRIFT = 50  # allowed difference of reference and seed spans within a block
 MIN_BLOCK_SEEDS = 2  # a block is reported with more single-copy seeds than this
@@ -76,7 +76,7 @@ def seed_places(seeds: DataFrame) -> DataFrame:
 def paint(refs: DataFrame, table: DataFrame, params: SketchParams) -> DataFrame:
     """Depth in a k-mer table along each sequence."""
     hits = sampled_kmers(refs, params, emit=("kmer", "pos"))
-    found = lookup(hits, table.select("kmer", "depth"), "kmer", "depth", "read_id")
+    found = lookup(hits, checkpointed(table.select("kmer", "depth")), "kmer", "depth", "read_id")
     return found.where(F.col("depth").isNotNull()).select("read_id", "pos", "depth")
 
 

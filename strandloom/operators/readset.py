@@ -26,51 +26,56 @@ def _by_pos():
 
 @dataclass(frozen=True)
 class Readset:
-    """``reads`` (read_id, len), ``hits`` (read_id, len, kmer, is_fwd, pos, depth, info),
-    ``misses`` per read and the k-mer ``table`` with depths recounted from the reads."""
+    """``reads`` (read_id, len), all sampled ``seeds`` (read_id, len, kmer, is_fwd, pos and,
+    for k-mers of the table, depth and info) and the k-mer ``table`` with depths
+    recounted from the reads."""
 
     reads: DataFrame
-    hits: DataFrame
-    misses: DataFrame
+    seeds: DataFrame
     table: DataFrame
     params: SketchParams
 
+    @property
+    def hits(self) -> DataFrame:
+        """Seeds whose k-mer is in the table."""
+        return self.seeds.where(F.col("info").isNotNull())
+
     def materialized(self) -> "Readset":
-        """Keep the hits and the table in the checkpoint folder for several analyses."""
-        return replace(self, hits=checkpointed(self.hits), table=checkpointed(self.table))
+        """Keep the seeds in the checkpoint folder for analyses that read them several times."""
+        return replace(self, seeds=checkpointed(self.seeds))
 
 
 def load(reads: DataFrame, table: DataFrame, params: SketchParams) -> Readset:
-    """Keep each read's hits to k-mers of ``table``; depth is recounted from the reads."""
+    """Find each read's hits to k-mers of ``table``; depth is recounted from the reads.
+
+    The recounted table is checkpointed: it is far smaller than the reads and
+    every later step looks k-mers up in it.
+    """
     seeds = sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos", "len"))
     recount = sampled_kmers(reads, params, keep=(), emit=("kmer",)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     counted = table.select("kmer", "info").join(recount, "kmer", "left")
-    counted = counted.select("kmer", K.saturated(F.coalesce("n", F.lit(0))).alias("depth"), "info")
-    found = lookup(seeds, counted, "kmer", "depth", "read_id")
+    counted = checkpointed(counted.select("kmer", K.saturated(F.coalesce("n", F.lit(0))).alias("depth"), "info"))
     lengths = reads.select("read_id", F.length(bases(F.col("seq"))).cast("bigint").alias("len"))
-    return Readset(
-        reads=lengths,
-        hits=found.where(F.col("info").isNotNull()),
-        misses=found.where(F.col("info").isNull()).groupBy("read_id").agg(F.count(F.lit(1)).alias("n_miss")),
-        table=counted,
-        params=params,
-    )
+    return Readset(lengths, lookup(seeds, counted, "kmer", "depth", "read_id"), counted, params)
 
 
 def with_info(readset: Readset, table: DataFrame) -> Readset:
-    """The same hits under a reclassified k-mer ``table`` (kmer, depth, info)."""
-    bare = readset.hits.drop("depth", "info")
-    hits = lookup(bare, table.select("kmer", "depth", "info"), "kmer", "depth", "read_id")
-    return replace(readset, hits=hits.where(F.col("info").isNotNull()), table=table)
+    """The same seeds under a reclassified k-mer ``table`` (kmer, depth, info)."""
+    table = checkpointed(table.select("kmer", "depth", "info"))
+    bare = readset.seeds.drop("depth", "info")
+    return replace(readset, seeds=lookup(bare, table, "kmer", "depth", "read_id"), table=table)
 
 
 def read_summary(readset: Readset) -> DataFrame:
     """Per read: length, hits, misses and hits by copy class."""
     copy = K.copy_class(F.col("info"))
-    counts = [F.count(F.when(copy == c, 1)).alias(f"n_copy{c}") for c in range(4)]
-    per_read = readset.hits.groupBy("read_id").agg(F.count(F.lit(1)).alias("n_hit"), *counts)
-    joined = readset.reads.join(per_read, "read_id", "left").join(readset.misses, "read_id", "left")
+    per_read = readset.seeds.groupBy("read_id").agg(
+        F.count("info").alias("n_hit"),
+        F.count(F.when(F.col("info").isNull(), 1)).alias("n_miss"),
+        *[F.count(F.when(copy == c, 1)).alias(f"n_copy{c}") for c in range(4)],
+    )
     numbers = ["n_hit", "n_miss", *[f"n_copy{c}" for c in range(4)]]
+    joined = readset.reads.join(per_read, "read_id", "left")
     return joined.select("read_id", "len", *[F.coalesce(n, F.lit(0)).alias(n) for n in numbers])
 
 

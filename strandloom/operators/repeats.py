@@ -43,7 +43,7 @@ def strand_vote(
     Bad: fewer hits than that, or more than ``tolerance`` votes for both strands.
     """
     seeds = sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos"))
-    keyed = reference.select("kmer", F.col("is_fwd").alias("ref_fwd"), F.lit(1).alias("weight"))
+    keyed = checkpointed(reference.select("kmer", F.col("is_fwd").alias("ref_fwd"), F.lit(1).alias("weight")))
     found = lookup(seeds, keyed, "kmer", "weight", "read_id").where(F.col("ref_fwd").isNotNull())
     rank = F.row_number().over(W.partitionBy("read_id").orderBy("pos"))
     same = F.col("is_fwd") == F.col("ref_fwd")
@@ -66,7 +66,7 @@ def oriented_hits(reads: DataFrame, votes: DataFrame, table: DataFrame, params:
     instead of scanning the turned text.
     """
     seeds = sampled_kmers(reads, params, emit=("kmer", "pos", "len"))
-    keyed = table.select("kmer", "depth")
+    keyed = checkpointed(table.select("kmer", "depth"))
     found = lookup(seeds, keyed, "kmer", "depth", "read_id").where(F.col("depth").isNotNull())
     good = votes.where(~F.col("is_bad")).select("read_id", "is_forward")
     mirrored = (F.col("len") - params.k - F.col("pos")).cast("int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import bases, unknown_as_a
 from strandloom.params import SketchParams
+from strandloom.session import spread
 
 DEFAULT = SketchParams(19, 31, 17)
 DENSE = SketchParams(19, 5, 17)
@@ -23,16 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))
+    reads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))
+    return spread(reads, "read_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_id = F.col("conv_id") * 1000 + F.col("turn")
-    return table(spark, sf_dir, "conversations").select(read_id.alias("read_id"), F.col("text").alias("seq"))
+    reads = table(spark, sf_dir, "conversations").select(read_id.alias("read_id"), F.col("text").alias("seq"))
+    return spread(reads, "read_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("read_id"), F.col("html").alias("seq"))
+    reads = table(spark, sf_dir, "pages").select(F.col("page_id").alias("read_id"), F.col("html").alias("seq"))
+    return spread(reads, "read_id")
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

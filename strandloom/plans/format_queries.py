@@ -22,12 +22,13 @@ from strandloom.plans import sql
 from strandloom.plans.kmer_queries import COUNTS
 from strandloom.plans.registry import query
 from strandloom.plans.sequence_queries import QUALITIES
+from strandloom.session import spread
 from strandloom.sources import kmer_tables, records, sequence_files, variants
 from strandloom.sources.lines import scratch_path, write_lines
 
 
 def _named_documents(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents")
+    docs = spread(fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("read_id"),
         F.concat(F.lit("d"), F.col("doc_id")).alias("name"),

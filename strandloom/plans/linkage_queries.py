@@ -13,6 +13,7 @@ from strandloom.plans import fixtures as fx
 from strandloom.plans import sql
 from strandloom.plans.readset_queries import FLAGS, HITS, load
 from strandloom.plans.registry import query
+from strandloom.session import checkpointed
 
 CORE, MULTI, NTH, LOW, HIGH = 2, 50, 10, 3, 20
 KIND = f"case when depth>{MULTI} then 'multi' when depth>{CORE} then 'core' else 'var' end"
@@ -38,7 +39,7 @@ mi as materialized (select mk.kmer, depth, info | case when inf.kmer is not null
 
 def _flagged(spark, sf_dir):
     """Readset with repeat, internal and minor bits set."""
-    loaded = load(spark, sf_dir)
+    loaded = load(spark, sf_dir).materialized()
     return readset.with_info(loaded, readset.apply_flags(loaded.table, readset.kmer_flags(loaded))).materialized()
 
 
@@ -47,7 +48,7 @@ def _marks(spark, sf_dir, loaded):
 
 
 def _inferred(spark, sf_dir, loaded):
-    marks = _marks(spark, sf_dir, loaded)
+    marks = checkpointed(_marks(spark, sf_dir, loaded))
     return linkage.infer_positions(marks, linkage.covered_hits(loaded, marks, NTH), CORE, MULTI)
 
 
@@ -114,7 +115,7 @@ tp as materialized (select gd.anchor, gd.anchor_depth, gd.mod, gd.mod_depth, gd.
 
 def _testable(spark, sf_dir):
     loaded = _flagged(spark, sf_dir)
-    marks = _inferred(spark, sf_dir, loaded)
+    marks = checkpointed(_inferred(spark, sf_dir, loaded))
     return readset.with_info(loaded, marks), marks
 
 

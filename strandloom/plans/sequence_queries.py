@@ -185,8 +185,19 @@ def every_kth(spark, sf_dir):
 select base, count(*) as n, count(*)*100.0::double/sum(count(*)) over () as pct from b where base<>'' group by base""",
 )
 def base_composition(spark, sf_dir):
-    reads = fx.documents(spark, sf_dir).select(S.convert_alphabet(F.col("seq"), "text").alias("seq"))
-    return composition.base_composition(reads)
+    return composition.base_composition(fx.documents(spark, sf_dir))
+
+
+@query(
+    "byte_histogram",
+    """with t as (select hex(encode(html)) as h from pages union all select hex(encode(text)) from documents),
+c as (select unnest(list_transform(range(0,length(h)//2), lambda i: substr(h, 2*i+1, 2))) as b from t)
+select ((position(b[1] in '0123456789ABCDEF')-1)*16+position(b[2] in '0123456789ABCDEF')-1)::integer as byte, count(*) as n
+from c group by 1""",
+)
+def byte_histogram(spark, sf_dir):
+    """All bytes of the pages and the documents."""
+    return composition.byte_histogram(fx.pages(spark, sf_dir).unionByName(fx.documents(spark, sf_dir)))
 
 
 @query(

@@ -45,6 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash partition a table that is stored in fewer splits than there are cores.
+
+    Tables with enough splits, which any large one has, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Range partition by ``order`` and pin partition number and row position.
 
