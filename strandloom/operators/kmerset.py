@@ -131,6 +131,12 @@ def merge(left: DataFrame, right: DataFrame, left_params: SketchParams, right_pa
     return merged.select("kmer", "depth", info.alias("info"))
 
 
+def add_counts(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """Count more reads into a table: depths add up and saturate, known k-mers keep their info."""
+    both = table.select("kmer", "depth", "info").unionByName(counts.select("kmer", "depth", F.lit(0).alias("info")))
+    return both.groupBy("kmer").agg(K.saturated(F.sum("depth")).alias("depth"), F.max("info").alias("info"))
+
+
 def compare_depths(table: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
     """Depth of every k-mer of ``table`` in each other table, 0 where absent."""
     base = table.select("kmer", K.copy_class(F.col("info")).alias("copy"), "depth")

@@ -99,6 +99,22 @@ def infer_positions(
     )
 
 
+def hit_text(readset: Readset, marks: DataFrame) -> DataFrame:
+    """Each hit in words: k-mer, strand, depth, copy class, position (P in the reference, p inferred)."""
+    placed = marks.select("kmer", "depth", F.col("info").alias("mark_info"), "in_ref", "ref_pos")
+    hits = lookup(readset.hits.select("read_id", "pos", "kmer", "is_fwd"), placed, "kmer", "depth", "read_id")
+    text = F.format_string(
+        "%d %s d %d C%d %s %d",
+        "kmer",
+        F.when(F.col("is_fwd"), "F").otherwise("R"),
+        "depth",
+        K.copy_class(F.col("mark_info")),
+        F.when(F.col("in_ref"), "P").otherwise("p"),
+        F.coalesce("ref_pos", F.lit(0)),
+    )
+    return hits.select("read_id", "pos", text.alias("text"))
+
+
 def mark_summary(marks: DataFrame) -> DataFrame:
     """Counts of marked k-mers by reference membership, kind and copy class."""
     copied = K.copy_class(F.col("info")) > 0

@@ -77,6 +77,16 @@ def ref_flag_summary(spark, sf_dir):
     return linkage.mark_summary(_inferred(spark, sf_dir, _flagged(spark, sf_dir)))
 
 
+@query(
+    "hit_text",
+    f"""{INFERRED} select h.read_id, h.pos, mi.kmer||' '||case when h.is_fwd then 'F' else 'R' end||' d '||mi.depth||' C'||(mi.info&3)
+||case when in_ref then ' P ' else ' p ' end||coalesce(ref_pos,0) as text from h join mi on h.kmer=mi.kmer""",
+)
+def hit_text(spark, sf_dir):
+    loaded = _flagged(spark, sf_dir)
+    return linkage.hit_text(loaded, checkpointed(_inferred(spark, sf_dir, loaded)))
+
+
 RESET = f"{INFERRED} select kmer, (info&252) | case when coalesce(kind='core',false) {{0}} then 1 else 0 end as info from mi"
 
 
