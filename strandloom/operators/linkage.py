@@ -42,7 +42,7 @@ def mark_reference(readset: Readset, refs: DataFrame, core: int = CORE_DEPTH, mu
 def _marked_hits(readset: Readset, marks: DataFrame) -> DataFrame:
     bare = readset.hits.select("read_id", "kmer", "pos")
     keyed = marks.select("kmer", "depth", "in_ref", "kind", "ref_pos")
-    return lookup(bare, keyed, "kmer", "depth", "read_id")
+    return lookup(bare, keyed, "kmer", "read_id")
 
 
 def covered_hits(readset: Readset, marks: DataFrame, n: int = 200) -> DataFrame:
@@ -102,7 +102,7 @@ def infer_positions(
 def hit_text(readset: Readset, marks: DataFrame) -> DataFrame:
     """Each hit in words: k-mer, strand, depth, copy class, position (P in the reference, p inferred)."""
     placed = marks.select("kmer", "depth", F.col("info").alias("mark_info"), "in_ref", "ref_pos")
-    hits = lookup(readset.hits.select("read_id", "pos", "kmer", "is_fwd"), placed, "kmer", "depth", "read_id")
+    hits = lookup(readset.hits.select("read_id", "pos", "kmer", "is_fwd"), placed, "kmer", "read_id")
     text = F.format_string(
         "%d %s d %d C%d %s %d",
         "kmer",

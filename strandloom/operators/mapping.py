@@ -42,7 +42,7 @@ def copy_class_counts(ref_kmers: DataFrame) -> DataFrame:
 def query_seeds(queries: DataFrame, ref_kmers: DataFrame, params: SketchParams) -> DataFrame:
     """All sampled k-mers of each query with copy class and places (NULL when missing)."""
     hits = sampled_kmers(queries, params, emit=("ord", "kmer", "is_fwd", "pos"))
-    return lookup(hits, ref_kmers, "kmer", "depth", "read_id")
+    return lookup(hits, ref_kmers, "kmer", "read_id")
 
 
 def query_summary(queries: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def seed_places(seeds: DataFrame) -> DataFrame:
 def paint(refs: DataFrame, table: DataFrame, params: SketchParams) -> DataFrame:
     """Depth in a k-mer table along each sequence."""
     hits = sampled_kmers(refs, params, emit=("kmer", "pos"))
-    found = lookup(hits, checkpointed(table.select("kmer", "depth")), "kmer", "depth", "read_id")
+    found = lookup(hits, checkpointed(table.select("kmer", "depth")), "kmer", "read_id")
     return found.where(F.col("depth").isNotNull()).select("read_id", "pos", "depth")
 
 

@@ -228,7 +228,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
         """Attach to each (u, v) the least id around u (u included)."""
         least = neighbours.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         least = least.select("u", F.least("m", "u").alias("m"), "degree")
-        return lookup(edges, least, "u", "degree", "v")
+        return lookup(edges, least, "u", "v", weight="degree")
 
     def both_ways(edges: DataFrame) -> DataFrame:
         return edges.unionByName(edges.select(v.alias("u"), u.alias("v")))

@@ -54,16 +54,18 @@ def load(reads: DataFrame, table: DataFrame, params: SketchParams) -> Readset:
     seeds = sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos", "len"))
     recount = sampled_kmers(reads, params, keep=(), emit=("kmer",)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     counted = table.select("kmer", "info").join(recount, "kmer", "left")
-    counted = checkpointed(counted.select("kmer", K.saturated(F.coalesce("n", F.lit(0))).alias("depth"), "info"))
+    found = F.coalesce("n", F.lit(0))
+    counted = checkpointed(counted.select("kmer", K.saturated(found).alias("depth"), "info", found.alias("_weight")))
     lengths = reads.select("read_id", F.length(bases(F.col("seq"))).cast("bigint").alias("len"))
-    return Readset(lengths, lookup(seeds, counted, "kmer", "depth", "read_id"), counted, params)
+    placed = lookup(seeds, counted, "kmer", "read_id", weight="_weight")
+    return Readset(lengths, placed, counted.drop("_weight"), params)
 
 
 def with_info(readset: Readset, table: DataFrame) -> Readset:
     """The same seeds under a reclassified k-mer ``table`` (kmer, depth, info)."""
     table = checkpointed(table.select("kmer", "depth", "info"))
     bare = readset.seeds.drop("depth", "info")
-    return replace(readset, seeds=lookup(bare, table, "kmer", "depth", "read_id"), table=table)
+    return replace(readset, seeds=lookup(bare, table, "kmer", "read_id"), table=table)
 
 
 def read_summary(readset: Readset) -> DataFrame:

@@ -43,8 +43,8 @@ def strand_vote(
     Bad: fewer hits than that, or more than ``tolerance`` votes for both strands.
     """
     seeds = sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos"))
-    keyed = checkpointed(reference.select("kmer", F.col("is_fwd").alias("ref_fwd"), F.lit(1).alias("weight")))
-    found = lookup(seeds, keyed, "kmer", "weight", "read_id").where(F.col("ref_fwd").isNotNull())
+    keyed = checkpointed(reference.select("kmer", F.col("is_fwd").alias("ref_fwd")))
+    found = lookup(seeds, keyed, "kmer", "read_id").where(F.col("ref_fwd").isNotNull())
     rank = F.row_number().over(W.partitionBy("read_id").orderBy("pos"))
     same = F.col("is_fwd") == F.col("ref_fwd")
     votes = found.withColumn("rank", rank).where(F.col("rank") <= first).groupBy("read_id").agg(
@@ -67,7 +67,7 @@ def oriented_hits(reads: DataFrame, votes: DataFrame, table: DataFrame, params:
     """
     seeds = sampled_kmers(reads, params, emit=("kmer", "pos", "len"))
     keyed = checkpointed(table.select("kmer", "depth"))
-    found = lookup(seeds, keyed, "kmer", "depth", "read_id").where(F.col("depth").isNotNull())
+    found = lookup(seeds, keyed, "kmer", "read_id").where(F.col("depth").isNotNull())
     good = votes.where(~F.col("is_bad")).select("read_id", "is_forward")
     mirrored = (F.col("len") - params.k - F.col("pos")).cast("int")
     return found.join(good, "read_id").select(
@@ -85,7 +85,7 @@ def usable_mods(mods: DataFrame, n_reads: int) -> DataFrame:
 
 
 def keep_mods(hits: DataFrame, mods: DataFrame) -> DataFrame:
-    found = lookup(hits, mods.select("kmer", "n"), "kmer", "n", "read_id")
+    found = lookup(hits, mods.select("kmer", "n"), "kmer", "read_id", weight="n")
     return found.where(F.col("n").isNotNull()).select("read_id", "kmer", "x")
 
 
@@ -226,7 +226,7 @@ def duplicate_summary(votes: DataFrame, hits: DataFrame, table: DataFrame) -> Da
     per_read = hits.groupBy("kmer", "read_id").agg(F.count(F.lit(1)).alias("n"))
     per_kmer = per_read.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("n_dup"))
     single = per_kmer.where("n_dup = 0").select("kmer", "n")
-    deepest = lookup(hits.select("read_id", "kmer"), single, "kmer", "n", "read_id").groupBy("read_id").agg(F.max("n").alias("deep"))
+    deepest = lookup(hits.select("read_id", "kmer"), single, "kmer", "read_id", weight="n").groupBy("read_id").agg(F.max("n").alias("deep"))
 
     def metrics(frame: DataFrame, **values) -> DataFrame:
         one = frame.agg(*[v.cast("double").alias(n) for n, v in values.items()])

@@ -115,24 +115,31 @@ def with_previous(df: DataFrame, order: Sequence[str | Column], columns: Sequenc
     return joined.select(*df.columns, *previous)
 
 
-def lookup(facts: DataFrame, keyed: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+def lookup(facts: DataFrame, keyed: DataFrame, key: str, spread_by: str, weight: str | None = None) -> DataFrame:
     """Left join ``facts`` to ``keyed`` (one row per non-negative integer ``key``).
 
-    ``weight`` is the number of facts each key is expected to match. The
-    HOT_KEYS heaviest keys are joined map-side from a table of at most that many
-    rows; their facts then leave the shuffle join under negative keys made from
-    ``spread``, so no reducer receives a hot key. Facts stay whole: the two
-    results are coalesced column by column.
+    The HOT_KEYS keys with most facts are joined map-side from a table of at most
+    that many rows; their facts then enter the shuffle join under negative keys
+    made from ``spread_by``, which match nothing, so no reducer receives a hot
+    key. Facts stay whole: the two results are coalesced column by column.
+
+    ``weight`` names a column of ``keyed`` that already holds the number of facts
+    per key (not saturated; ``_weight`` is left out of the result); without it the facts are counted first (combined map-side).
     """
-    payload = [c for c in keyed.columns if c != key]
-    hot = keyed.orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    payload = [c for c in keyed.columns if c not in (key, "_weight")]
+    if weight is None:
+        counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_weight"))
+        weighted, weight = keyed.join(counts, key), "_weight"
+    else:
+        weighted = keyed
+    hot = weighted.orderBy(F.desc(weight), key).limit(HOT_KEYS)
     hot = hot.select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
     cold = keyed.select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in payload])
     is_hot = F.col("_hot_key").isNotNull()
-    probe = F.when(is_hot, F.lit(-1) - F.pmod(F.xxhash64(spread), F.lit(1 << 20))).otherwise(F.col(key))
+    scattered = F.lit(-1) - F.pmod(F.xxhash64(spread_by), F.lit(1 << 20))
     return (
         facts.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_probe", probe)
+        .withColumn("_probe", F.when(is_hot, scattered).otherwise(F.col(key)))
         .join(cold, F.col("_probe") == F.col("_cold_key"), "left")
         .select(
             *facts.columns,

@@ -32,8 +32,12 @@ def test_lookup_with_hot_keys(spark, monkeypatch):
     facts = [(i, 7 if i % 3 == 0 else rng.randrange(20)) for i in range(900)]
     keyed = [(k, sum(f[1] == k for f in facts), f"k{k}" if k % 2 else None) for k in range(15)]
     found = session.lookup(
-        spark.createDataFrame(facts, "i long, k long"), spark.createDataFrame(keyed, "k long, n long, name string"), "k", "n", "i"
+        spark.createDataFrame(facts, "i long, k long"), spark.createDataFrame(keyed, "k long, n long, name string"), "k", "i", weight="n"
     )
+    counted = session.lookup(
+        spark.createDataFrame(facts, "i long, k long"), spark.createDataFrame(keyed, "k long, n long, name string"), "k", "i"
+    )
+    assert sorted(counted.collect()) == sorted(found.collect())
     info = {k: (n, name) for k, n, name in keyed}
     assert sorted((r.i, r.k, r.n, r.name) for r in found.collect()) == [(i, k, *info.get(k, (None, None))) for i, k in facts]
 
