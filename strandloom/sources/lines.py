@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from strandloom.session import shared_folder, with_ordinal
+from strandloom.session import checkpointed, shared_folder
 
 ORDER = ("_file", "_block", "_line")
 
@@ -27,10 +28,26 @@ def read_lines(spark: SparkSession, path: str, separator: str | None = None) ->
     )
 
 
+def number(lines: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Number lines in file order (files by path) without moving them.
+
+    Lines of one split sit together in one scan partition, so a line's rank in its
+    split is a difference of row positions, and only one row per split (count and
+    first position) is gathered and broadcast. Lines left out beforehand must not
+    lie between kept ones of the same split.
+    """
+    splits = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_first"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.lit(start)
+    offsets = checkpointed(splits.select("_file", "_block", "_first", offset.alias("_offset")))
+    placed = lines.join(F.broadcast(offsets), ["_file", "_block"])
+    rank = F.col("_line") - F.col("_first")
+    return placed.select((F.col("_offset") + rank).alias(name), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str, separator: str | None = None, start: int = 0) -> DataFrame:
-    """``line_no`` in file order (files by path) and ``value``."""
-    lines = with_ordinal(read_lines(spark, path, separator), ORDER, "line_no", start)
-    return lines.select("line_no", "value")
+    """``line_no`` in file order and ``value``."""
+    return number(read_lines(spark, path, separator), "line_no", start)
 
 
 def write_lines(lines: DataFrame, order: list[str], path: str, gzip: bool = False) -> None:

@@ -15,8 +15,7 @@ from strandloom.functions.sequences import (
     quality_text,
     quality_values,
 )
-from strandloom.session import with_ordinal
-from strandloom.sources.lines import ORDER, head_lines, numbered_lines, read_lines, write_lines
+from strandloom.sources.lines import head_lines, number, numbered_lines, read_lines, write_lines
 
 # SAM header record types and the flag bit of a reverse-strand record.
 SAM_HEADERS = ("@HD", "@SQ", "@RG", "@PG", "@CO")
@@ -47,7 +46,7 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 def read_fasta(spark: SparkSession, path: str, alphabet: str = "text") -> DataFrame:
     """Records are split at line starts with '>', so a file is read in parallel."""
-    records = with_ordinal(read_lines(spark, path, "\n>"), ORDER, "read_id", start=1)
+    records = number(read_lines(spark, path, "\n>"), "read_id", start=1)
     text = F.regexp_replace("value", "^>", "")
     header = F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "")
     body = F.when(F.instr(text, "\n") > 0, F.substring(text, F.instr(text, "\n") + 1, F.length(text))).otherwise("")
@@ -78,8 +77,9 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM text; reverse-strand records are turned back to read orientation."""
+    # Header lines only open a file, so the others stay contiguous.
     lines = read_lines(spark, path).where(~F.col("value").rlike(r"^@[A-Z][A-Z]\t"))
-    ordered = with_ordinal(lines, ORDER, "read_id", start=1)
+    ordered = number(lines, "read_id", start=1)
     field = F.split("value", "\t")
     fields = ordered.select(
         "read_id",

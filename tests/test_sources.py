@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,23 @@ def test_sites_and_samples(spark, tmp_path):
     (tmp_path / "n.rec").write_text(smp + "N 1 a\nF 3 a.x\nN 1 a\n")
     with pytest.raises(Exception, match="duplicate sample"):
         variants.read_samples(spark, str(tmp_path / "n.rec")).collect()
+
+
+def test_numbering_across_splits(spark, tmp_path):
+    """Small splits cut files anywhere; ids still follow file order."""
+    rng = random.Random(3)
+    want = []
+    for n in range(3):
+        rows = [(f"f{n}_{i}", "ACGT"[i % 4] * rng.randrange(1, 90)) for i in range(60)]
+        (tmp_path / f"p{n}.fa").write_text("".join(f">{name}\n{seq}\n" for name, seq in rows))
+        want += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        frame = sequence_files.read_fasta(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 6
+        got = [(r.read_id, r.name, r.seq) for r in frame.orderBy("read_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i + 1, name, seq) for i, (name, seq) in enumerate(want)]
