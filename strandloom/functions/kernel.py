@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -177,6 +178,37 @@ def byte_counter(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def split_counter(counted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Function for ``mapInArrow``: running totals of the ``counted`` columns within each
+    file split (_file, _block), carried from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, carried = None, [0] * len(counted)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            file, block = batch.column("_file"), batch.column("_block")
+            changed = np.ones(batch.num_rows, bool)
+            changed[0] = split != (file[0].as_py(), block[0].as_py())
+            for column in (file, block):
+                same = pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+                changed[1:] = same if column is file else changed[1:] & same
+            changed[1:] = ~changed[1:]
+            segment = np.cumsum(changed)  # 0: still the previous batch's split
+            starts = np.flatnonzero(changed)
+            arrays = {name: batch.column(name) for name in batch.schema.names}
+            for i, name in enumerate(counted):
+                total = np.cumsum(batch.column(name).to_numpy())
+                base = np.concatenate(([-carried[i]], np.concatenate(([0], total))[starts]))
+                running = total - base[segment]
+                carried[i] = int(running[-1])
+                arrays[name] = pa.array(running)
+            split = (file[-1].as_py(), block[-1].as_py())
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+    return run
+
+
 def arrow_mapper(
     extract: Callable[..., dict[str, np.ndarray]],
     text: str,

@@ -1,8 +1,8 @@
 """Cluster-safe building blocks shared by every operator.
 
 * ``checkpointed`` cuts lineage in the shared checkpoint folder.
-* ``with_ordinal`` / ``running_sums`` / ``with_previous`` number, accumulate or
-  compare rows in a global order without pulling the table into one task.
+* ``with_ordinal`` / ``with_previous`` number or compare rows in a global order
+  without pulling the table into one task.
 * ``lookup`` joins a fact table to a keyed table when one key may hold a large
   share of the facts.
 """
@@ -82,21 +82,6 @@ def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str, start:
     return tagged.withColumn(name, F.col("_offset") + within + F.lit(start)).drop("_part", "_row", "_offset")
 
 
-def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
-    """Inclusive running totals in ``order`` over the whole table, one new column each."""
-    valued = df.select("*", *[value.cast("bigint").alias(f"_v_{name}") for name, value in sums.items()])
-    tagged = _ordered(valued, order)
-    totals = tagged.groupBy("_part").agg(*[F.sum(f"_v_{name}").alias(f"_v_{name}") for name in sums])
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_part", *[F.coalesce(F.sum(f"_v_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums]
-    )
-    within = W.partitionBy("_part").orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
-    joined = tagged.join(F.broadcast(offsets), "_part")
-    added = [(F.col(f"_o_{name}") + F.sum(f"_v_{name}").over(within)).alias(name) for name in sums]
-    return joined.select(*df.columns, *added)
-
-
 def with_previous(df: DataFrame, order: Sequence[str | Column], columns: Sequence[str]) -> DataFrame:
     """Add ``prev_<column>`` from the row before in ``order`` over the whole table (NULL first).
 

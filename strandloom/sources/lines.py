@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strandloom.functions import kernel
 from strandloom.session import checkpointed, shared_folder
 
 ORDER = ("_file", "_block", "_line")
@@ -45,6 +46,23 @@ def number(lines: DataFrame, name: str, start: int = 0) -> DataFrame:
     return placed.select((F.col("_offset") + rank).alias(name), "value")
 
 
+def running_counts(lines: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """Running totals in file order, one new column each, without moving the lines.
+
+    Totals within a split come from one ordered pass over its scan partition; one
+    row per split then adds what lies before it.
+    """
+    valued = lines.select("value", "_file", "_block", *[c.cast("bigint").alias(n) for n, c in counts.items()])
+    splits = valued.groupBy("_file", "_block").agg(*[F.sum(n).alias(n) for n in counts])
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select(
+        "_file", "_block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in counts]
+    )
+    within = valued.mapInArrow(kernel.split_counter(list(counts)), valued.schema)
+    placed = within.join(F.broadcast(checkpointed(offsets)), ["_file", "_block"])
+    return placed.select("value", *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in counts])
+
+
 def numbered_lines(spark: SparkSession, path: str, separator: str | None = None, start: int = 0) -> DataFrame:
     """``line_no`` in file order and ``value``."""
     return number(read_lines(spark, path, separator), "line_no", start)

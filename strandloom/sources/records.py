@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.sequences import quality_text, quality_values
-from strandloom.session import running_sums
-from strandloom.sources.lines import ORDER, head_lines, read_lines, write_lines
+from strandloom.sources.lines import head_lines, read_lines, running_counts, write_lines
 
 # Field type names, format version and header line marks.
 FIELD_TYPES = {
@@ -150,7 +149,7 @@ def read_records(spark: SparkSession, path: str, schema: RecordSchema | None = N
         "object_id": (kind == F.lit(opened)).cast("int") if opened else F.lit(0),
         "group_id": (kind == F.lit(grouped)).cast("int") if grouped else F.lit(0),
     }
-    numbered = running_sums(data, ORDER, sums)
+    numbered = running_counts(data, sums)
     return numbered.select("line_no", F.substring("value", 1, 1).alias("line_type"), "value", "object_id", "group_id")
 
 

@@ -12,16 +12,10 @@ def _rows(spark, n=500):
     return spark.createDataFrame(values, "i long, v int, s string"), sorted(values)
 
 
-def test_ordinal_sum_and_previous(spark):
+def test_ordinal_and_previous(spark):
     frame, rows = _rows(spark)
     got = {r.i: r.n for r in session.with_ordinal(frame, [F.desc("i")], "n", start=1).collect()}
     assert got == {i: 500 - i for i in range(500)}
-    sums = session.running_sums(frame, ["i"], {"a": F.col("v"), "b": F.lit(1)}).collect()
-    total, want = 0, {}
-    for n, (i, v, _) in enumerate(rows):
-        total += v
-        want[i] = (total, n + 1)
-    assert {r.i: (r.a, r.b) for r in sums} == want
     previous = {r.i: (r.prev_v, r.prev_s) for r in session.with_previous(frame, ["i"], ["v", "s"]).collect()}
     assert previous == {i: (rows[i - 1][1:] if i else (None, None)) for i in range(500)}
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.sources.lines import read_lines, running_counts
 from strandloom.sources import kmer_tables, records, sequence_files, variants
 from strandloom.params import SketchParams
 
@@ -144,3 +145,24 @@ def test_numbering_across_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == [(i + 1, name, seq) for i, (name, seq) in enumerate(want)]
+
+
+def test_running_counts_across_splits_and_batches(spark, tmp_path):
+    rng, want, total = random.Random(9), [], [0, 0]
+    for n in range(3):
+        rows = [rng.choice("AB") + " " * rng.randrange(40) + f"{n}_{i}" for i in range(300)]
+        (tmp_path / f"p{n}.txt").write_text("\n".join(rows) + "\n")
+        for row in rows:
+            total = [total[0] + 1, total[1] + (row[0] == "A")]
+            want.append((row, *total))
+    settings = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "64", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        frame = running_counts(lines, {"a": F.lit(1), "b": (F.substring("value", 1, 1) == "A").cast("int")})
+        got = [tuple(r) for r in frame.orderBy("a").collect()]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert got == want
