@@ -39,26 +39,25 @@ def maybe_member(df: DataFrame, keys: DataFrame, on: Sequence[str], bits: int =
     rows and broadcast; nothing is shuffled on the side of ``df``.
     """
     slot = F.pmod(F.xxhash64(*on), F.lit(bits))
-    word, bit = F.shiftright(slot, 6), F.shiftleft(F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
     words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     marked = df.withColumns({"_probe": word, "_own": bit}).join(F.broadcast(words), F.col("_probe") == F.col("_word"), "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_own")) != 0, F.lit(False))
     return marked.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias("_maybe"))
 
 
-def without(df: DataFrame, drop: DataFrame, on: Sequence[str], once: bool = False) -> DataFrame:
+def without(df: DataFrame, drop: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key ``on`` is not in ``drop``; null keys equal each other.
 
     Only rows that the bitmap of ``drop`` lets through are shuffled; the others,
-    with their texts, stay where they are. ``once`` also leaves a single row of
-    each key among those that were shuffled, for keys that ``drop`` holds.
+    with their texts, stay where they are.
     """
     marked = maybe_member(df, drop, on)
     stay = marked.where(~F.col("_maybe")).drop("_maybe")
     gone = drop.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct()
     match = [F.col(f"`{c}`").eqNullSafe(F.col(f"_gone_{c}")) for c in on]
     check = marked.where("_maybe").drop("_maybe").join(gone, match, "left_anti")
-    return stay.unionByName(check.dropDuplicates(list(on)) if once else check)
+    return stay.unionByName(check)
 
 
 def components(edges: DataFrame) -> DataFrame:

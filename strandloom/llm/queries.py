@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from strandloom.llm import exact_dedup
+from strandloom.llm.exact_dedup import op1_exact_dedup
 from strandloom.llm.simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op9_simhash": op9_simhash}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
