@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from strandloom.llm import exact_dedup
 from strandloom.llm.exact_dedup import op1_exact_dedup
+from strandloom.llm.packing import op7_packing
 from strandloom.llm.simhash import op9_simhash
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op9_simhash": op9_simhash}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_packing": op7_packing, "op9_simhash": op9_simhash}
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
