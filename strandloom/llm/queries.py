@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from strandloom.llm import exact_dedup
 from strandloom.llm.exact_dedup import op1_exact_dedup
+from strandloom.llm.language import op6_language
 from strandloom.llm.packing import op7_packing
 from strandloom.llm.simhash import op9_simhash
+from strandloom.llm.toxicity import op10_toxicity
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_packing": op7_packing, "op9_simhash": op9_simhash}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op6_language": op6_language,
+    "op7_packing": op7_packing,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
