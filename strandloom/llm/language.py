@@ -32,6 +32,7 @@ FILTERS, EMBEDDING = 16, 8
 # Labelled documents per language, and windows of each, that the network is fitted on.
 SAMPLE, WINDOWS = 400, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.005
+SLICES = 64
 # Bytes of text scored at once.
 AT_ONCE = 1_000_000
 SEED = 11
@@ -144,8 +145,10 @@ class Scorer:
 def fitted(docs: DataFrame, per_language: int = SAMPLE) -> Scorer | None:
     """Train on up to ``per_language`` documents of each language, in the order of a hash of their id; None without any."""
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(~held_out(F.col("doc_id"))).withColumn("_place", place).where(F.col("_place") <= per_language)
+    chosen = known.where(~held_out(F.col("doc_id"))).withColumn("_slice", F.pmod(F.hash("doc_id"), F.lit(SLICES)))
+    for keys in (["lang", "_slice"], ["lang"]):  # a language held by most rows is thinned in slices first
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("_place", place).where(F.col("_place") <= per_language)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.col("lang").cast("string").alias("_own"), F.col("text").cast("string").alias("_text"))
     rows = texts.join(F.broadcast(chosen), (F.col("_doc") == F.col("_id")) & (F.col("_own") == F.col("_lang"))).where(F.col("_text").rlike(r"\p{L}"))
