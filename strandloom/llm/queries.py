@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from strandloom.llm import exact_dedup
+from strandloom.llm import chat, exact_dedup, secrets, url_lists
+from strandloom.llm.chat import op2_chat
 from strandloom.llm.exact_dedup import op1_exact_dedup
 from strandloom.llm.language import op6_language
 from strandloom.llm.packing import op7_packing
+from strandloom.llm.secrets import op4_secrets
 from strandloom.llm.simhash import op9_simhash
+from strandloom.llm.spotsigs import op5_spotsigs
 from strandloom.llm.toxicity import op10_toxicity
+from strandloom.llm.url_lists import op3_url_lists
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_chat": op2_chat,
+    "op3_url_lists": op3_url_lists,
+    "op4_secrets": op4_secrets,
+    "op5_spotsigs": op5_spotsigs,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op2_chat": chat.SQL,
+    "op3_url_lists": url_lists.SQL,
+    "op4_secrets": secrets.SQL,
+}
