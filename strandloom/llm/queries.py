@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from strandloom.llm import chat, exact_dedup, secrets, url_lists
 from strandloom.llm.chat import op2_chat
 from strandloom.llm.exact_dedup import op1_exact_dedup
 from strandloom.llm.language import op6_language
+from strandloom.llm.mixing import op8_mixing
 from strandloom.llm.packing import op7_packing
 from strandloom.llm.secrets import op4_secrets
 from strandloom.llm.simhash import op9_simhash
@@ -21,8 +23,10 @@ QUERIES = {
     "op5_spotsigs": op5_spotsigs,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
