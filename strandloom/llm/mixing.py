@@ -64,23 +64,24 @@ def telling_words(docs: DataFrame, domains: DataFrame, names: list[str]) -> dict
     return found
 
 
-def features(text: Column, vocabulary: dict[str, list[str]]) -> dict[str, Column]:
-    """Numbers that describe a text; 0 for empty ones."""
-    n = F.greatest(F.char_length(text), F.lit(1))
-    words = _words(text)
-    tokens = F.greatest(F.size(words), F.lit(1))
-    distinct = F.array_distinct(words)
+def described(rows: DataFrame, vocabulary: dict[str, list[str]], keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns ``keep`` of rows with ``_text``, ``_tokens``, and numbers that describe the text; also the numbers' names.
+
+    Every array that several numbers need is a column of its own first, so that it is made once.
+    """
+    words = rows.select(*keep, "_text", _words(F.col("_text")).alias("_words"))
+    words = words.select("*", F.array_distinct("_words").alias("_distinct"), F.greatest(F.char_length("_text"), F.lit(1)).alias("_n"), F.greatest(F.size("_words"), F.lit(1)).alias("_size"))
     found = {
-        "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / n,
-        "signs": F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / n,
-        "variety": F.size(distinct) / tokens,
-        "word_length": F.char_length(text) / tokens,
-        "length": F.log2(tokens),
+        "_capitals": F.regexp_count("_text", F.lit(r"\p{Lu}")) / F.col("_n"),
+        "_signs": F.regexp_count("_text", F.lit(r"[^\p{L}\p{N}\s.,]")) / F.col("_n"),
+        "_variety": F.size("_distinct") / F.col("_size"),
+        "_word_length": F.char_length("_text") / F.col("_size"),
+        "_length": F.log2("_size"),
     }
     for i, name in enumerate(sorted(vocabulary)):
         if vocabulary[name]:
-            found[f"told{i}"] = F.size(F.array_intersect(distinct, F.array(*map(F.lit, vocabulary[name])))).cast("double")
-    return found
+            found[f"_told{i}"] = F.size(F.array_intersect("_distinct", F.array(*map(F.lit, vocabulary[name])))).cast("double")
+    return words.select(*keep, F.size("_words").cast("bigint").alias("_tokens"), *[v.alias(k) for k, v in found.items()]), list(found)
 
 
 class Mixture:
@@ -90,37 +91,43 @@ class Mixture:
         self.vocabulary, self.bounds, self.names, self.logs, self.prior = vocabulary, bounds, names, logs, prior
         self.gradients: list[list[float]] = []
 
-    def bins(self, values: dict[str, Column]) -> dict[str, Column]:
-        """Number of bounds up to the value."""
-        return {k: sum(((v >= b).cast("int") for b in self.bounds[k]), F.lit(0)).alias(k) for k, v in values.items()}
-
-    def posteriors(self) -> list[Column]:
-        """Posterior of each domain from the bins' columns."""
+    def classified(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns ``keep`` and ``_p``, the posteriors of the domains, from rows with the numbers."""
+        binned = rows.select(*keep, *self.bins())
         scores = []
         for d in range(len(self.names)):
             tables = [F.element_at(F.array(*map(F.lit, self.logs[k][d])), F.col(k) + 1) for k in self.bounds]
             scores.append(sum(tables, F.lit(self.prior[d])))
-        top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        powers = [F.exp(s - top) for s in scores]
-        return [p / sum(powers[1:], powers[0]) for p in powers]
+        scored = binned.select(*keep, F.array(*scores).alias("_s"))
+        powers = scored.select(*keep, F.transform("_s", lambda s: F.exp(s - F.array_max("_s"))).alias("_e"))
+        total = F.aggregate("_e", F.lit(0.0), lambda x, e: x + e)
+        return powers.select(*keep, "_e", total.alias("_total")).select(*keep, F.transform("_e", lambda e: e / F.col("_total")).alias("_p"))
+
+    def bins(self) -> list[Column]:
+        """Of each number, how many bounds it reaches."""
+        return [sum(((F.col(k) >= b).cast("int") for b in bounds), F.lit(0)).alias(k) for k, bounds in self.bounds.items()]
 
-    def rate(self, posterior: list[Column]) -> Column:
-        """The document's rate after all steps so far."""
-        rate = F.lit(1.0)
-        for gradient in self.gradients:
-            rate = F.greatest(F.lit(0.0), rate - sum((p * g for p, g in zip(posterior, gradient)), F.lit(0.0)))
-        return rate
+    def rate(self, posterior: Column) -> Column:
+        """The document's rate after all steps so far, from the array of its posteriors."""
+        if not self.gradients:
+            return F.lit(1.0)
+
+        def step(rate: Column, gradient: Column) -> Column:
+            change = sum((F.element_at(posterior, d) * F.element_at(gradient, d) for d in range(1, len(self.names) + 1)), F.lit(0.0))
+            return F.greatest(F.lit(0.0), rate - change)
+
+        return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in self.gradients]), F.lit(1.0), step)
 
 
 def _classifier(narrow: DataFrame, domains: DataFrame, names: list[str], vocabulary: dict[str, list[str]], kinds: list[str]) -> Mixture:
     """Bins from quantiles of all labelled documents, and smoothed counts of bins per domain."""
-    labelled = scratch(narrow.join(domains, F.col("doc_id") == F.col("_doc")).select("domain", *kinds), "labelled")
+    labelled = scratch(narrow.join(domains, F.col("_id") == F.col("_doc")).select("domain", *kinds), "labelled")
     cuts = labelled.agg(*[F.percentile_approx(k, QUANTILES, 10000).alias(k) for k in kinds]).first()
     bounds = {k: sorted(set(cuts[k] or [])) for k in kinds}
     # A count of telling words above 0, 1 and 3 says more than quantiles that are all 0.
-    bounds = {k: [1.0, 2.0, 4.0] if k.startswith("told") else b for k, b in bounds.items()}
+    bounds = {k: [1.0, 2.0, 4.0] if k.startswith("_told") else b for k, b in bounds.items()}
     mixture = Mixture(vocabulary, bounds, names, {}, [])
-    binned = labelled.select("domain", *mixture.bins({k: F.col(k) for k in kinds}).values())
+    binned = labelled.select("domain", *mixture.bins())
     counts = binned.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(k) == b, 1)).alias(f"{k}_{b}") for k in kinds for b in range(len(bounds[k]) + 1)]
     )
@@ -142,16 +149,16 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
     if not names or sum(weights[n] for n in names) <= 0:
         return None
     vocabulary = telling_words(docs, domains, names)
-    values = features(F.col("text"), vocabulary)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    narrow = scratch(texts.select("doc_id", F.size(_words(F.col("text"))).alias("tokens"), *[v.alias(k) for k, v in values.items()]), "features")
-    mixture = _classifier(narrow, domains, names, vocabulary, list(values))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text"))
+    numbers, kinds = described(texts, vocabulary, ["_id"])
+    narrow = scratch(numbers, "features")
+    mixture = _classifier(narrow, domains, names, vocabulary, kinds)
 
-    binned = narrow.select("tokens", *mixture.bins({k: F.col(k) for k in values}).values())
-    cells = binned.groupBy(*values).agg(F.sum("tokens").cast("double").alias("tokens"))
-    posterior = mixture.posteriors()
-    cells = scratch(cells.select("tokens", *[p.alias(f"p{d}") for d, p in enumerate(posterior)]), "cells")
-    ps = [F.col(f"p{d}") for d in range(len(names))]
+    cells = narrow.select("_tokens", *mixture.bins()).groupBy(*kinds).agg(F.sum("_tokens").cast("double").alias("tokens"))
+    for k, bounds in mixture.bounds.items():  # any number of the bin stands for it
+        cells = cells.withColumn(k, F.element_at(F.array(*map(F.lit, [-math.inf, *bounds])), F.col(k) + 1))
+    cells = scratch(mixture.classified(cells, ["tokens"]), "cells")
+    ps = [F.element_at("_p", d + 1) for d in range(len(names))]
 
     products = [F.sum(F.col("tokens") * a * b) for a in ps for b in ps]
     first = cells.agg(F.sum("tokens"), *products).first()
@@ -163,10 +170,10 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
     share = np.array([weights[n] for n in names]) / sum(weights[n] for n in names)
     before = math.inf
     for _ in range(STEPS):
-        sums = cells.agg(*[F.sum(F.col("tokens") * mixture.rate(ps) * p) for p in ps]).first()
+        sums = cells.agg(*[F.sum(F.col("tokens") * mixture.rate(F.col("_p")) * p) for p in ps]).first()
         miss = np.array(sums) / total - share
         error = float(np.abs(miss).sum())
-        if error < TOLERANCE or before - error < TOLERANCE * 1e-3:
+        if error < TOLERANCE or before - error < TOLERANCE * 1e-2:
             break
         before = error
         mixture.gradients.append((step * miss).tolist())
@@ -182,17 +189,13 @@ def rated(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in docs.columns]
     if mixture is None:
         return docs.select(*kept, F.size(_words(text_of())).cast("bigint").alias("_tokens"), F.lit(None).cast("string").alias("_domain"), F.lit(None).cast("double").alias("_posterior"), F.lit(1.0).alias("_rate"), F.lit(1).cast("bigint").alias("_copies"))
-    clash = "_bins"
-    values = mixture.bins(features(text_of(), mixture.vocabulary))
-    inner = docs.select(*kept, F.size(_words(text_of())).cast("bigint").alias("_tokens"), F.struct(*values.values()).alias(clash))
-    ps = mixture.posteriors()
-    given = inner.select(F.struct(*kept).alias("_row"), "_tokens", f"{clash}.*").select("_row", "_tokens", F.array(*ps).alias("_p"))
-    at = [F.element_at("_p", d + 1) for d in range(len(mixture.names))]
+    rows = docs.select(F.struct(*kept).alias("_row"), text_of().alias("_text"))
+    numbers, _ = described(rows, mixture.vocabulary, ["_row"])
+    given = mixture.classified(numbers, ["_row", "_tokens"])
     best = F.array_max("_p")
+    name = F.element_at(F.array(*map(F.lit, mixture.names)), F.array_position("_p", best).cast("int"))
     coin = F.pmod(F.xxhash64("_row.doc_id", "_row.text"), F.lit(1 << 30)) / float(1 << 30)
-    out = given.select(
-        "_row", "_tokens", F.element_at(F.array(*map(F.lit, mixture.names)), F.array_position("_p", best).cast("int")).alias("_domain"), best.alias("_posterior"), mixture.rate(at).alias("_rate"), coin.alias("_coin")
-    )
+    out = given.select("_row", "_tokens", name.alias("_domain"), best.alias("_posterior"), mixture.rate(F.col("_p")).alias("_rate"), coin.alias("_coin"))
     return out.select("_row.*", "_tokens", "_domain", "_posterior", "_rate", F.floor(F.col("_rate") + F.col("_coin")).alias("_copies"))
 
 
