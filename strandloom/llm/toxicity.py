@@ -28,7 +28,8 @@ WINDOW = 32
 STRIDE = WINDOW // 2
 # Labelled documents per label that the network is fitted on.
 SAMPLE = 800
-EPOCHS = 8
+# Steps of training, whatever the size of the sample, and documents per step.
+STEPS = 400
 DOCS_PER_STEP = 32
 RATE = 0.01
 # Characters: code points below CHARS - 128 as they are, others folded; positions from the word's start, the last shared.
@@ -167,13 +168,14 @@ def _backward(p: Parameters, words: Words, vectors: np.ndarray, cache, grad: np.
     }
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Parameters | None:
+def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Parameters | None:
     """Fit the network; None if the sample does not show both labels."""
     if len(set(toxic.tolist())) < 2:
         return None
     rng = np.random.default_rng(SEED)
     p = initial(rng)
     adam = Adam(p, RATE)
+    epochs = -(-steps // max(1, len(texts) // DOCS_PER_STEP))
     for epoch in range(epochs):
         adam.rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(texts))
