@@ -43,19 +43,24 @@ def maybe_member(df: DataFrame, keys: DataFrame, on: Sequence[str], bits: int =
     words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     marked = df.withColumns({"_probe": word, "_own": bit}).join(F.broadcast(words), F.col("_probe") == F.col("_word"), "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_own")) != 0, F.lit(False))
-    return marked.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias("_maybe"))
+    return marked.select(*df.columns, hit.alias("_maybe"))
 
 
-def without(df: DataFrame, drop: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key ``on`` is not in ``drop``; null keys equal each other.
+def boxed(df: DataFrame, **keys: Column) -> DataFrame:
+    """The whole row as ``_row``, beside the given columns; no name of ``df`` can clash with theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def without(rows: DataFrame, drop: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``rows`` (boxed, with the columns ``on``) whose key is not in ``drop``; null keys equal each other.
 
     Only rows that the bitmap of ``drop`` lets through are shuffled; the others,
     with their texts, stay where they are.
     """
-    marked = maybe_member(df, drop, on)
+    marked = maybe_member(rows, drop, on)
     stay = marked.where(~F.col("_maybe")).drop("_maybe")
     gone = drop.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct()
-    match = [F.col(f"`{c}`").eqNullSafe(F.col(f"_gone_{c}")) for c in on]
+    match = [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in on]
     check = marked.where("_maybe").drop("_maybe").join(gone, match, "left_anti")
     return stay.unionByName(check)
 

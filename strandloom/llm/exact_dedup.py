@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import documents, maybe_member, scratch, text_of, without
+from strandloom.llm.common import boxed, documents, maybe_member, scratch, text_of, without
 
 # Characters that do not count: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -96,13 +96,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, one row of each group of equal texts; a row repeated with its doc_id stays once."""
     found = exact_duplicates(docs)
-    kept = [*docs.columns]
-    keyed = docs.withColumn("_sha", F.sha2(normalised(text_of()), 256)).withColumn("_id", F.col("doc_id").cast("bigint"))
-    several = scratch(found.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "copies")
-    keyed = without(keyed, several.where("not kept"), ["_id", "_sha"])
-    again = several.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = boxed(docs, id=F.col("doc_id").cast("bigint"), sha=F.sha2(normalised(text_of()), 256))
+    several = scratch(found.where("group_size > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept"), "copies")
+    keyed = without(keyed, several.where("not kept"), ["id", "sha"])
+    again = several.where("kept").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():
-        marked = maybe_member(keyed, again, ["_id", "_sha"])
-        once = marked.where("_maybe").dropDuplicates(["_id", "_sha"])
+        marked = maybe_member(keyed, again, ["id", "sha"])
+        once = marked.where("_maybe").dropDuplicates(["id", "sha"])
         keyed = marked.where("not _maybe").unionByName(once)
-    return keyed.select(*kept)
+    return keyed.select("_row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import components, documents, scratch, without
+from strandloom.llm.common import boxed, components, documents, scratch, without
 
 WORDS = 3
 SEED = 42
@@ -162,6 +162,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, one of each component: the one with the smallest doc_id."""
+    """Documents, one of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
     found = near_duplicates(docs)
-    return without(docs, found.where(F.col("doc_id") != F.col("component_id")), ["doc_id"])
+    drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id"))
+    return without(boxed(docs, id=F.col("doc_id").cast("bigint")), drop, ["id"]).select("_row.*")
