@@ -18,9 +18,11 @@ from pyspark.sql.window import Window as W
 
 from strandloom.llm.common import documents, scratch, text_of
 
+# The words of an assignment, each letter in either case.
+NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
 # Kinds in their order: pattern, group that holds the value, least length of that group.
 KINDS = {
-    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "assign": (rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
