@@ -20,8 +20,6 @@ from strandloom.params import SketchParams
 from strandloom.session import checkpointed, spread, with_ordinal
 from strandloom.sources import kmer_tables, sequence_files, stores, variants
 
-SHOWN = 40
-
 
 def command(*names: str):
     """Register a method; its parameters are the command's values, defaults may be left out."""
@@ -37,8 +35,8 @@ class Program:
     def __init__(self, spark: SparkSession):
         self.spark, self.output, self.verbose, self.reports = spark, None, False, 0
 
-    def reads(self, path: str) -> DataFrame:
-        return spread(sequence_files.read_sequences(self.spark, path), "read_id")
+    def reads(self, path: str, alphabet: str = "text") -> DataFrame:
+        return spread(sequence_files.read_sequences(self.spark, path, alphabet), "read_id")
 
     def report(self, tag: str, frame: DataFrame) -> None:
         if self.output:
@@ -47,8 +45,9 @@ class Program:
             tagged = frame.select(F.lit(tag).alias("tag"), *flat)
             tagged.write.mode("overwrite").csv(f"{self.output}/{self.reports:02d}-{tag}", sep="\t", header=True)
         else:
-            print(tag)
-            frame.show(SHOWN, truncate=False)
+            print(tag, *frame.columns, sep="\t")
+            for row in frame.toLocalIterator():  # one partition at a time
+                print(tag, *row, sep="\t")
 
     @command("-o", "--output")
     def set_output(self, folder):
@@ -128,6 +127,8 @@ class Kmers(Program):
     @command("-p", "--prune")
     def prune(self, low, high):
         self.table = kmerset.prune(self.table, int(low), int(high))
+        if "idx" in self.table.columns:
+            self.table = kmerset.reindex(self.table)
 
     @command("-s", "--setcopy")
     def set_copy(self, single, double, many):
@@ -192,7 +193,10 @@ class Map(Program):
         queries = self.reads(path)
         seeds = mapping.query_seeds(queries, checkpointed(mapping.reference_kmers(self.occurrences)), self.params)
         self.report("Q", mapping.query_summary(queries, seeds))
-        self.report("M", mapping.chain_blocks(seeds))
+        query_names = queries.select("read_id", F.col("name").alias("query_name"))
+        ref_names = self.names.select(F.col("read_id").alias("ref_id"), F.col("name").alias("ref_name"))
+        blocks = mapping.chain_blocks(seeds)
+        self.report("M", blocks.join(query_names, "read_id", "left").join(ref_names, "ref_id", "left").select(*blocks.columns, "query_name", "ref_name"))
 
 
 class Reads(Program):
@@ -228,17 +232,24 @@ class Reads(Program):
             self.pairs = checkpointed(overlaps.overlaps(self.set))
         return self.pairs
 
+    def _unmarked(self):
+        """Overlaps whose other read has not been marked bad."""
+        if self.flags is None:
+            return self._overlaps()
+        marked = self.flags.where("bad <> 0").select(F.col("read_id").alias("y"))
+        return self._overlaps().join(marked, "y", "left_anti")
+
     @command("-S", "--stats")
     def stats(self):
         self.report("RS", readset.statistics(self.set, self.flags))
 
     @command("-o1", "--overlap1")
     def overlaps_of(self, read):
-        self.report("RH", self._overlaps().where(F.col("x") == int(read)).orderBy(F.desc("n_hit"), "y"))
+        self.report("RH", self._unmarked().where(F.col("x") == int(read)).orderBy(F.desc("n_hit"), "y"))
 
     @command("-o2", "--overlap2")
     def every_kth(self, k):
-        self.report("RR", overlaps.read_flags(self.set, self._overlaps()).where(F.col("read_id") % int(k) == 0))
+        self.report("RR", overlaps.read_flags(self.set, self._unmarked()).where(F.col("read_id") % int(k) == 0))
 
     @command("-o3", "--overlap3")
     def detail(self, x, y):
@@ -258,7 +269,7 @@ class Reads(Program):
 
     @command("-a1", "--assemble1")
     def consensus(self, read):
-        hits = assembly.consensus_hits(self.set, self._overlaps().where(F.col("x") == int(read)))
+        hits = assembly.consensus_hits(self.set, self._unmarked().where(F.col("x") == int(read)))
         self.report("AH", assembly.consensus_table(hits))
 
     @command("-a2", "--assemble2")
@@ -354,12 +365,12 @@ class Stats(Program):
 
     @command("-i", "--input")
     def load(self, path):
-        self.set = self.reads(path).withColumn("len", F.length("seq"))
+        self.set = self.reads(path, "letters").withColumn("len", F.length("seq"))
         self.report("lengths", composition.length_summary(self.set))
 
     @command("-b", "--bases")
     def base_counts(self):
-        self.report("bases", composition.base_composition(self.set, letters=ALPHABETS["text"]["from"]))
+        self.report("bases", composition.base_composition(self.set, letters=ALPHABETS["letters"]["from"]))
 
     @command("-q", "--qualities")
     def quality_counts(self):

@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The alphabets of the accepted inputs and what each letter becomes.
-# A letter that is not listed is rejected. Lower case is folded except for "text".
+# A letter that is not listed is rejected. Lower case is folded except for "text" and "letters".
 ALPHABETS: dict[str, dict[str, str]] = {
     "text": {"from": "ACGTNacgtn", "to": "ACGTNacgtn"},
+    "letters": {"from": "ABCDGHKMNRSTVWYabcdghkmnrstvwy-", "to": "ABCDGHKMNRSTVWYabcdghkmnrstvwy-"},
     "iupac": {"from": "ABCDGHKMNRSTVWY-", "to": "ABCDGHKMNRSTVWY-"},
     "iupac_to_n": {"from": "ABCDGHKMNRSTVWY", "to": "ANCNGNNNNNNTNNN"},
     "protein": {"from": "ABCDEFGHIKLMNPQRSTVWXYZ", "to": "AXCDEFGHIKLMNPQRSTVWXYX"},
@@ -35,7 +36,7 @@ def _ascii_upper(seq: Column) -> Column:
 def convert_alphabet(seq: Column, alphabet: str) -> Column:
     """Rewrite letters by an ALPHABETS table and drop rejected characters."""
     table = ALPHABETS[alphabet]
-    folded = seq if alphabet == "text" else _ascii_upper(seq)
+    folded = seq if alphabet in ("text", "letters") else _ascii_upper(seq)
     kept = F.regexp_replace(folded, f"[^{table['from']}]+", "")
     return kept if table["from"] == table["to"] else F.translate(kept, table["from"], table["to"])
 

@@ -1,7 +1,7 @@
 """Documents loaded against their own k-mer table (dense sampling).
 
-The table drops k-mers of depth 1000 and more (so some hits are missed) and
-classes depth 1 as copy 0, [2,5) as copy 1, [5,20) as copy 2.
+All k-mers count, however deep: depth 1 is copy 0, [2,5) copy 1, [5,20) copy 2, more copy 3.
+``readset_load_pages`` loads against the table of the pages, which misses some hits.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from strandloom.plans.registry import query
 
 TABLE = f"""with recursive {sql.hits('a', sql.DOCUMENTS, fx.DENSE)},
 t as materialized (select kmer, least(count(*),65535)::integer as depth, {sql.copy_case('count(*)', 2, 5, 20)} as info
-  from a group by kmer having count(*)<1000)"""
+  from a group by kmer)"""
 HITS = f"""{TABLE}, rl as materialized (select read_id, length(seq) as len from ({sql.DOCUMENTS})),
 h as materialized (select a.read_id, a.len, a.kmer, a.is_fwd, a.pos, t.depth, t.info from a join t on a.kmer=t.kmer)"""
 SUMMARY = f"""{HITS}, sm as materialized (select rl.read_id, rl.len, coalesce(n_hit,0) as n_hit, coalesce(n_all,0)-coalesce(n_hit,0) as n_miss,
@@ -25,7 +25,7 @@ left join (select read_id, count(*) as n_all from a group by read_id) z on rl.re
 
 def load(spark, sf_dir):
     reads = fx.documents(spark, sf_dir)
-    table = kmerset.set_copy(kmerset.prune(kmerset.count_kmers(reads, fx.DENSE), 1, 1000), 2, 5, 20)
+    table = kmerset.set_copy(kmerset.count_kmers(reads, fx.DENSE), 2, 5, 20)
     return readset.load(reads, table, fx.DENSE)
 
 
@@ -34,6 +34,19 @@ def readset_load(spark, sf_dir):
     return readset.read_summary(load(spark, sf_dir)).select("read_id", "len", "n_hit", "n_miss")
 
 
+@query(
+    "readset_load_pages",
+    SUMMARY.replace(
+        "from a group by kmer)", "from g group by kmer)"
+    ).replace("t as materialized", f"{sql.hits('g', sql.PAGES, fx.DENSE)}, t as materialized", 1)
+    + " select read_id, len, n_hit, n_miss, n_copy3 from sm",
+)
+def readset_load_pages(spark, sf_dir):
+    table = kmerset.set_copy(kmerset.count_kmers(fx.pages(spark, sf_dir), fx.DENSE), 2, 5, 20)
+    loaded = readset.load(fx.documents(spark, sf_dir), table, fx.DENSE)
+    return readset.read_summary(loaded).select("read_id", "len", "n_hit", "n_miss", "n_copy3")
+
+
 @query("read_copy_counts", f"{SUMMARY} select read_id, n_copy0, n_copy1, n_copy2, n_copy3 from sm")
 def read_copy_counts(spark, sf_dir):
     return readset.read_summary(load(spark, sf_dir)).select("read_id", *[f"n_copy{c}" for c in range(4)])

@@ -24,7 +24,7 @@ rl as materialized (select read_id, length(seq) as len from ({sql.DOCUMENTS})),
 votes as materialized (select rl.read_id, len, coalesce(f,0) as n_fwd, coalesce(r,0) as n_rev,
  coalesce(f,0)+coalesce(r,0)<{FIRST} or (coalesce(f,0)>{TOLERANCE} and coalesce(r,0)>{TOLERANCE}) as is_bad, coalesce(f,0)>=coalesce(r,0) as is_forward
  from rl left join vt on rl.read_id=vt.read_id)"""
-HITS0 = f"""{VOTES}, tb as materialized (select kmer from d group by kmer having count(*)>=2),
+HITS0 = f"""{VOTES}, tb as materialized (select distinct kmer from d),
 h0 as materialized (select d.read_id, d.kmer, case when is_forward then pos else (d.len-{K}-pos)::integer end as x
  from d join tb on d.kmer=tb.kmer join votes v on v.read_id=d.read_id and not v.is_bad),
 nr as materialized (select count(*) as n from votes where not is_bad)"""
@@ -75,7 +75,7 @@ def _votes(spark, sf_dir):
 
 
 def _table(spark, sf_dir):
-    return kmerset.prune(kmerset.count_kmers(fx.documents(spark, sf_dir), fx.DENSE), 2)
+    return kmerset.count_kmers(fx.documents(spark, sf_dir), fx.DENSE)
 
 
 def _hits(spark, sf_dir):

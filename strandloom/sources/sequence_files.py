@@ -115,11 +115,12 @@ def fastq_text(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.concat(_header("@"), F.lit("\n"), "seq", F.lit("\n+\n"), quality).alias("value"))
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, alphabet: str = "text") -> DataFrame:
+    """Read any of the formats; ``alphabet`` says which letters of a FASTA file count."""
     from strandloom.sources.records import read_sequence_records
 
     readers = {
-        "fasta": read_fasta,
+        "fasta": lambda session, source: read_fasta(session, source, alphabet),
         "fastq": read_fastq,
         "sam": read_sam,
         "records": read_sequence_records,
@@ -150,4 +151,4 @@ def write_sequences(reads: DataFrame, path: str, kind: str | None = None) -> Non
 
 
 def convert(spark: SparkSession, source: str, target: str, kind: str | None = None) -> None:
-    write_sequences(read_sequences(spark, source), target, kind)
+    write_sequences(read_sequences(spark, source, "letters"), target, kind)

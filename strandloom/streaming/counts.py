@@ -13,10 +13,13 @@ from strandloom.params import SketchParams
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """Parquet files ``name*.parquet`` of a folder as a stream with the table's own schema."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    return stream.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """A table as a stream with its own schema: the part files of its folder ``name.parquet``, or the single file of that name."""
+    path = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def drain_hits(reads: DataFrame, params: SketchParams, path: str, checkpoint: str) -> StreamingQuery:

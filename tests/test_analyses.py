@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import kmers as K
 from strandloom.functions.sequences import reverse_complement
-from strandloom.functions.walk import greedy_walk
+from strandloom.functions.walk import Track, greedy_walk
 from strandloom.operators import assembly, kmerset, linkage, mapping, overlaps, readset, repeats
 from strandloom.params import SketchParams
 from tests import plain
@@ -206,11 +206,31 @@ def test_walk_lays_out_tiles(spark, tiles):
 
 def test_walk_takes_the_supported_branch():
     """Two of three reads step to (True, 2); the third leaves by another k-mer."""
-    s, a, b, e = (True, 1), (True, 2), (True, 3), None
-    links = [(s, a, 1, 20, False), (s, a, 2, 25, False), (s, b, 3, 15, False), (a, e, 1, 50, False), (a, e, 2, 60, False), (b, e, 3, 40, False)]
-    layout, path = greedy_walk(links, {1: 50, 2: 60, 3: 40}, {1: 10, 2: 15, 3: 5}, s, 0, 1)
-    assert [p[:3] for p in path] == [(1, True, 0), (2, True, 10)] and path[0][3:] == (2, 3)
-    assert layout == [(2, -15, 10 - 60 + 60, 2), (1, -10, 10 - 50 + 50, 2), (3, -5, 0 - 15 + 40, 1)]
+    s, a, b = (True, 1), (True, 2), (True, 3)
+    tracks = {1: Track([(10, s), (20, a)], 50, 10, 0), 2: Track([(15, s), (25, a)], 60, 15, 0), 3: Track([(5, s), (15, b)], 40, 5, 0)}
+    layout, path = greedy_walk(tracks, s, 0, 1)
+    assert path == [(1, True, 0, 2, 3), (2, True, 10, 0, 3)]
+    assert layout == [(2, -15, 45, 1), (1, -10, 40, 1), (3, -5, 35, 0)]
+
+
+def test_walk_rejoins_a_read_that_meets_the_path_again():
+    s, a, b, c = (True, 1), (True, 2), (True, 3), (True, 4)
+    tracks = {i: Track([(0, s), (10, a), (20, c)], 60, 0, 0) for i in (1, 2)} | {3: Track([(0, s), (9, b), (21, c)], 60, 0, 0)}
+    layout, path = greedy_walk(tracks, s, 0, 1)
+    assert [p[0] for p in path] == [1, 2, 4] and {r[0]: r[3] for r in layout} == {1: 2, 2: 2, 3: 1}
+    assert {r[0]: r[2] for r in layout} == {1: 60, 2: 60, 3: 59}
+
+
+def test_walk_over_tandem_reads_ends():
+    """Staggered reads over an array of three k-mers: every read is placed once and the path is no longer than the stops."""
+    unit = [(True, 1), (True, 2), (True, 3)]
+    tracks = {}
+    for i in range(40):
+        stops = [(x, unit[(x // 10) % 3]) for x in range(0, 300 + 30 * (i % 5), 10)]
+        tracks[i] = Track(stops, stops[-1][0] + 10, 30 * (i % 7), 0)
+    layout, path = greedy_walk(tracks, unit[0], 0, 1)
+    assert len(layout) == 40 and len(path) <= 1 + sum(len(t.stops) for t in tracks.values())
+    assert [p[2] for p in path] == sorted(p[2] for p in path)
 
 
 def test_reference_marks_and_resets(spark):

@@ -48,6 +48,29 @@ def test_map_commands(spark, files):
     _run(spark, files, "map -r @index -o @map2 -q @b.fa")
     first, second = _rows(spark, files / "map/03-M"), _rows(spark, files / "map2/02-M")
     assert sorted(first) == sorted(second) and len(first) == 13
+    assert {(r.query_name, r.ref_name) for r in first} == {(f"q{i}", "unit") for i in range(13)}
+
+
+def test_pruning_renumbers(spark, files):
+    _run(spark, files, "kmers -c 28 15 5 17 -a @a.fa -wt @whole.txt")
+    _run(spark, files, "kmers -rt @whole.txt -p 3 100 -wt @pruned.txt")
+    pruned = kmer_tables.read_text(spark, f"{files}/pruned.txt")[0]
+    assert sorted(r.idx for r in pruned.collect()) == list(range(1, pruned.count() + 1))
+    assert pruned.count() < kmer_tables.read_text(spark, f"{files}/whole.txt")[0].count()
+
+
+def test_ambiguity_letters_stay(spark, files):
+    (files / "amb.fa").write_text(">a\nACGTRYKM-nacgt\n")
+    _run(spark, files, "convert -i @amb.fa @amb.parquet parquet")
+    assert [r.seq for r in spark.read.parquet(f"{files}/amb.parquet").collect()] == ["ACGTRYKM-nacgt"]
+    _run(spark, files, "stats -o @ambs -i @amb.fa")
+    assert int(_rows(spark, files / "ambs/01-lengths")[0].total) == 14
+
+
+def test_screen_reports_are_whole(spark, files, capsys):
+    _run(spark, files, "kmers -c 28 15 5 17 -a @a.fa -P @unit.fa")
+    shown = [line for line in capsys.readouterr().out.splitlines() if line.startswith("paint\t")]
+    assert len(shown) > 100
 
 
 def test_read_commands(spark, files):

@@ -9,17 +9,17 @@ SF = "/root/testdata/sf0.001"
 
 
 def _folder(spark, tmp_path):
-    """The documents in several files, so that a stream sees several batches."""
+    """The documents as a folder of part files, so that a stream sees several batches."""
     docs = fx.table(spark, SF, "documents")
     for part in range(4):
         docs.where(F.col("doc_id") % 4 == part).coalesce(1).write.parquet(str(tmp_path / "src" / f"documents-{part}"))
     files = sorted((tmp_path / "src").glob("*/part-*.parquet"))
-    target = tmp_path / "in"
-    target.mkdir()
+    target = tmp_path / "in" / "documents.parquet"
+    target.mkdir(parents=True)
     for i, name in enumerate(files):
-        (target / f"documents{i}.parquet").write_bytes(name.read_bytes())
-    (target / "documents.parquet").write_bytes(files[0].read_bytes())
-    return str(target), fx.table(spark, str(target), "documents*")
+        (target / f"part-{i}.parquet").write_bytes(name.read_bytes())
+    (target.parent / "documents-old.parquet").write_bytes(files[0].read_bytes())
+    return str(target.parent), fx.table(spark, str(target.parent), "documents")
 
 
 def _counts(frame):
