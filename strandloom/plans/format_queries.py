@@ -299,12 +299,26 @@ def record_typed_lists(spark, sf_dir):
     return first.join(second, "object_id").join(third, "object_id").drop("object_id")
 
 
-@query("schema_check", "select 'I' as line_type, true as declared union all select 'S', true union all select 'g', true")
+OTHER_SCHEMA = "P 3 alt\nG g 2 3 INT 6 STRING\nO S 1 6 STRING\n"
+
+
+@query(
+    "schema_check",
+    f"""{TURNS} select substr(value,1,1) as line_type, count(*) as n_lines, substr(value,1,1) in ('S','I','g') as as_declared,
+substr(value,1,1)='g' as as_in_other from l group by all""",
+)
 def schema_check(spark, sf_dir):
-    """Line types found in the file against the declared sequence schema."""
+    """Lines of each type found in the file, and whether two schemas give that type the fields the file declares."""
     lines, schema = _conversation_records(spark, sf_dir)
-    conforms = schema.declared_in(records.SEQUENCE_SCHEMA)
-    return lines.select("line_type").distinct().withColumn("declared", F.lit(conforms))
+    found = F.col("line_type")
+
+    def agrees(other: records.RecordSchema):
+        same = [k for k, line in schema.lines.items() if k in other.lines and other.lines[k].fields == line.fields]
+        return found.isin(same)
+
+    other = records.parse_schema(OTHER_SCHEMA)["alt"]
+    counts = lines.groupBy("line_type").agg(F.count(F.lit(1)).alias("n_lines"))
+    return counts.select("line_type", "n_lines", agrees(records.SEQUENCE_SCHEMA).alias("as_declared"), agrees(other).alias("as_in_other"))
 
 
 SITES = f"""with s as (select item_id, length({sql.clean('text')}) as len from benchmark)"""

@@ -76,10 +76,19 @@ def write_lines(lines: DataFrame, order: list[str], path: str, gzip: bool = Fals
 
 
 def head_lines(spark: SparkSession, path: str) -> Iterator[str]:
-    """Lines from the start of the first file on; stop iterating to stop reading."""
+    """Lines from the start of the first file on; stop iterating to stop reading.
+
+    Lines are fetched a few at a time, with a limit on the scan, so a large split never comes to the driver.
+    """
     for name in sorted(spark.read.text(path).inputFiles()):
-        for row in spark.read.text(name).toLocalIterator():
-            yield row.value
+        lines, seen, wanted = spark.read.text(name), 0, 64
+        while True:
+            found = lines.take(wanted)
+            for row in found[seen:]:
+                yield row.value
+            if len(found) < wanted:
+                break
+            seen, wanted = wanted, 4 * wanted
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
