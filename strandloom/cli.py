@@ -269,7 +269,8 @@ class Reads(Program):
 
     @command("-a1", "--assemble1")
     def consensus(self, read):
-        hits = assembly.consensus_hits(self.set, self._unmarked().where(F.col("x") == int(read)))
+        hits = checkpointed(assembly.consensus_hits(self.set, self._unmarked().where(F.col("x") == int(read))))
+        self.report("AR", assembly.consensus_totals(hits))
         self.report("AH", assembly.consensus_table(hits))
 
     @command("-a2", "--assemble2")

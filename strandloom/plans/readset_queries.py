@@ -246,15 +246,24 @@ def readset_stats(spark, sf_dir):
     return readset.statistics(loaded, flags)
 
 
+CONSENSUS = f"""{OVERLAPS}, ch as (select ov.x, h.kmer, count(*) as n, any_value(h.depth) as depth, any_value(h.info) as info
+from ov join h on h.read_id=ov.y where ov.is_plus group by ov.x, h.kmer)"""
+
+
+@query("consensus_totals", f"{CONSENSUS} select x, count(*) as n_kmers, sum(n)::bigint as n_hits, sum(n)/count(*) as mean_count from ch group by x")
+def consensus_totals(spark, sf_dir):
+    loaded = load(spark, sf_dir).materialized()
+    return assembly.consensus_totals(assembly.consensus_hits(loaded, overlaps.overlaps(loaded)))
+
+
 @query(
     "consensus_hits",
-    f"""{OVERLAPS}, ch as (select ov.x, h.kmer, count(*) as n, any_value(h.depth) as depth, any_value(h.info) as info
-from ov join h on h.read_id=ov.y where ov.is_plus group by ov.x, h.kmer)
+    f"""{CONSENSUS}
 select least(n,19) as count_bin, least(depth,19) as depth_bin, (10*n-1)//depth as share_bin, count(*) as n_kmers from ch where info=1 group by 1,2,3""",
 )
 def consensus_hits(spark, sf_dir):
     loaded = load(spark, sf_dir).materialized()
-    return assembly.consensus_table(assembly.consensus_hits(loaded, overlaps.overlaps(loaded)))
+    return assembly.consensus_table(assembly.consensus_hits(loaded, overlaps.overlaps(loaded), single=True))
 
 
 
