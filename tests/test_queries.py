@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from strandloom.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +27,9 @@ def test_every_statement_names_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    frame = entry.queries()[name](spark, SF)
+    frame = QUERIES[name](spark, SF)
     got = rows_of(frame.columns, frame.collect())
     if name not in entry.oracle_sql():
         return
