@@ -4,9 +4,12 @@ A naive Bayes classifier on binned features is counted on the labelled table and
 gives every document posteriors over the label's domains. Document rates then
 solve a nonnegative least squares problem: the expected tokens of each domain,
 sum of rate * tokens * posterior, shall be the domain's target; misses weigh by
-the inverse of the domain's own size, so that small domains count. Projected gradient steps
-with momentum start at rate 1; the step is scaled by tokens, so a rate depends on a document's
-posteriors alone.
+the inverse of the domain's own size, so that small domains count. Where soft posteriors
+keep targets out of reach, the targets alone would have all tokens come from the few
+documents with the most extreme posteriors; so rates shall also be 1, with the small weight
+``NEAR`` by tokens. This makes the solution unique: a rate is max(0, 1 - prices * posteriors),
+with one price per domain, proportional to the domain's remaining miss. Newton steps on
+the prices, with line search, run until they fit the misses; steps that do not get there raise.
 
 Documents with the same feature bins have the same posteriors and so the same rate. The
 steps therefore run on one row per combination of bins, whose number does not grow with
@@ -26,8 +29,10 @@ from strandloom.llm.common import documents, scratch, text_of
 # Labelled documents per domain from which the telling words are learned, and words per domain.
 SAMPLE, VOCABULARY = 2000, 64
 QUANTILES = [0.05, 0.2, 0.5, 0.8, 0.95]
-# Most steps; misses of the targets, as a share of all tokens, that end them; least gain of a step, as a share of the miss.
-STEPS, TOLERANCE, GAIN = 25, 1e-3, 0.01
+# Weight of rates off 1 against misses of the targets.
+NEAR = 1e-3
+# Steps within which the prices must fit the misses up to the tolerance, a share of all tokens.
+STEPS, TOLERANCE = 200, 1e-9
 # Shares of all tokens by domain (quality/toxic); domains that the labels do not show are left out.
 WEIGHTS = {"1/0": 0.9, "0/0": 0.1, "1/1": 0.0, "0/1": 0.0}
 
@@ -91,7 +96,10 @@ class Mixture:
 
     def __init__(self, vocabulary: dict[str, list[str]], bounds: dict[str, list[float]], names: list[str], logs: dict[str, list[list[float]]], prior: list[float]):
         self.vocabulary, self.bounds, self.names, self.logs, self.prior = vocabulary, bounds, names, logs, prior
-        self.gradients: list[list[float]] = []
+        # Per domain: price, and expected less wanted tokens, as a share of all; number of steps.
+        self.prices: list[float] = [0.0] * len(names)
+        self.miss: list[float] = []
+        self.steps = 0
 
     def classified(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """The columns ``keep`` and ``_p``, the posteriors of the domains, from rows with the numbers."""
@@ -109,21 +117,12 @@ class Mixture:
         """Of each number, how many bounds it reaches."""
         return [sum(((F.col(k) >= b).cast("int") for b in bounds), F.lit(0)).alias(k) for k, bounds in self.bounds.items()]
 
-    def state(self, posterior: Column) -> Column:
-        """After all steps so far, from the array of posteriors: the rate ``r`` and the point ``y`` of the next gradient."""
-        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-        if not self.gradients:
-            return start
-
-        def step(at: Column, gradient: Column) -> Column:
-            change = sum((F.element_at(posterior, d) * F.element_at(gradient, d) for d in range(1, len(self.names) + 1)), F.lit(0.0))
-            rate = F.greatest(F.lit(0.0), at["y"] - change)
-            return F.struct(rate.alias("r"), (rate + F.element_at(gradient, -1) * (rate - at["r"])).alias("y"))
+    def rate(self, posterior: Column) -> Column:
+        return _rate(posterior, self.prices)
 
-        return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in self.gradients]), start, step)
 
-    def rate(self, posterior: Column) -> Column:
-        return self.state(posterior)["r"]
+def _rate(posterior: Column, prices: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.element_at(posterior, d + 1) * F.lit(float(v)) for d, v in enumerate(prices)), F.lit(0.0)))
 
 
 def _classifier(narrow: DataFrame, domains: DataFrame, names: list[str], vocabulary: dict[str, list[str]], kinds: list[str]) -> Mixture:
@@ -165,31 +164,52 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
     for k, bounds in mixture.bounds.items():  # any number of the bin stands for it
         cells = cells.withColumn(k, F.element_at(F.array(*map(F.lit, [-math.inf, *bounds])), F.col(k) + 1))
     cells = scratch(mixture.classified(cells, ["tokens"]), "cells")
-    ps = [F.element_at("_p", d + 1) for d in range(len(names))]
-
-    products = [F.sum(F.col("tokens") * a * b) for a in ps for b in ps]
-    first = cells.agg(F.sum("tokens"), *products).first()
-    total = first[0] or 0.0
-    if total <= 0:
-        return mixture
-    curvature = np.array(first[1:]).reshape(len(names), len(names)) / total
-    scale = 1.0 / np.maximum(np.diag(curvature), 1e-9)
-    root = np.sqrt(scale)
-    step = 1.0 / max(float(np.linalg.eigvalsh(root[:, None] * curvature * root[None, :])[-1]), 1e-9)
     share = np.array([weights[n] for n in names]) / sum(weights[n] for n in names)
-    before, momentum = math.inf, 1.0
-    for _ in range(STEPS):
-        ahead = cells.select("tokens", "_p", mixture.state(F.col("_p"))["y"].alias("_y"))
-        miss = np.array(ahead.agg(*[F.sum(F.col("tokens") * F.col("_y") * p) for p in ps]).first()) / total - share
-        error = float(np.abs(miss).sum())
-        if error < TOLERANCE or abs(before - error) < GAIN * error:
-            break
-        after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        mixture.gradients.append([*(step * scale * miss).tolist(), (momentum - 1) / after])
-        before, momentum = error, after
+    found = solved(cells, share)
+    if found is not None:
+        mixture.prices, mixture.miss, mixture.steps = found
     return mixture
 
 
+def solved(cells: DataFrame, share: np.ndarray) -> tuple[list[float], list[float], int] | None:
+    """Prices and misses per domain, and steps, from rows with ``tokens`` and ``_p``; None without tokens.
+
+    The steps minimize the dual, a convex function with quadratic pieces; its gradient is how far prices and misses are apart.
+    """
+    n = len(share)
+    ps = [F.element_at("_p", d + 1) for d in range(n)]
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0.0)
+    if total <= 0:
+        return None
+
+    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum of squared rates, expected tokens per domain, and products of posteriors where the rate is not 0."""
+        at = cells.select("tokens", "_p", _rate(F.col("_p"), prices.tolist()).alias("_r"))
+        used = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0.0)
+        row = at.agg(F.sum(F.col("tokens") * F.col("_r") * F.col("_r")), *[F.sum(F.col("tokens") * F.col("_r") * p) for p in ps], *[F.sum(used * a * b) for a in ps for b in ps]).first()
+        return row[0] / total, np.array(row[1 : n + 1]) / total, np.array(row[n + 1 :]).reshape(n, n) / total
+
+    def value(prices: np.ndarray, squares: float) -> float:
+        return float(0.5 * squares + 0.5 * (soft * prices * prices).sum() + prices @ share)
+
+    prices = np.zeros(n)
+    squares, expected, curvature = sums(prices)
+    soft = NEAR * np.maximum(np.diag(curvature), 1e-9)
+    for step in range(STEPS):
+        slope = soft * prices - (expected - share)
+        if float(np.abs(slope).max()) < TOLERANCE:
+            return prices.tolist(), (expected - share).tolist(), step
+        move, now = -np.linalg.solve(curvature + np.diag(soft), slope), value(prices, squares)
+        length = 1.0
+        after = sums(prices + move)
+        while value(prices + length * move, after[0]) > now + 1e-4 * length * float(slope @ move) + 1e-13 * max(1.0, abs(now)) and length > 1e-9:
+            length /= 2
+            after = sums(prices + length * move)
+        prices = prices + length * move
+        squares, expected, curvature = after
+    raise RuntimeError(f"mixing: after {STEPS} steps prices and misses are still {np.abs(slope).max():.3g} of all tokens apart")
+
+
 def rated(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
     """All columns of ``docs`` and _tokens, _domain, _posterior, _rate, _copies; no shuffle, no Python.
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 import regex
@@ -226,3 +227,53 @@ def test_mixing_reaches_its_targets(spark):
     assert (mixed["_copies"] == 1).all() and len(mixed) == len(docs)
     assert mixing.fitted(d, known.where("false")) is None
     assert mixing.rated(d.where("false"), None).count() == 0
+
+
+def exact_rates(tokens, p, share):
+    """Nonnegative least squares by Lawson and Hanson's active sets: targets, and rates of 1 with the weight NEAR."""
+    w = tokens / tokens.sum()
+    miss = 1 / np.sqrt((w[:, None] * p * p).sum(axis=0))
+    near = np.sqrt(mixing.NEAR * w)
+    m = np.vstack([(w[:, None] * p * miss).T, np.diag(near)])
+    b = np.concatenate([share * miss, near])
+    x, used = np.zeros(len(w)), np.zeros(len(w), bool)
+    while True:
+        gain = np.where(used, -np.inf, m.T @ (b - m @ x))
+        if gain.max() < 1e-12:
+            return x
+        used[gain.argmax()] = True
+        while True:
+            y = np.zeros(len(w))
+            y[used] = np.linalg.lstsq(m[:, used], b, rcond=None)[0]
+            bad = used & (y <= 0)
+            if not bad.any():
+                break
+            x = x + (x[bad] / (x[bad] - y[bad])).min() * (y - x)
+            used &= x > 1e-14
+            x[~used] = 0
+        x = y
+
+
+@pytest.mark.parametrize("weights", [{"1/0": 0.6, "0/0": 0.4}, {"1/0": 0.9, "0/0": 0.1, "1/1": 0.0}])
+def test_mixing_solves_soft_least_squares(spark, weights):
+    rng = random.Random(9)
+    tells = {"1/0": ["calm", "river", "stone"], "0/0": ["BUY", "cheap!!", "now!"], "1/1": ["hate", "fool", "pest"]}
+    docs, labels = [], []
+    for i in range(400):
+        name = rng.choices(["1/0", "0/0", "1/1"], [6, 3, 2])[0]
+        words = [rng.choice(tells[name if rng.random() < 0.6 else rng.choice(list(tells))]) if rng.random() < 0.2 else "plain" for _ in range(rng.randrange(5, 60))]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(name[0]), int(name[2])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    mixture = mixing.fitted(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), weights)
+    numbers, _ = mixing.described(d.withColumn("_text", F.col("text")), mixture.vocabulary, ["doc_id"])
+    given = mixture.classified(numbers, ["_tokens"])
+    found = given.select("_tokens", "_p", mixture.rate(F.col("_p")).alias("r")).toPandas()
+    tokens, p = found["_tokens"].to_numpy(float), np.array(found["_p"].tolist())
+    assert ((p.max(axis=1) < 0.9).mean()) > 0.2
+    share = np.array([weights[n] for n in mixture.names])
+    assert np.abs(found["r"] - exact_rates(tokens, p, share)).max() < 1e-5
+    miss = (tokens * found["r"].to_numpy()) @ p / tokens.sum() - share
+    assert np.abs(miss - mixture.miss).max() < 1e-9
+    if len(weights) == 2:  # within reach
+        assert np.abs(miss).max() < 2e-3
