@@ -3,19 +3,21 @@
 For every participant of a conversation the dialogue is rendered with that speaker as
 the assistant and all others as named users; the mask covers what the assistant says.
 
-A dialogue comes in parts of ``PART`` turn numbers, which follow each other; so no row and no
-task gathers a whole conversation, however long. Equal rows are combined before the shuffle.
+A dialogue comes in parts of ``PART`` turn numbers, which follow each other, and turns without a
+number in parts of ``PART`` turns. Equal rows are combined before the shuffle. A part of turn numbers
+is one row, as the SQL has it; so it is only bounded if few turns of a conversation share a number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-# Turn numbers per part.
+# Turn numbers, or turns without number, per part.
 PART = 64
-# Slices, by hash, of the turns of a conversation that have no number.
-UNNUMBERED = 16
+# Hash slices within a conversation for ranking turns without number.
+SLICES = 256
 END = "<|end|>"
 
 SQL = """
@@ -41,6 +43,18 @@ def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _unnumbered(rows: DataFrame) -> DataFrame:
+    """Distinct turns without number in parts of at most ``PART``, from -1 downwards, without bringing a conversation into one task."""
+    slice_ = F.pmod(F.xxhash64("role", "text"), F.lit(SLICES))
+    sliced = rows.where("turn is null").distinct().withColumn("slice", slice_)
+    counts = sliced.groupBy("conv_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("conv_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select(F.col("conv_id").alias("_conv"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = sliced.withColumn("row", F.row_number().over(W.partitionBy("conv_id", "slice").orderBy("role", "text")) - 1)
+    ranked = numbered.join(bases, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("slice") == F.col("_slice")))
+    return ranked.select("conv_id", (-1 - F.floor((F.col("base") + F.col("row")) / PART)).alias("part"), "turn", "role", "text")
+
+
 def rotated(turns: DataFrame) -> DataFrame:
     """One row per conversation, speaker and part: conv_id, speaker, part, n_turns, rendered, mask.
 
@@ -48,15 +62,14 @@ def rotated(turns: DataFrame) -> DataFrame:
     dialogue. ``mask`` lists start:end of the assistant's texts with their end marks, in code points of
     the part, end exclusive; it is empty in parts where the speaker is silent. Turns with the same
     number are ordered by role and text; a repeated row is one turn. Turns without a number come last, in
-    parts of their own numbered downwards from -1 by a hash. A null role is the speaker ``unknown``, a
+    parts of their own of at most ``PART`` turns, numbered downwards from -1, dealt by a hash. A null role is the speaker ``unknown``, a
     null text is empty, rows without conv_id are one conversation. Other columns are ignored.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("unknown")), _safe(F.coalesce(F.col("text").cast("string"), F.lit("")))
     turn = F.col("turn").cast("bigint")
-    unnumbered = F.lit(-1).cast("bigint") - F.pmod(F.xxhash64(role, text), F.lit(UNNUMBERED))
-    part = F.when(turn.isNull(), unnumbered).otherwise(F.floor(turn / PART))
-    rows = turns.select(F.col("conv_id").alias("conv_id"), part.alias("part"), turn.alias("turn"), role.alias("role"), text.alias("text"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = turns.select(F.col("conv_id").alias("conv_id"), turn.alias("turn"), role.alias("role"), text.alias("text"))
+    numbered = rows.where("turn is not null").select("conv_id", F.floor(F.col("turn") / PART).alias("part"), "turn", "role", "text")
+    parts = numbered.unionByName(_unnumbered(rows)).groupBy("conv_id", "part").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
 

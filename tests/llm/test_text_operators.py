@@ -53,6 +53,17 @@ def test_turns_without_number_or_conversation(spark):
     assert chat.rotated(docs.where("false")).count() == 0
 
 
+def test_many_turns_without_number(spark):
+    turns = [(None, None, "ab"[i % 2], f"t{i}") for i in range(3000)] + [(1, None, "a", f"u{i % 70}") for i in range(140)]
+    docs = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.rotated(docs).collect()
+    assert max(r["n_turns"] for r in got) <= chat.PART
+    hot = [r for r in got if r["conv_id"] is None and r["speaker"] == "a"]
+    assert sorted(r["part"] for r in hot) == list(range(-47, 0))
+    assert sorted(re.findall(r"t\d+", "".join(r["rendered"] for r in hot))) == sorted(f"t{i}" for i in range(3000))
+    assert sorted((r["part"], r["n_turns"]) for r in got if r["conv_id"] == 1) == [(-2, 6), (-1, 64)]
+
+
 # --- URL lists ----------------------------------------------------------------------
 
 
