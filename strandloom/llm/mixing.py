@@ -7,7 +7,7 @@ sum of rate * tokens * posterior, shall be the domain's target; misses weigh by
 the inverse of the domain's own size, so that small domains count. Where soft posteriors
 keep targets out of reach, the targets alone would have all tokens come from the few
 documents with the most extreme posteriors; so rates shall also be 1, with the small weight
-``NEAR`` by tokens. This makes the solution unique: a rate is max(0, 1 - prices * posteriors),
+``NEAR`` by tokens. This makes the solution unique: a rate is max(least, 1 - prices * posteriors),
 with one price per domain, proportional to the domain's remaining miss. Newton steps on
 the prices, with line search, run until they fit the misses; steps that do not get there raise.
 
@@ -96,7 +96,8 @@ class Mixture:
 
     def __init__(self, vocabulary: dict[str, list[str]], bounds: dict[str, list[float]], names: list[str], logs: dict[str, list[list[float]]], prior: list[float]):
         self.vocabulary, self.bounds, self.names, self.logs, self.prior = vocabulary, bounds, names, logs, prior
-        # Per domain: price, and expected less wanted tokens, as a share of all; number of steps.
+        # Per domain: least rate of its documents, price, and expected less wanted tokens, as a share of all; number of steps.
+        self.least: list[float] = [0.0] * len(names)
         self.prices: list[float] = [0.0] * len(names)
         self.miss: list[float] = []
         self.steps = 0
@@ -118,11 +119,19 @@ class Mixture:
         return [sum(((F.col(k) >= b).cast("int") for b in bounds), F.lit(0)).alias(k) for k, bounds in self.bounds.items()]
 
     def rate(self, posterior: Column) -> Column:
-        return _rate(posterior, self.prices)
+        return F.greatest(_least(posterior, self.least), _free(posterior, self.prices))
 
 
-def _rate(posterior: Column, prices: list[float]) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.element_at(posterior, d + 1) * F.lit(float(v)) for d, v in enumerate(prices)), F.lit(0.0)))
+def _least(posterior: Column, least: list[float]) -> Column:
+    """The least rate of the most likely domain."""
+    if len(set(least)) == 1:
+        return F.lit(float(least[0]))
+    return F.element_at(F.array(*[F.lit(float(v)) for v in least]), F.array_position(posterior, F.array_max(posterior)).cast("int"))
+
+
+def _free(posterior: Column, prices: list[float]) -> Column:
+    """The rate if none were too small."""
+    return F.lit(1.0) - sum((F.element_at(posterior, d + 1) * F.lit(float(v)) for d, v in enumerate(prices)), F.lit(0.0))
 
 
 def _classifier(narrow: DataFrame, domains: DataFrame, names: list[str], vocabulary: dict[str, list[str]], kinds: list[str]) -> Mixture:
@@ -146,8 +155,12 @@ def _classifier(narrow: DataFrame, domains: DataFrame, names: list[str], vocabul
     return mixture
 
 
-def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> Mixture | None:
-    """Train the classifier and fit the rates; None if no document is labelled with a domain that has a weight."""
+def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, keep: bool = False) -> Mixture | None:
+    """Train the classifier and fit the rates; None if no document is labelled with a domain that has a weight.
+
+    With ``keep``, documents whose most likely domain is wanted (weight above 0) have rates of at least 1, and all targets
+    are raised by the least factor by which no wanted domain's target is below its own tokens. Otherwise targets are shares of the tokens given.
+    """
     wanted = domain_of_labels(labels).where(F.col("domain").isin(*weights))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("_doc"))
     domains = scratch(wanted.join(ids, "_doc", "left_semi"), "domains")
@@ -165,14 +178,17 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
         cells = cells.withColumn(k, F.element_at(F.array(*map(F.lit, [-math.inf, *bounds])), F.col(k) + 1))
     cells = scratch(mixture.classified(cells, ["tokens"]), "cells")
     share = np.array([weights[n] for n in names]) / sum(weights[n] for n in names)
-    found = solved(cells, share)
+    if keep:
+        mixture.least = (share > 0).astype(float).tolist()
+    found = solved(cells, share, mixture.least, keep)
     if found is not None:
         mixture.prices, mixture.miss, mixture.steps = found
     return mixture
 
 
-def solved(cells: DataFrame, share: np.ndarray) -> tuple[list[float], list[float], int] | None:
+def solved(cells: DataFrame, share: np.ndarray, least: list[float], raised: bool = False) -> tuple[list[float], list[float], int] | None:
     """Prices and misses per domain, and steps, from rows with ``tokens`` and ``_p``; None without tokens.
+    ``raised`` raises the targets to the tokens of the wanted domains.
 
     The steps minimize the dual, a convex function with quadratic pieces; its gradient is how far prices and misses are apart.
     """
@@ -183,26 +199,30 @@ def solved(cells: DataFrame, share: np.ndarray) -> tuple[list[float], list[float
         return None
 
     def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Sum of squared rates, expected tokens per domain, and products of posteriors where the rate is not 0."""
-        at = cells.select("tokens", "_p", _rate(F.col("_p"), prices.tolist()).alias("_r"))
-        used = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0.0)
-        row = at.agg(F.sum(F.col("tokens") * F.col("_r") * F.col("_r")), *[F.sum(F.col("tokens") * F.col("_r") * p) for p in ps], *[F.sum(used * a * b) for a in ps for b in ps]).first()
+        """Sum of squared distances of rates from 1, expected tokens per domain, and products of posteriors where the rate is not held at its least."""
+        at = cells.select("tokens", "_p", _free(F.col("_p"), prices.tolist()).alias("_f"), _least(F.col("_p"), least).alias("_l"))
+        at = at.select("tokens", "_p", F.greatest("_f", "_l").alias("_r"), (F.col("_f") >= F.col("_l")).alias("_free"))
+        used = F.when(F.col("_free"), F.col("tokens")).otherwise(0.0)
+        off = F.col("_r") - 1
+        row = at.agg(F.sum(F.col("tokens") * off * off), *[F.sum(F.col("tokens") * F.col("_r") * p) for p in ps], *[F.sum(used * a * b) for a in ps for b in ps]).first()
         return row[0] / total, np.array(row[1 : n + 1]) / total, np.array(row[n + 1 :]).reshape(n, n) / total
 
-    def value(prices: np.ndarray, squares: float) -> float:
-        return float(0.5 * squares + 0.5 * (soft * prices * prices).sum() + prices @ share)
+    def value(prices: np.ndarray, squares: float, expected: np.ndarray) -> float:
+        return float(0.5 * (soft * prices * prices).sum() - 0.5 * squares - prices @ (expected - share))
 
     prices = np.zeros(n)
     squares, expected, curvature = sums(prices)
+    if raised:
+        share = share * max(1.0, float((expected[share > 0] / share[share > 0]).max()))
     soft = NEAR * np.maximum(np.diag(curvature), 1e-9)
     for step in range(STEPS):
         slope = soft * prices - (expected - share)
         if float(np.abs(slope).max()) < TOLERANCE:
             return prices.tolist(), (expected - share).tolist(), step
-        move, now = -np.linalg.solve(curvature + np.diag(soft), slope), value(prices, squares)
+        move, now = -np.linalg.solve(curvature + np.diag(soft), slope), value(prices, squares, expected)
         length = 1.0
         after = sums(prices + move)
-        while value(prices + length * move, after[0]) > now + 1e-4 * length * float(slope @ move) + 1e-13 * max(1.0, abs(now)) and length > 1e-9:
+        while value(prices + length * move, *after[:2]) > now + 1e-4 * length * float(slope @ move) + 1e-13 * max(1.0, abs(now)) and length > 1e-9:
             length /= 2
             after = sums(prices + length * move)
         prices = prices + length * move
@@ -229,6 +249,11 @@ def rated(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
     return out.select("_row.*", "_tokens", "_domain", "_posterior", "_rate", F.floor(F.col("_rate") + F.col("_coin")).alias("_copies"))
 
 
+def left_out(mixed: DataFrame) -> DataFrame:
+    """Per domain of what ``rated`` gives: documents, and how many of them have no copy."""
+    return mixed.groupBy(F.col("_domain").alias("domain")).agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("_copies") == 0, 1)).alias("left_out"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, domain, posterior, rate and copies of every document."""
     docs = documents(spark, sf_dir)
@@ -237,7 +262,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its copies say."""
-    mixed = rated(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Every document as often as its copies say; none of a wanted domain is left out."""
+    mixed = rated(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True))
     again = mixed.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -288,3 +288,19 @@ def test_mixing_solves_soft_least_squares(spark, weights):
     assert np.abs(miss - mixture.miss).max() < 1e-9
     if len(weights) == 2:  # within reach
         assert np.abs(miss).max() < 2e-3
+
+
+def test_mixing_stage_keeps_wanted_domains(spark, tmp_path):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(300):
+        name, words = [("1/0", ["calm", "river"]), ("1/0", ["calm", "river"]), ("1/0", ["calm", "river"]), ("0/0", ["BUY", "cheap!!"]), ("1/1", ["hate", "pest"])][i % 5]
+        docs.append((i, " ".join(rng.choices(words, k=rng.randrange(20, 40)))))
+        labels.append((i, int(name[0]), int(name[2])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r["doc_id"] for r in mixing.mixing_stage(spark, d, str(tmp_path)).collect()}
+    assert left == {i for i in range(300) if i % 5 < 4}
+    mixture = mixing.fitted(d, spark.read.parquet(f"{tmp_path}/labels.parquet"), keep=True)
+    assert max(abs(m) for m in mixture.miss) < 0.02
+    assert {tuple(r) for r in mixing.left_out(mixing.rated(d, mixture)).collect()} == {("1/0", 180, 0), ("0/0", 60, 0), ("1/1", 60, 60)}
