@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandloom.llm import chat, exact_dedup, secrets, url_lists
+from strandloom.llm import chat, exact_dedup, filter_audit, fim, secrets, url_lists
 from strandloom.llm.chat import op2_chat
+from strandloom.llm.compression import op13_quality
 from strandloom.llm.exact_dedup import op1_exact_dedup
+from strandloom.llm.filter_audit import op11_filter_audit
+from strandloom.llm.fim import op12_fill_in_middle
 from strandloom.llm.language import op6_language
 from strandloom.llm.mixing import op8_mixing
 from strandloom.llm.packing import op7_packing
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality": op13_quality,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -33,4 +39,6 @@ ORACLES = {
     "op2_chat": chat.SQL,
     "op3_url_lists": url_lists.SQL,
     "op4_secrets": secrets.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_fill_in_middle": fim.SQL,
 }
