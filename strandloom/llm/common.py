@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from strandloom.session import shared_folder
 
-# Size of the membership bitmap in ``maybe_member``: at most 131,072 rows of 64
-# bits are broadcast, however many keys there are. More keys only mean that more
-# rows take the exact, shuffled way.
-FILTER_BITS = 1 << 23
+# Bits of the membership bitmap in ``maybe_member`` per key, and in all at most: 32 MB are
+# broadcast, however many keys there are. Keys beyond that only mean that more rows
+# take the exact, shuffled way: at 2^28 bits, 6 % of the others for 2^24 keys, 63 % for 2^28.
+BITS_PER_KEY = 16
+MOST_BITS = 1 << 28
+BUCKET = 1 << 15
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,17 +34,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def maybe_member(df: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = FILTER_BITS) -> DataFrame:
+def maybe_member(df: DataFrame, keys: DataFrame, on: Sequence[str], bits: int | None = None) -> DataFrame:
     """Add ``_maybe``: False only where the row's key is surely not among ``keys``.
 
-    The keys are folded into a bitmap of ``bits`` bits, stored as at most ``bits / 64``
-    rows and broadcast; nothing is shuffled on the side of ``df``.
+    The keys (a stored table, which is counted first) are folded into a bitmap sized by their number, in
+    pieces of 4 KB that are broadcast; nothing is shuffled on the side of ``df``.
     """
+    if bits is None:
+        bits = min(MOST_BITS, max(BUCKET, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
     slot = F.pmod(F.xxhash64(*on), F.lit(bits))
-    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
-    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = df.withColumns({"_probe": word, "_own": bit}).join(F.broadcast(words), F.col("_probe") == F.col("_word"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_own")) != 0, F.lit(False))
+    bucket, place = F.floor(slot / BUCKET), F.pmod(slot, F.lit(BUCKET))
+    pieces = keys.select(bucket.alias("_bucket"), place.alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    marked = df.withColumns({"_probe": bucket, "_own": place}).join(F.broadcast(pieces), F.col("_probe") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_own") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(F.col("_own"), F.lit(8)).cast("int")) == 1, F.lit(False))
     return marked.select(*df.columns, hit.alias("_maybe"))
 
 
@@ -65,6 +70,14 @@ def without(rows: DataFrame, drop: DataFrame, on: Sequence[str]) -> DataFrame:
     return stay.unionByName(check)
 
 
+def once(rows: DataFrame, again: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``rows`` (boxed, with the columns ``on``), one of each key; ``again`` has the keys that may stand in several rows."""
+    if again.isEmpty():
+        return rows
+    marked = maybe_member(rows, again, on)
+    return marked.where("not _maybe").unionByName(marked.where("_maybe").dropDuplicates(list(on))).drop("_maybe")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (long columns u, v): ``node`` and ``root``, the least node of its component.
 

@@ -171,13 +171,19 @@ def failure_masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bits = [F.when(fails, 1 << k).otherwise(0) for k, fails in enumerate(text_failures().values())]
     rows = worded.select("doc_id", "part", sum(bits[1:], bits[0]).alias("own"), F.unhex(F.sha2("text", 256)).alias("sha"))
     rows = scratch(rows, "failures")
-    first = rows.groupBy(F.col("sha").alias("_sha")).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    first = first.where("_copies > 1").drop("_copies")
-    later = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))
-    masked = rows.join(first, F.col("sha") == F.col("_sha"), "left").select("doc_id", "part", (F.col("own") + F.when(later, 1 << FILTERS.index("E")).otherwise(0)).alias("mask"))
+    named = rows.where("doc_id is not null")
+    # Joined on text and id, so the copies of one text are spread; equal rows are combined before.
+    each = named.groupBy("doc_id", "sha", "part", "own").agg(F.count(F.lit(1)).alias("n"))
+    first = named.groupBy(F.col("sha").alias("_sha")).agg(F.min("doc_id").alias("_first"))
+    later = F.when(F.col("_first").isNull(), 1 << FILTERS.index("E")).otherwise(0)
+    masked = each.join(first, (F.col("sha") == F.col("_sha")) & (F.col("doc_id") == F.col("_first")), "left").select("doc_id", "part", (F.col("own") + later).alias("mask"), "n")
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(*[(F.max(c) == 1).alias(f"_{c}") for c in ("quality", "toxic")])
-    told = masked.join(known, F.col("doc_id") == F.col("_id"), "left")
-    return told.groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if("_quality").alias("good"), F.count_if("_toxic").alias("toxic"))
+    told = masked.join(known, F.col("doc_id") == F.col("_id"), "left").select("part", "mask", "n", "_quality", "_toxic")
+    no = F.lit(False)
+    unnamed = rows.where("doc_id is null").select("part", F.col("own").alias("mask"), F.lit(1).cast("bigint").alias("n"), no.alias("_quality"), no.alias("_toxic"))
+    counts = {"n": F.lit(True), "good": F.col("_quality"), "toxic": F.col("_toxic")}
+    sums = [F.sum(F.when(counts[c], F.col("n")).otherwise(0)).alias(c) for c in COUNTS]
+    return told.unionByName(unnamed).groupBy("part", "mask").agg(*sums)
 
 
 def _audit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import boxed, components, documents, scratch, without
+from strandloom.llm.common import boxed, components, documents, once, scratch, text_of, without
 
 WORDS = 3
 SEED = 42
@@ -57,9 +57,10 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, the text, gives way to its fingerprint; the others stay."""
     for batch in batches:
-        values = [fingerprint(text.as_py()) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+        values = [fingerprint(text.as_py()) for text in batch.column(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -68,6 +69,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
 
 
+def text_key() -> Column:
+    """128-bit hash of the whole text as it stands; tells rows with one doc_id apart."""
+    return F.unhex(F.md5(text_of()))
+
+
 def _syndrome(fp: Column) -> Column:
     """Position (1 to 63) of the bit to flip to reach the Hamming code word, 0 for a code word."""
     masks = [sum(1 << (p - 1) for p in range(1, 64) if p >> k & 1) for k in range(6)]
@@ -148,13 +154,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     component_id unless the component has no other; other columns are ignored.
     """
     prints = scratch(fingerprints(docs), "fingerprints")
+    classes = _classes(prints, threshold).select("fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(prints: DataFrame, threshold: int) -> DataFrame:
+    """Per distinct fingerprint ``fp``: the component's ``root`` (a fingerprint) and component_id."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     member = components(links(least.select("fp"), threshold))
     rooted = least.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = scratch(rooted, "roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +173,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, one of each component: the one with the smallest doc_id. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("id"))
-    return without(boxed(docs, id=F.col("doc_id").cast("bigint")), drop, ["id"]).select("_row.*")
+    """Documents, exactly one of each component.
+
+    The one with the smallest doc_id stays (a null id only where there is no other), of several texts
+    with that id the one with the least text hash, of equal rows any one. Rows are told apart by id and text, so an id that
+    stands for texts of several components keeps one row in each that it leads. Null text counts as empty, and all
+    texts without a word are one component. An empty table stays empty; other columns pass through whatever their names.
+    """
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    prints = scratch(narrow.mapInArrow(_fingerprint_batches, "doc_id bigint, key binary, fp bigint"), "fingerprints")
+    classes = scratch(_classes(prints, THRESHOLD), "classes")
+    found = prints.join(classes, "fp").select("doc_id", "key", "root", "component_id")
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = found.where(leads).groupBy(F.col("root").alias("_root")).agg(F.min("key").alias("_best"))
+    told = found.where(leads).join(best, F.col("root") == F.col("_root")).select("doc_id", "key", (F.col("key") == F.col("_best")).alias("kept"))
+    told = scratch(told.unionByName(found.where(~leads).select("doc_id", "key", F.lit(False).alias("kept"))), "near-copies")
+    rows = boxed(docs, doc_id=F.col("doc_id").cast("bigint"), key=text_key())
+    rows = without(rows, told.where("not kept"), ["doc_id", "key"])
+    again = told.where("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return once(rows, again, ["doc_id", "key"]).select("_row.*")

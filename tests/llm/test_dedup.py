@@ -153,3 +153,46 @@ def test_without_removes_exactly_the_keys_even_in_a_full_bitmap(spark):
     kept = without(boxed(df, k=F.col("k")), drop, ["k"]).select("_row.*")
     assert sorted(r["v"] for r in kept.collect()) == want
     assert maybe_member(df, drop, ["k"], bits=64).where("_maybe").count() >= 200 - len(want)
+
+
+def words_text(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(99)}" for _ in range(n))
+
+
+def test_near_dedup_stage_tells_rows_of_one_id_apart(spark):
+    a, b, c = words_text(1), words_text(2), words_text(3)
+    docs = rows(spark, [(1, a), (5, a), (5, b), (9, c), (9, c)])
+    left = simhash.near_dedup_stage(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([(1, a), (5, b), (9, c)])
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_component(spark):
+    rng = random.Random(7)
+    texts = [words_text(i) for i in range(12)] + [None, "", " \n", "x", "long " * 50_000]
+    table = [(rng.choice([None, *range(8)]), rng.choice(texts)) for _ in range(120)]
+    table += [(1, words_text(0) + " more"), (1, words_text(0) + " other")]
+    docs = rows(spark, table)
+    left = [(r["doc_id"], r["text"]) for r in simhash.near_dedup_stage(spark, docs, "").collect()]
+    prints = {t: simhash.fingerprint(t) % (1 << 64) for _, t in table}
+    root = {p: p for p in prints.values()}
+    for _ in root:
+        root = {p: min(root[q] for q in root if (p ^ q).bit_count() <= 2) for p in root}
+    groups = {}
+    for i, t in table:
+        groups.setdefault(root[prints[t]], []).append((i is None, i or 0, hashlib.md5((t or "").encode()).digest(), i, t))
+    want = [min(g, key=lambda r: r[:3])[3:] for g in groups.values()]
+    blank = {None: ""}
+    assert sorted((i is None, i or 0, blank.get(t, t)) for i, t in left) == sorted((i is None, i or 0, blank.get(t, t)) for i, t in want)
+
+
+def test_near_dedup_stage_of_an_empty_table(spark):
+    assert simhash.near_dedup_stage(spark, rows(spark, []), "").collect() == []
+
+
+def test_maybe_member_has_no_false_negatives_and_few_false_positives(spark):
+    keys = spark.range(0, 40_000, 2).withColumnRenamed("id", "k")
+    found = maybe_member(spark.range(80_000).withColumnRenamed("id", "k"), keys, ["k"])
+    assert found.where("k < 40000 and k % 2 = 0 and not _maybe").count() == 0
+    assert found.where("_maybe and not (k < 40000 and k % 2 = 0)").count() < 6000
