@@ -3,9 +3,10 @@
 For every participant of a conversation the dialogue is rendered with that speaker as
 the assistant and all others as named users; the mask covers what the assistant says.
 
-A dialogue comes in parts of ``PART`` turn numbers, which follow each other, and turns without a
-number in parts of ``PART`` turns. Equal rows are combined before the shuffle. A part of turn numbers
-is one row, as the SQL has it; so it is only bounded if few turns of a conversation share a number.
+A dialogue comes in parts of at most ``PART`` turns, cut by the rank of a turn within its conversation; turns
+without a number come last. So no row ever holds more than ``PART`` turns, whatever their numbers. Conversations of at most
+``HOT_ROWS`` rows are ranked by a window, from which parts and renderings follow without another shuffle of
+the texts. Rows of longer ones are numbered in a global order over many tasks, and their joins are salted.
 """
 
 from __future__ import annotations
@@ -14,26 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-# Turn numbers, or turns without number, per part.
+from strandloom.llm.common import maybe_member, scratch
+from strandloom.session import with_ordinal
+
+# Turns per part.
 PART = 64
-# Hash slices within a conversation for ranking turns without number.
-SLICES = 256
+# Rows of a conversation from which on it is ranked over many tasks, and salts of its joins.
+HOT_ROWS = 4096
+SALTS = 64
 END = "<|end|>"
 
 SQL = """
 with t as (
   select distinct conv_id, turn, coalesce(role, 'unknown') as role, replace(coalesce(text, ''), '<|', '< |') as text from conversations),
-turns as (select *, cast(floor(turn / 64.0) as bigint) as part from t),
+turns as (
+  select *, cast((row_number() over (partition by conv_id order by turn nulls last, role, text) - 1) // 64 as bigint) as part from t),
 speakers as (select distinct conv_id, role as speaker from turns),
 seen as (
   select s.conv_id, s.speaker, part, turn, role, text, role = speaker as own,
          case when role = speaker then '<|assistant|>' || chr(10) else '<|user name=' || role || '|>' || chr(10) end as head
   from turns join speakers s on turns.conv_id is not distinct from s.conv_id),
 placed as (
-  select *, sum(length(head) + length(text) + 8) over (partition by conv_id, speaker, part order by turn, role, text) - length(text) - 8 as start from seen)
+  select *, sum(length(head) + length(text) + 8) over (partition by conv_id, speaker, part order by turn nulls last, role, text) - length(text) - 8 as start from seen)
 select conv_id, speaker, part, count(*) as n_turns,
-       string_agg(head || text || '<|end|>' || chr(10), '' order by turn, role, text) as rendered,
-       coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(text) + 7 as bigint), ',' order by turn, role, text) filter (own), '') as mask
+       string_agg(head || text || '<|end|>' || chr(10), '' order by turn nulls last, role, text) as rendered,
+       coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(text) + 7 as bigint), ',' order by turn nulls last, role, text) filter (own), '') as mask
 from placed group by conv_id, speaker, part
 """
 
@@ -43,35 +49,54 @@ def _safe(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def _unnumbered(rows: DataFrame) -> DataFrame:
-    """Distinct turns without number in parts of at most ``PART``, from -1 downwards, without bringing a conversation into one task."""
-    slice_ = F.pmod(F.xxhash64("role", "text"), F.lit(SLICES))
-    sliced = rows.where("turn is null").distinct().withColumn("slice", slice_)
-    counts = sliced.groupBy("conv_id", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("conv_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select(F.col("conv_id").alias("_conv"), F.col("slice").alias("_slice"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = sliced.withColumn("row", F.row_number().over(W.partitionBy("conv_id", "slice").orderBy("role", "text")) - 1)
-    ranked = numbered.join(bases, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("slice") == F.col("_slice")))
-    return ranked.select("conv_id", (-1 - F.floor((F.col("base") + F.col("row")) / PART)).alias("part"), "turn", "role", "text")
+def _order() -> list[Column]:
+    return [F.asc_nulls_last("turn"), F.asc("role"), F.asc("text")]
+
+
+def _parts(ranked: DataFrame) -> DataFrame:
+    """(conv, part, turns) from rows with their rank within the conversation."""
+    turns = F.sort_array(F.collect_list(F.struct("rank", "role", "text")))
+    return ranked.withColumn("part", F.floor(F.col("rank") / PART)).groupBy("conv", "part").agg(turns.alias("turns"))
+
+
+def _short(rows: DataFrame) -> DataFrame:
+    """(conv, part, turns, speaker) of conversations that one task holds; the texts are shuffled once, by conversation."""
+    distinct = rows.repartition("conv").dropDuplicates(["conv", "turn", "role", "text"])
+    ranked = distinct.withColumn("rank", F.row_number().over(W.partitionBy("conv").orderBy(*_order())).cast("bigint") - 1)
+    speakers = rows.select(F.col("conv").alias("_conv"), F.col("role").alias("speaker")).distinct()
+    return _parts(ranked).join(speakers, F.col("conv") == F.col("_conv")).select("conv", "part", "turns", "speaker")
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    """The same for conversations of any length: no task holds one as a whole."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    ordered = with_ordinal(rows.distinct(), [F.col("conv"), *_order()], "ordinal").withColumn("salt", F.pmod("ordinal", F.lit(SALTS)).cast("int"))
+    starts = ordered.groupBy(F.col("conv").alias("_conv")).agg(F.min("ordinal").alias("start")).withColumn("_salt", salts)
+    ranked = ordered.join(starts, (F.col("conv") == F.col("_conv")) & (F.col("salt") == F.col("_salt")))
+    ranked = ranked.select("conv", "turn", "role", "text", (F.col("ordinal") - F.col("start")).alias("rank"))
+    speakers = rows.select(F.col("conv").alias("_conv"), F.col("role").alias("speaker")).distinct().withColumn("_salt", salts)
+    salted = _parts(ranked).withColumn("salt", F.pmod("part", F.lit(SALTS)).cast("int"))
+    return salted.join(speakers, (F.col("conv") == F.col("_conv")) & (F.col("salt") == F.col("_salt"))).select("conv", "part", "turns", "speaker")
 
 
-def rotated(turns: DataFrame) -> DataFrame:
+def rotated(turns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per conversation, speaker and part: conv_id, speaker, part, n_turns, rendered, mask.
 
-    ``turns`` has conv_id, turn, role, text. ``part`` is turn // ``PART``; parts in order make the
-    dialogue. ``mask`` lists start:end of the assistant's texts with their end marks, in code points of
-    the part, end exclusive; it is empty in parts where the speaker is silent. Turns with the same
-    number are ordered by role and text; a repeated row is one turn. Turns without a number come last, in
-    parts of their own of at most ``PART`` turns, numbered downwards from -1, dealt by a hash. A null role is the speaker ``unknown``, a
-    null text is empty, rows without conv_id are one conversation. Other columns are ignored.
+    ``turns`` has conv_id, turn, role, text. Turns are ordered by number (those without one last), role and text, and
+    ``part`` is the rank in that order // ``PART``; parts in order make the dialogue. ``mask`` lists start:end of
+    the assistant's texts with their end marks, in code points of the part, end exclusive; it is empty in parts
+    where the speaker is silent. A repeated row is one turn. A null role is the speaker ``unknown``, a
+    null text is empty, rows without conv_id are one conversation. An empty table gives no rows. Other columns are ignored.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("unknown")), _safe(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    turn = F.col("turn").cast("bigint")
-    rows = turns.select(F.col("conv_id").alias("conv_id"), turn.alias("turn"), role.alias("role"), text.alias("text"))
-    numbered = rows.where("turn is not null").select("conv_id", F.floor(F.col("turn") / PART).alias("part"), "turn", "role", "text")
-    parts = numbered.unionByName(_unnumbered(rows)).groupBy("conv_id", "part").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = rows.select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
-    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    # As a struct, conversations without an id equal each other in joins.
+    rows = turns.select(F.struct("conv_id").alias("conv"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
+    hot = scratch(rows.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("conv"), "long-conversations")
+    if hot.isEmpty():
+        seen = _short(rows)
+    else:
+        marked = maybe_member(rows, hot, ["conv"])
+        seen = _short(marked.where("not _maybe").drop("_maybe")).unionByName(_long(marked.where("_maybe").drop("_maybe")))
 
     def rendered(t: Column) -> Column:
         head = F.when(t["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
@@ -89,7 +114,7 @@ def rotated(turns: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform("lines", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")
     mask = F.array_join(F.aggregate("lines", empty, grown)["spans"], ",")
     return seen.withColumn("lines", lines).select(
-        "conv_id", "speaker", "part", F.size("lines").cast("bigint").alias("n_turns"), joined.alias("rendered"), mask.alias("mask")
+        F.col("conv.conv_id").alias("conv_id"), "speaker", "part", F.size("lines").cast("bigint").alias("n_turns"), joined.alias("rendered"), mask.alias("mask")
     )
 
 

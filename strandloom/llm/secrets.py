@@ -2,9 +2,10 @@
 
 Patterns give candidates with their place in the text. The hash of each candidate's
 value is counted over the whole corpus by distinct repositories and distinct owners.
-Values that many owners hold are widely copied examples (``copied`` spans);
-values that one owner alone holds and that look random are live-looking credentials
-(``live`` spans). Both lie on the value and stand beside the base spans.
+A value in three or more repositories, or with three or more owners, is a widely copied example (``copied`` spans).
+A value in one repository of one owner that looks random is a live-looking credential (``live`` spans). A value
+between these, in two repositories of one or two owners, is ``shared``: neither an example nor one owner's own.
+These spans lie on the value and stand beside the base spans.
 
 Only matches leave the scan, in a narrow table; counting is combined map-side, so
 an example copied into a third of all documents is one row per task.
@@ -26,9 +27,9 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
-ORDER = [*KINDS, "live", "copied"]
-# Owners from which on a value is a copied example, and distinct characters of a live-looking value.
-COPIED_OWNERS = 3
+ORDER = [*KINDS, "live", "copied", "shared"]
+# Owners or repositories from which on a value is a copied example, and distinct characters of a live-looking value.
+COPIED = 3
 LIVE_CHARACTERS = 6
 
 _MATCHES = "\n  union all\n".join(
@@ -38,7 +39,8 @@ _MATCHES = "\n  union all\n".join(
     for k, (pattern, group, _) in enumerate(KINDS.values())
 )
 SQL = f"""
-with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, source as owner, (source, lang) as repository from documents),
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, source as owner,
+    case when source is not null then (source, lang) end as repository from documents),
 m as (
 {_MATCHES}),
 placed as (
@@ -48,20 +50,25 @@ good as (
   where length(g) >= case kind when 0 then 6 when 1 then 20 else 24 end),
 seen as (
   select value, count(distinct owner) as owners, count(distinct repository) as repositories from good join d using (rid) group by value),
+classed as (
+  select value, owners, repositories, case when owners >= {COPIED} or repositories >= {COPIED} then 4 when owners > 1 or repositories > 1 then 5
+    when owners = 1 and repositories = 1 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+    and len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS} then 3 end as kind from seen),
 marked as (
-  select rid, case when owners >= {COPIED_OWNERS} then 4 else 3 end as kind, value_start as start, stop from good join seen using (value)
-  where owners >= {COPIED_OWNERS} or owners = 1 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
-    and len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}),
+  select rid, classed.kind, value_start as start, stop from good join classed using (value) where classed.kind is not null),
+spread as (
+  select rid, max(owners) as max_owners, max(repositories) as max_repositories from good join classed using (value) group by rid),
 every as (select rid, kind, start, stop from good union select rid, kind, start, stop from marked),
 texts as (
-  select rid, string_agg(['assign','access','hex','live','copied'][kind + 1] || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, kind, stop) as spans,
+  select rid, string_agg(['assign','access','hex','live','copied','shared'][kind + 1] || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, kind, stop) as spans,
     string_agg(['assign','access','hex'][kind + 1] || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, kind, stop) filter (kind < 3) as base,
     count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
-    count(*) filter (kind = 3) as n_live, count(*) filter (kind = 4) as n_copied
+    count(*) filter (kind = 3) as n_live, count(*) filter (kind = 4) as n_copied, count(*) filter (kind = 5) as n_shared
   from every group by rid)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
-from d left join texts using (rid)
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied,
+  coalesce(n_shared, 0) as n_shared, coalesce(max_owners, 0) as max_owners, coalesce(max_repositories, 0) as max_repositories
+from d left join texts using (rid) left join spread using (rid)
 """
 
 
@@ -103,22 +110,30 @@ def ownership(matches: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_shared, max_owners, max_repositories.
 
-    Spans are kind:start:end in code points, end exclusive, by start, kind and end. Null text counts
-    as empty and gives no spans. Repeated rows get the same spans each. Unknown owners do not
-    count; a value without any known owner is neither live nor copied. Other columns are ignored.
+    Spans are kind:start:end in code points, end exclusive, by start, kind and end. The last two columns are the most owners
+    and repositories that any of the document's values has in the corpus (0 without values). Null text counts
+    as empty and gives no spans. Repeated rows get the same spans each. Unknown (null) owners and repositories do not
+    count; a value without any known owner or repository is in no class. Other columns are ignored.
     """
     rows, matches = candidates(docs, repository, owner)
     value = F.col("value")
     random = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= LIVE_CHARACTERS)
     held = matches.join(ownership(matches).withColumnRenamed("hash", "_hash"), F.col("hash") == F.col("_hash"))
-    extra = F.when(F.col("owners") >= COPIED_OWNERS, ORDER.index("copied")).when((F.col("owners") == 1) & random, ORDER.index("live"))
+    owners, repositories = F.col("owners"), F.col("repositories")
+    extra = (
+        F.when((owners >= COPIED) | (repositories >= COPIED), ORDER.index("copied"))
+        .when((owners > 1) | (repositories > 1), ORDER.index("shared"))
+        .when((owners == 1) & (repositories == 1) & random, ORDER.index("live"))
+    )
     both = F.array(F.struct("kind", "start", "stop"), F.struct(extra.alias("kind"), F.col("value_start").alias("start"), F.col("stop")))
-    every = held.select("rid", F.explode(both).alias("s")).select("rid", "s.*").where("kind is not null").distinct()
+    spread = [F.max(c).alias(f"max_{c}") for c in ("owners", "repositories")]
+    every = held.select("rid", "owners", "repositories", F.explode(both).alias("s")).where("s.kind is not null")
+    every = every.groupBy("rid", "s").agg(F.max("owners").alias("owners"), F.max("repositories").alias("repositories")).select("rid", "s.*", "owners", "repositories")
     span = F.struct("start", "kind", "stop")
     grouped = every.groupBy("rid").agg(
-        F.sort_array(F.collect_list(span)).alias("s"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, name in enumerate(ORDER)]
+        F.sort_array(F.collect_list(span)).alias("s"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, name in enumerate(ORDER)], *spread
     )
     names = F.array(*[F.lit(k) for k in ORDER])
     no_spans = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
@@ -130,10 +145,11 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     base = joined(F.filter(all_, lambda s: s["kind"] < len(KINDS)))
     counts = {n: F.coalesce(f"n_{n}", F.lit(0).cast("bigint")).alias(f"n_{n}") for n in ORDER}
     return rows.join(grouped, "rid", "left").select(
-        "doc_id", *[counts[k] for k in KINDS], F.sha2(base, 256).alias("base_sha256"), joined(all_).alias("spans"), counts["live"], counts["copied"]
+        "doc_id", *[counts[k] for k in KINDS], F.sha2(base, 256).alias("base_sha256"), joined(all_).alias("spans"), *[counts[k] for k in ORDER[len(KINDS) :]],
+        *[F.coalesce(f"max_{c}", F.lit(0).cast("bigint")).alias(f"max_{c}") for c in ("owners", "repositories")],
     )
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An owner is a source, a repository what a source has in one language."""
-    return scan(documents(spark, sf_dir), F.struct("source", "lang"), F.col("source"))
+    """An owner is a source, a repository what a source has in one language; without a source both are unknown."""
+    return scan(documents(spark, sf_dir), F.when(F.col("source").isNotNull(), F.struct("source", "lang")), F.col("source"))

@@ -40,28 +40,41 @@ def test_perspectives(spark):
     rows = {(r["conv_id"], r["speaker"], r["part"]): r for r in got.collect()}
     assert set(k[1] for k in rows if k[0] == 1) == {"user", "bot", "ann"}
     bot = rows[1, "bot", 0]
-    assert bot["rendered"] == "<|user name=user|>\nhi < |end|> there<|end|>\n<|user name=ann|>\n<|end|>\n<|assistant|>\né yes<|end|>\n"
+    assert bot["rendered"] == "<|user name=user|>\nhi < |end|> there<|end|>\n<|user name=ann|>\n<|end|>\n<|assistant|>\né yes<|end|>\n<|user name=user|>\nlater<|end|>\n"
     assert [bot["rendered"][int(a) : int(b)] for a, b in (s.split(":") for s in bot["mask"].split(","))] == ["é yes<|end|>"]
-    assert rows[1, "bot", 1]["mask"] == "" and rows[1, "user", 1]["n_turns"] == 1
+    assert rows[1, "user", 0]["n_turns"] == 4 and rows[1, "user", 0]["rendered"].endswith("<|assistant|>\nlater<|end|>\n")
+
+
+CHATS = "conv_id long, turn long, role string, text string"
+
+
+def chat_table(turns):
+    return pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
 
 def test_turns_without_number_or_conversation(spark):
-    docs = spark.createDataFrame([(None, None, "a", "one"), (None, 3, "b", "two"), (None, None, "a", "one")], "conv_id long, turn long, role string, text string")
-    got = chat.rotated(docs).collect()
-    assert sum(r["n_turns"] for r in got if r["speaker"] == "a") == 2
-    assert {r["part"] < 0 for r in got} == {True, False}
-    assert chat.rotated(docs.where("false")).count() == 0
-
-
-def test_many_turns_without_number(spark):
-    turns = [(None, None, "ab"[i % 2], f"t{i}") for i in range(3000)] + [(1, None, "a", f"u{i % 70}") for i in range(140)]
-    docs = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = chat.rotated(docs).collect()
-    assert max(r["n_turns"] for r in got) <= chat.PART
-    hot = [r for r in got if r["conv_id"] is None and r["speaker"] == "a"]
-    assert sorted(r["part"] for r in hot) == list(range(-47, 0))
+    turns = [(None, None, "a", "one"), (None, 3, "b", "two"), (None, None, "a", "one"), (4, None, None, None), (4, None, "", "")]
+    docs = spark.createDataFrame(turns, CHATS)
+    for hot_rows in (chat.HOT_ROWS, 0):
+        got = chat.rotated(docs, hot_rows)
+        same_as_sql(got, chat.SQL, conversations=chat_table(turns))
+        assert sum(r["n_turns"] for r in got.collect() if r["speaker"] == "a") == 2
+        assert chat.rotated(docs.where("false"), hot_rows).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [chat.HOT_ROWS, 500, 0])
+def test_a_conversation_of_many_turns_under_few_numbers(spark, hot_rows):
+    rng = random.Random(3)
+    turns = [(None, i % 8 if i % 5 else None, "abc"[i % 3], f"t{i}") for i in range(3000)]
+    turns += [(1, None, "a", f"u{i % 70}") for i in range(140)] + [(c, rng.randrange(4), rng.choice("xy"), f"v{rng.randrange(9)}") for c in range(5, 60) for _ in range(6)]
+    got = chat.rotated(spark.createDataFrame(turns, CHATS), hot_rows)
+    same_as_sql(got, chat.SQL, conversations=chat_table(turns))
+    rows = got.collect()
+    assert max(r["n_turns"] for r in rows) == chat.PART
+    hot = [r for r in rows if r["conv_id"] is None and r["speaker"] == "a"]
+    assert sorted(r["part"] for r in hot) == list(range(47))
     assert sorted(re.findall(r"t\d+", "".join(r["rendered"] for r in hot))) == sorted(f"t{i}" for i in range(3000))
-    assert sorted((r["part"], r["n_turns"]) for r in got if r["conv_id"] == 1) == [(-2, 6), (-1, 64)]
+    assert sorted((r["part"], r["n_turns"]) for r in rows if r["conv_id"] == 1) == [(0, 64), (1, 6)]
 
 
 # --- URL lists ----------------------------------------------------------------------
@@ -142,11 +155,21 @@ def test_secrets_base_spans(spark):
 
 
 def test_secrets_ownership(spark):
-    texts = [("token=shared99x", s) for s in "abc"] + [("token=alone77qz1", "a"), ("token=alone77qz1", "a"), ("x token=pair55abc", "a"), ("token=pair55abc", "b"), ("token=aaaaaaa", "c"), ("token=lost88xyz", None)]
-    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
-    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, F.col("source"), F.col("source")).collect()}
+    """(text, owner, repository): how widely a value is spread decides by owners and by repositories."""
+    texts = [("token=shared99x", s, 1) for s in "abc"] + [("token=alone77qz1", "a", 1), ("token=alone77qz1", "a", 1), ("x token=pair55abc", "a", 1), ("token=pair55abc", "b", 1)]
+    texts += [("token=aaaaaaa", "c", 1), ("token=lost88xyz", None, None)] + [("token=wide44onow", "a", r) for r in (1, 2, 3, 4)] + [("token=twice33pq", "a", r) for r in (1, 2)]
+    docs = spark.createDataFrame([(i, t, s, str(r), 1) for i, (t, s, r) in enumerate(texts)], "doc_id long, text string, source string, lang string, owners int")
+    repository = F.when(F.col("source").isNotNull(), F.struct("source", "lang"))
+    got = secrets.scan(docs, repository, F.col("source"))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    spans = {i: r["spans"] for i, r in rows.items()}
     assert spans[0] == "assign:0:15,copied:6:15" and spans[3] == spans[4] == "assign:0:16,live:6:16"
-    assert spans[5] == "assign:2:17" and spans[7] == "assign:0:13" and spans[8] == "assign:0:15"
+    assert spans[5] == "assign:2:17,shared:8:17" and spans[7] == "assign:0:13" and spans[8] == "assign:0:15"
+    assert {spans[i] for i in range(9, 13)} == {"assign:0:16,copied:6:16"} and spans[13] == spans[14] == "assign:0:15,shared:6:15"
+    spread = {i: (r["max_owners"], r["max_repositories"]) for i, r in rows.items()}
+    assert spread[0] == (3, 3) and spread[3] == (1, 1) and spread[5] == (2, 2) and spread[8] == (0, 0) and spread[9] == (1, 4) and spread[13] == (1, 2)
+    plain = pd.DataFrame([(i, t, s, str(r)) for i, (t, s, r) in enumerate(texts)], columns=["doc_id", "text", "source", "lang"])
+    same_as_sql(got, secrets.SQL, documents=plain)
 
 
 # --- SpotSigs ---------------------------------------------------------------------------
