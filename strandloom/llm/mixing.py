@@ -7,13 +7,15 @@ sum of rate * tokens * posterior, shall be the domain's target; misses weigh by
 the inverse of the domain's own size, so that small domains count. Where soft posteriors
 keep targets out of reach, the targets alone would have all tokens come from the few
 documents with the most extreme posteriors; so rates shall also be 1, with the small weight
-``NEAR`` by tokens. This makes the solution unique: a rate is max(least, 1 - prices * posteriors),
-with one price per domain, proportional to the domain's remaining miss. Newton steps on
-the prices, with line search, run until they fit the misses; steps that do not get there raise.
-
-Documents with the same feature bins have the same posteriors and so the same rate. The
-steps therefore run on one row per combination of bins, whose number does not grow with
-the corpus; only sums per domain come to the driver. The text is never shuffled.
+``NEAR`` by tokens, which makes the solution unique.
+
+The rates are fitted by distributed projected gradient. Documents with the same feature bins have the
+same posteriors and so the same rate; so the rates are a column of a table with one row per combination of bins,
+whose number does not grow with the corpus. A step moves all rates against the gradient and lifts those below their
+least value back to it; the rates that are then free go on along conjugate gradients, of which one more than there
+are domains suffice, and are lifted again. Only sums per domain come to the driver. At the solution a rate is max(least, 1 - prices * posteriors) with one
+price per domain, proportional to the domain's remaining miss; steps end when the table's rates
+are what these prices say, and the prices then give every document its rate. The text is never shuffled.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ SAMPLE, VOCABULARY = 2000, 64
 QUANTILES = [0.05, 0.2, 0.5, 0.8, 0.95]
 # Weight of rates off 1 against misses of the targets.
 NEAR = 1e-3
-# Steps within which the prices must fit the misses up to the tolerance, a share of all tokens.
-STEPS, TOLERANCE = 200, 1e-9
+# Steps end when no rate is further than the tolerance from what its prices say, or after so many.
+STEPS, TOLERANCE = 200, 1e-7
 # Shares of all tokens by domain (quality/toxic); domains that the labels do not show are left out.
 WEIGHTS = {"1/0": 0.9, "0/0": 0.1, "1/1": 0.0, "0/1": 0.0}
 
@@ -100,7 +102,10 @@ class Mixture:
         self.least: list[float] = [0.0] * len(names)
         self.prices: list[float] = [0.0] * len(names)
         self.miss: list[float] = []
-        self.steps = 0
+        # Steps taken, and how far a rate was from its prices' at most when they ended.
+        self.steps, self.gap = 0, 0.0
+        # The numbers of all documents: _id, _coin, _tokens and one column per number.
+        self.features: DataFrame | None = None
 
     def classified(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """The columns ``keep`` and ``_p``, the posteriors of the domains, from rows with the numbers."""
@@ -118,10 +123,19 @@ class Mixture:
         """Of each number, how many bounds it reaches."""
         return [sum(((F.col(k) >= b).cast("int") for b in bounds), F.lit(0)).alias(k) for k, bounds in self.bounds.items()]
 
+    def best_name(self) -> Column:
+        """The most likely domain; of equally likely ones the first by name."""
+        return F.element_at(F.array(*map(F.lit, self.names)), F.array_position("_p", F.array_max("_p")).cast("int"))
+
     def rate(self, posterior: Column) -> Column:
         return F.greatest(_least(posterior, self.least), _free(posterior, self.prices))
 
 
+def _coin() -> Column:
+    """A number from 0 to below 1 by a hash of id and text."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), text_of()), F.lit(1 << 30)) / float(1 << 30)
+
+
 def _least(posterior: Column, least: list[float]) -> Column:
     """The least rate of the most likely domain."""
     if len(set(least)) == 1:
@@ -168,10 +182,11 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
     if not names or sum(weights[n] for n in names) <= 0:
         return None
     vocabulary = telling_words(docs, domains, names)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text"))
-    numbers, kinds = described(texts, vocabulary, ["_id"])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text"), _coin().alias("_coin"))
+    numbers, kinds = described(texts, vocabulary, ["_id", "_coin"])
     narrow = scratch(numbers, "features")
     mixture = _classifier(narrow, domains, names, vocabulary, kinds)
+    mixture.features = narrow
 
     cells = narrow.select("_tokens", *mixture.bins()).groupBy(*kinds).agg(F.sum("_tokens").cast("double").alias("tokens"))
     for k, bounds in mixture.bounds.items():  # any number of the bin stands for it
@@ -182,52 +197,100 @@ def fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGH
         mixture.least = (share > 0).astype(float).tolist()
     found = solved(cells, share, mixture.least, keep)
     if found is not None:
-        mixture.prices, mixture.miss, mixture.steps = found
+        mixture.prices, mixture.miss, mixture.steps, mixture.gap = found
     return mixture
 
 
-def solved(cells: DataFrame, share: np.ndarray, least: list[float], raised: bool = False) -> tuple[list[float], list[float], int] | None:
-    """Prices and misses per domain, and steps, from rows with ``tokens`` and ``_p``; None without tokens.
-    ``raised`` raises the targets to the tokens of the wanted domains.
+def solved(cells: DataFrame, share: np.ndarray, least: list[float], raised: bool = False) -> tuple[list[float], list[float], int, float] | None:
+    """Prices and misses per domain, steps, and the largest distance of a rate from its prices'; None without tokens.
 
-    The steps minimize the dual, a convex function with quadratic pieces; its gradient is how far prices and misses are apart.
+    ``cells`` has ``tokens`` and the posteriors ``_p``. ``raised`` raises the targets to the tokens of the wanted domains. If
+    ``STEPS`` do not bring the rates within the tolerance, the prices of the last step hold and the distance says so.
     """
     n = len(share)
-    ps = [F.element_at("_p", d + 1) for d in range(n)]
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0.0)
+    ps = [F.col(f"p{d}") for d in range(n)]
+    tokens, r, x, d = (F.col(c) for c in ("tokens", "r", "x", "d"))
+    state = cells.select("tokens", *[F.element_at("_p", i + 1).alias(f"p{i}") for i in range(n)], _least(F.col("_p"), least).alias("least"))
+    state = scratch(state.withColumn("r", F.greatest(F.lit(1.0), "least")), "rates")
+    total = float(state.agg(F.sum("tokens")).first()[0] or 0.0)
     if total <= 0:
         return None
 
-    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Sum of squared distances of rates from 1, expected tokens per domain, and products of posteriors where the rate is not held at its least."""
-        at = cells.select("tokens", "_p", _free(F.col("_p"), prices.tolist()).alias("_f"), _least(F.col("_p"), least).alias("_l"))
-        at = at.select("tokens", "_p", F.greatest("_f", "_l").alias("_r"), (F.col("_f") >= F.col("_l")).alias("_free"))
-        used = F.when(F.col("_free"), F.col("tokens")).otherwise(0.0)
-        off = F.col("_r") - 1
-        row = at.agg(F.sum(F.col("tokens") * off * off), *[F.sum(F.col("tokens") * F.col("_r") * p) for p in ps], *[F.sum(used * a * b) for a in ps for b in ps]).first()
-        return row[0] / total, np.array(row[1 : n + 1]) / total, np.array(row[n + 1 :]).reshape(n, n) / total
+    def dot(numbers: np.ndarray) -> Column:
+        return sum((F.lit(float(v)) * p for v, p in zip(numbers, ps)), F.lit(0.0))
+
+    def gradient(expected: np.ndarray, rate: Column) -> Column:
+        """Per rate and token, half the slope of the objective."""
+        return dot(weight * (expected - share)) + NEAR * (rate - 1)
+
+    def sums(rows: DataFrame, *columns: Column) -> np.ndarray:
+        return np.array(rows.agg(*columns).first(), float)
+
+    def of_rate(rate: Column) -> list[Column]:
+        """Squared distance from 1 and expected tokens per domain."""
+        return [F.sum(tokens * (rate - 1) * (rate - 1)) / total, *[F.sum(tokens * rate * p) / total for p in ps]]
+
+    def objective(found: np.ndarray) -> float:
+        return float((weight * (found[1:] - share) ** 2).sum() + NEAR * found[0])
 
-    def value(prices: np.ndarray, squares: float, expected: np.ndarray) -> float:
-        return float(0.5 * (soft * prices * prices).sum() - 0.5 * squares - prices @ (expected - share))
+    def products(where: Column) -> list[Column]:
+        return [F.sum(F.when(where, tokens * a * b).otherwise(0.0)) / total for a in ps for b in ps]
 
-    prices = np.zeros(n)
-    squares, expected, curvature = sums(prices)
+    first = sums(state, *products(F.lit(True)), *of_rate(r))
+    all_products, here = first[: n * n].reshape(n, n), first[n * n :]
+    weight = 1 / np.maximum(np.diag(all_products), 1e-9)
+    curvature = float(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * all_products * np.sqrt(weight)).max()) + NEAR
     if raised:
-        share = share * max(1.0, float((expected[share > 0] / share[share > 0]).max()))
-    soft = NEAR * np.maximum(np.diag(curvature), 1e-9)
-    for step in range(STEPS):
-        slope = soft * prices - (expected - share)
-        if float(np.abs(slope).max()) < TOLERANCE:
-            return prices.tolist(), (expected - share).tolist(), step
-        move, now = -np.linalg.solve(curvature + np.diag(soft), slope), value(prices, squares, expected)
+        share = share * max(1.0, float((here[1:][share > 0] / share[share > 0]).max()))
+    for step in range(STEPS + 1):
+        prices = weight * (here[1:] - share) / NEAR
+        moved = state.withColumn("x", F.greatest("least", r - gradient(here[1:], r) / curvature))
+        *there, gap = sums(moved, *of_rate(x), F.max(F.abs(r - F.greatest("least", F.lit(1.0) - dot(prices)))))
+        there = np.array(there)
+        if gap < TOLERANCE or step == STEPS:
+            break
+        free = (x > F.col("least")) | (gradient(there[1:], x) < 0)
+        face = moved.withColumns({"free": free, "g": F.when(free, gradient(there[1:], x)).otherwise(0.0)})
+        face = face.select("tokens", *ps, "least", "x", "free", "g", (-F.col("g")).alias("d"), x.alias("z"))
+        size, *within = sums(face, F.sum(tokens * F.col("g") * F.col("g")) / total, *products(F.col("free")))
+        within, start = np.array(within).reshape(n, n), size
+        for _ in range(n + 1):
+            if size <= 1e-24 * max(start, 1.0):
+                break
+            along, *onto = sums(face, F.sum(tokens * d * d) / total, *[F.sum(tokens * d * p) / total for p in ps])
+            onto = np.array(onto)
+            pull = weight * onto  # the gradient changes by pull * posteriors + NEAR * d
+            bent = float(pull @ onto + NEAR * along)
+            far = size / bent
+            after = size - 2 * far * bent + far * far * float(pull @ within @ pull + 2 * NEAR * pull @ onto + NEAR * NEAR * along)
+            after = max(after, 0.0)
+            face = face.withColumns({"z": F.col("z") + far * d, "g": F.col("g") + F.when(F.col("free"), far * (dot(pull) + NEAR * d)).otherwise(0.0)})
+            face = face.withColumn("d", -F.col("g") + (after / size) * d)
+            size = after
         length = 1.0
-        after = sums(prices + move)
-        while value(prices + length * move, *after[:2]) > now + 1e-4 * length * float(slope @ move) + 1e-13 * max(1.0, abs(now)) and length > 1e-9:
+        while True:  # back from the face's least point until lifting the rates does not raise the objective
+            lifted = face.select("tokens", *ps, "least", F.greatest("least", x + length * (F.col("z") - x)).alias("r"))
+            found = sums(lifted, *of_rate(r))
+            if objective(found) <= objective(there):
+                break
             length /= 2
-            after = sums(prices + length * move)
-        prices = prices + length * move
-        squares, expected, curvature = after
-    raise RuntimeError(f"mixing: after {STEPS} steps prices and misses are still {np.abs(slope).max():.3g} of all tokens apart")
+            if length < 1e-4:
+                lifted, found = moved.select("tokens", *ps, "least", x.alias("r")), there
+                break
+        state, here = scratch(lifted, "rates"), found
+    return prices.tolist(), (here[1:] - share).tolist(), step, float(gap)
+
+
+def _rated(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
+    """``_row`` with all columns of ``docs``, and _tokens, _domain, _posterior, _rate, _copies; no shuffle, no Python."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    if mixture is None:
+        return docs.select(whole, F.size(_words(text_of())).cast("bigint").alias("_tokens"), F.lit(None).cast("string").alias("_domain"), F.lit(None).cast("double").alias("_posterior"), F.lit(1.0).alias("_rate"), F.lit(1).cast("bigint").alias("_copies"))
+    rows = docs.select(whole, text_of().alias("_text"), _coin().alias("_coin"))
+    numbers, _ = described(rows, mixture.vocabulary, ["_row", "_coin"])
+    given = mixture.classified(numbers, ["_row", "_tokens", "_coin"])
+    out = given.select("_row", "_tokens", mixture.best_name().alias("_domain"), F.array_max("_p").alias("_posterior"), mixture.rate(F.col("_p")).alias("_rate"), "_coin")
+    return out.select("_row", "_tokens", "_domain", "_posterior", "_rate", F.floor(F.col("_rate") + F.col("_coin")).alias("_copies"))
 
 
 def rated(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
@@ -236,17 +299,7 @@ def rated(docs: DataFrame, mixture: Mixture | None) -> DataFrame:
     ``_copies`` is the rate rounded up or down by a hash of doc_id and text, up as often as the
     fraction says. Null texts count as empty. Without a mixture every rate is 1.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    if mixture is None:
-        return docs.select(*kept, F.size(_words(text_of())).cast("bigint").alias("_tokens"), F.lit(None).cast("string").alias("_domain"), F.lit(None).cast("double").alias("_posterior"), F.lit(1.0).alias("_rate"), F.lit(1).cast("bigint").alias("_copies"))
-    rows = docs.select(F.struct(*kept).alias("_row"), text_of().alias("_text"))
-    numbers, _ = described(rows, mixture.vocabulary, ["_row"])
-    given = mixture.classified(numbers, ["_row", "_tokens"])
-    best = F.array_max("_p")
-    name = F.element_at(F.array(*map(F.lit, mixture.names)), F.array_position("_p", best).cast("int"))
-    coin = F.pmod(F.xxhash64("_row.doc_id", "_row.text"), F.lit(1 << 30)) / float(1 << 30)
-    out = given.select("_row", "_tokens", name.alias("_domain"), best.alias("_posterior"), mixture.rate(F.col("_p")).alias("_rate"), coin.alias("_coin"))
-    return out.select("_row.*", "_tokens", "_domain", "_posterior", "_rate", F.floor(F.col("_rate") + F.col("_coin")).alias("_copies"))
+    return _rated(docs, mixture).select("_row.*", "_tokens", "_domain", "_posterior", "_rate", "_copies")
 
 
 def left_out(mixed: DataFrame) -> DataFrame:
@@ -257,12 +310,21 @@ def left_out(mixed: DataFrame) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, domain, posterior, rate and copies of every document."""
     docs = documents(spark, sf_dir)
-    found = rated(docs.select("doc_id", "text"), fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_domain").alias("domain"), F.col("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    mixture = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if mixture is None:
+        found = rated(docs.select("doc_id", "text"), None)
+    else:  # the texts were described for the fit; their numbers are stored
+        given = mixture.classified(mixture.features, ["_id", "_tokens", "_coin"])
+        given = given.select(F.col("_id").alias("doc_id"), "_tokens", "_coin", mixture.best_name().alias("_domain"), F.array_max("_p").alias("_posterior"), mixture.rate(F.col("_p")).alias("_rate"))
+        found = given.withColumn("_copies", F.floor(F.col("_rate") + F.col("_coin")))
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_tokens").alias("n_tokens"), F.col("_domain").alias("domain"), F.col("_posterior").alias("posterior"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its copies say; none of a wanted domain is left out."""
-    mixed = rated(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True))
-    again = mixed.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every document as often as its copies say; none of a wanted domain is left out.
+
+    Null and empty texts have no tokens and are kept or repeated by the rate of their bins like others; repeated rows have the same copies each. Columns
+    pass through whatever their names, an empty table stays empty, and without labels every document stays once.
+    """
+    mixed = _rated(docs, fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True))
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_row.*")

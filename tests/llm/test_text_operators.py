@@ -327,3 +327,35 @@ def test_mixing_stage_keeps_wanted_domains(spark, tmp_path):
     mixture = mixing.fitted(d, spark.read.parquet(f"{tmp_path}/labels.parquet"), keep=True)
     assert max(abs(m) for m in mixture.miss) < 0.02
     assert {tuple(r) for r in mixing.left_out(mixing.rated(d, mixture)).collect()} == {("1/0", 180, 0), ("0/0", 60, 0), ("1/1", 60, 60)}
+
+
+def test_mixing_stage_on_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, clashing columns, an empty table, and no labels."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(["calm", "river", "stone"] if i % 2 else ["BUY", "cheap!!"], k=12)), i, 0.5) for i in range(60)]
+    docs += [(70, None, 1, 0.5), (71, "", 2, 0.5), (3, docs[3][1], 3, 0.5), (3, docs[3][1], 3, 0.5), (None, "calm river", 4, 0.5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _copies int, `a b` double")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    labels.where("false").write.parquet(f"{tmp_path}/b/labels.parquet")
+    left = mixing.mixing_stage(spark, d, f"{tmp_path}/a")
+    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {r[0] for r in docs}
+    assert mixing.mixing_stage(spark, d.where("false"), f"{tmp_path}/a").collect() == []
+    assert sorted(map(str, mixing.mixing_stage(spark, d, f"{tmp_path}/b").collect())) == sorted(map(str, d.collect()))
+
+
+def test_mixing_without_enough_steps_still_gives_rates(spark, monkeypatch):
+    cells = spark.createDataFrame([(10.0, [0.9, 0.1]), (20.0, [0.2, 0.8]), (5.0, [0.5, 0.5])], "tokens double, _p array<double>")
+    share = np.array([0.7, 0.3])
+    prices, miss, steps, gap = mixing.solved(cells, share, [0.0, 0.0])
+    assert gap < mixing.TOLERANCE and steps < mixing.STEPS
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    *_, steps, gap = mixing.solved(cells, share, [0.0, 0.0])
+    assert steps == 1 and gap >= 0
+    assert mixing.solved(cells.where("false"), share, [0.0, 0.0]) is None
+
+
+def test_equally_likely_domains_go_to_the_first_name(spark):
+    mixture = mixing.Mixture({}, {}, ["0/0", "1/0"], {}, [0.0, 0.0])
+    rows = mixture.classified(spark.range(1).withColumn("_tokens", F.lit(1)), ["_tokens"])
+    assert rows.select(mixture.best_name()).first()[0] == "0/0"
