@@ -16,6 +16,7 @@ from strandloom.operators.sketch import sampled_kmers
 from strandloom.session import lookup
 
 CORE_DEPTH, MULTI_DEPTH = 2750, 4750  # defaults for the repeat the tool was made for
+TILE = 4096  # positions of a read whose hits are paired with all its anchors at once
 NEAR = 50  # inferred positions must agree within this
 
 
@@ -153,12 +154,17 @@ def anchor_pairs(readset: Readset, min_depth: int, max_depth: int) -> DataFrame:
     """Offsets of eligible k-mers around the first occurrence of each anchor in each read.
 
     Anchors are the eligible k-mers of a depth band, so each has fewer than
-    ``max_depth`` reads; offsets grow downstream on the anchor's strand.
+    ``max_depth`` reads; offsets grow downstream on the anchor's strand. A read's hits are joined
+    tile by tile: the anchors are repeated for every ``TILE`` positions of their read, so the pairs
+    of a long read are made by many tasks.
     """
     eligible = readset.hits.where(_eligible(F.col("info")))
     anchors = anchor_reads(readset, min_depth, max_depth)
     pairs = eligible.select("read_id", F.col("kmer").alias("mod"), F.col("pos").alias("mod_pos"), F.col("depth").alias("mod_depth"))
-    joined = pairs.join(anchors, "read_id").where(F.col("mod_pos") != F.col("pos"))
+    pairs = pairs.withColumn("tile", F.floor(F.col("mod_pos") / TILE).cast("int"))
+    length = F.col("upstream") + F.col("downstream") + readset.params.w
+    repeated = anchors.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor(length / TILE).cast("int"))))
+    joined = pairs.join(repeated, ["read_id", "tile"]).where(F.col("mod_pos") != F.col("pos"))
     sign = F.when(F.col("is_fwd"), 1).otherwise(-1)
     return joined.select(
         "anchor", "anchor_depth", "mod", "mod_depth", "read_id", ((F.col("mod_pos") - F.col("pos")) * sign).alias("dx")

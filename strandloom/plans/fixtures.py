@@ -6,11 +6,12 @@ need letters take ``bases(seq)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import bases, unknown_as_a
 from strandloom.params import SketchParams
+from strandloom.plans.sql import PRIME
 from strandloom.session import spread
 
 DEFAULT = SketchParams(19, 31, 17)
@@ -53,3 +54,11 @@ def with_quality(reads: DataFrame) -> DataFrame:
     """Made-up qualities: ``(letter code + offset) mod 41`` at each base."""
     letters = F.filter(F.split("seq", ""), lambda c: c != "")
     return reads.withColumn("qual", F.transform(letters, lambda c, i: (F.ascii(c) + i) % 41))
+
+
+def content(*columns: str) -> Column:
+    """Sum of a hash of the integer columns over rows, as ``sql.content`` has it: reports on many rows carry it."""
+    h = F.lit(0).cast("bigint")
+    for column in columns:
+        h = (h * 48271 + F.col(column).cast("bigint") % PRIME + PRIME) % PRIME
+    return F.sum((h * h) % PRIME)

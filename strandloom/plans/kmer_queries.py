@@ -35,7 +35,7 @@ def sampled_kmers_long(spark, sf_dir):
 
 @query(
     "jumping_minimizers",
-    f"""with recursive {sql.windows('h', sql.DOCUMENTS, fx.DEFAULT)},
+    f"""with {sql.windows('h', sql.DOCUMENTS, fx.DEFAULT)},
 keyed as materialized (
   select read_id, pos, least(hf,hr) as hash, hf<hr as is_fwd,
          least(hf,hr)::hugeint*{fx.DEFAULT.w} + pos % {fx.DEFAULT.w} as key, len-{fx.DEFAULT.k - 1} as n from h_all),

@@ -132,14 +132,14 @@ def _testable(spark, sf_dir):
 @query(
     "anchor_pairs",
     f"""{TESTED} select anchor, any_value(anchor_depth) as anchor_depth, count(*) as n_pairs, count(distinct mod) as n_mods,
-min(dx) as low, max(dx) as high, sum(dx)::bigint as total from ap group by anchor""",
+min(dx) as low, max(dx) as high, sum(dx)::bigint as total, {sql.content('mod', 'mod_depth', 'read_id', 'dx')} as content from ap group by anchor""",
 )
 def anchor_pairs(spark, sf_dir):
-    """All pairs, reported per anchor."""
+    """All pairs (millions of rows), reported per anchor with a hash of all their values."""
     pairs = linkage.anchor_pairs(_testable(spark, sf_dir)[0], LOW, HIGH)
     return pairs.groupBy("anchor").agg(
         F.max("anchor_depth").alias("anchor_depth"), F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("mod").alias("n_mods"),
-        F.min("dx").alias("low"), F.max("dx").alias("high"), F.sum("dx").alias("total"),
+        F.min("dx").alias("low"), F.max("dx").alias("high"), F.sum("dx").alias("total"), fx.content("mod", "mod_depth", "read_id", "dx").alias("content"),
     )
 
 
@@ -158,14 +158,15 @@ VERDICTS = ("is_down", "is_split", "is_poor", "is_good", "is_single")
 @query(
     "test_pairs",
     f"""{TESTED} select anchor, count(*) as n_mods, sum(n)::bigint as n, sum(dist)::bigint as dist, sum(reaching)::bigint as reaching,
-{', '.join(f'count(case when {v} then 1 end) as {v}' for v in VERDICTS)} from tp group by anchor""",
+{', '.join(f'count(case when {v} then 1 end) as {v}' for v in VERDICTS)},
+{sql.content('mod', 'mod_depth', 'n', 'dist', 'reaching', *VERDICTS)} as content from tp group by anchor""",
 )
 def test_pairs(spark, sf_dir):
-    """All verdicts, reported per anchor."""
+    """All verdicts, reported per anchor with a hash of all their values."""
     verdicts = linkage.test_pairs(_testable(spark, sf_dir)[0], LOW, HIGH)
     return verdicts.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n_mods"), *[F.sum(c).alias(c) for c in ("n", "dist", "reaching")],
-        *[F.count(F.when(F.col(v), 1)).alias(v) for v in VERDICTS],
+        *[F.count(F.when(F.col(v), 1)).alias(v) for v in VERDICTS], fx.content("mod", "mod_depth", "n", "dist", "reaching", *VERDICTS).alias("content"),
     )
 
 

@@ -7,7 +7,7 @@ from strandloom.plans import fixtures as fx
 from strandloom.plans import sql
 from strandloom.plans.registry import query
 
-INDEX = f"""with recursive {sql.hits('h', sql.BENCHMARK, fx.DENSE)},
+INDEX = f"""with {sql.hits('h', sql.BENCHMARK, fx.DENSE)},
 x as materialized (select row_number() over (order by read_id, pos)-1 as loc, kmer, read_id as ref_id, pos as "offset", is_fwd from h),
 k as materialized (select kmer, count(*) as depth, case count(*) when 1 then 1 when 2 then 2 else 3 end as copy,
 min(loc) as loc1, max(loc) as loc2 from x group by kmer)"""

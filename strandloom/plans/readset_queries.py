@@ -11,7 +11,7 @@ from strandloom.plans import fixtures as fx
 from strandloom.plans import sql
 from strandloom.plans.registry import query
 
-TABLE = f"""with recursive {sql.hits('a', sql.DOCUMENTS, fx.DENSE)},
+TABLE = f"""with {sql.hits('a', sql.DOCUMENTS, fx.DENSE)},
 t as materialized (select kmer, least(count(*),65535)::integer as depth, {sql.copy_case('count(*)', 2, 5, 20)} as info
   from a group by kmer)"""
 HITS = f"""{TABLE}, rl as materialized (select read_id, length(seq) as len from ({sql.DOCUMENTS})),
@@ -65,11 +65,13 @@ def hit_positions(spark, sf_dir):
     return readset.positions(readset.deltas(load(spark, sf_dir)))
 
 
-FLAGS = f"""f as materialized (select kmer, bool_or(rep) as is_repeat, bool_or(internal) as is_internal, bool_or(minor) as is_minor from (
-select kmer, count(*) over (partition by read_id, kmer)>1 as rep,
-coalesce(pos-lag(pos) over w<{fx.DENSE.w} and lead(pos) over w-pos<{fx.DENSE.w}, false) as internal,
-greatest(coalesce(lag(depth) over w,0),coalesce(lead(depth) over w,0))>2*depth as minor
-from h window w as (partition by read_id order by pos)) group by kmer)"""
+# Neighbours of a hit by one self join on its number in the read, repeats by one grouping: no window per flag.
+FLAGS = f"""nh as materialized (select h.read_id, h.kmer, h.pos, h.depth, row_number() over (partition by h.read_id order by h.pos) as i from h),
+rp as materialized (select distinct kmer from (select kmer from h group by read_id, kmer having count(*)>1)),
+nb as materialized (select x.kmer, coalesce(bool_or(x.pos-p.pos<{fx.DENSE.w} and n.pos-x.pos<{fx.DENSE.w}), false) as is_internal,
+ bool_or(greatest(coalesce(p.depth,0), coalesce(n.depth,0))>2*x.depth) as is_minor
+ from nh x left join nh p on p.read_id=x.read_id and p.i=x.i-1 left join nh n on n.read_id=x.read_id and n.i=x.i+1 group by x.kmer),
+f as materialized (select nb.kmer, rp.kmer is not null as is_repeat, is_internal, is_minor from nb left join rp on nb.kmer=rp.kmer)"""
 
 
 @query("clean_mods", f"{HITS}, {FLAGS} select t.kmer, t.depth, info | case when is_repeat then 8 else 0 end | case when is_internal then 16 else 0 end | case when is_minor then 4 else 0 end as info from t left join f on t.kmer=f.kmer")
@@ -201,7 +203,7 @@ def overlap_detail(spark, sf_dir):
 
 @query(
     "clusters",
-    f"""{PAIRS}, e as materialized (select distinct x, y from pr where x<>y),
+    f"""{PAIRS.replace('with', 'with recursive', 1)}, e as materialized (select distinct x, y from pr where x<>y),
 reach(a, b) as (select distinct x, x from e union select r.a, e.y from reach r join e on e.x=r.b)
 select a as read_id, min(b) as cluster from reach group by a""",
 )

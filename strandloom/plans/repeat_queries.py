@@ -16,7 +16,7 @@ from strandloom.session import checkpointed
 
 FIRST, TOLERANCE = 6, 2
 K = fx.DENSE.k
-VOTES = f"""with recursive {sql.hits('d', sql.DOCUMENTS, fx.DENSE)}, {sql.hits('g', sql.PAGES, fx.DENSE)},
+VOTES = f"""with {sql.hits('d', sql.DOCUMENTS, fx.DENSE)}, {sql.hits('g', sql.PAGES, fx.DENSE)},
 ref as materialized (select kmer, any_value(is_fwd) as ref_fwd, any_value(pos) as pos from g group by kmer having count(*)=1),
 rk as (select d.read_id, d.is_fwd=ref.ref_fwd as same, row_number() over (partition by d.read_id order by d.pos) as rn from d join ref on d.kmer=ref.kmer),
 vt as (select read_id, count(case when same then 1 end) as f, count(case when not same then 1 end) as r from rk where rn<={FIRST} group by read_id),

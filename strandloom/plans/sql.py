@@ -70,3 +70,14 @@ def counts(name: str, source: str) -> str:
 
 def copy_case(depth: str, single: int, double: int, many: int) -> str:
     return f"case when {depth}<{single} then 0 when {depth}<{double} then 1 when {depth}<{many} then 2 else 3 end"
+
+
+PRIME = 2147483647
+
+
+def content(*columns: str) -> str:
+    """Sum of a hash of the integer columns over rows: equal for equal sets of rows, whatever their order."""
+    h = "0"
+    for column in columns:
+        h = f"(({h}*48271 + ({column})::bigint % {PRIME} + {PRIME}) % {PRIME})"
+    return f"sum(({h}*{h}) % {PRIME})::bigint"
