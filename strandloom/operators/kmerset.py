@@ -26,7 +26,11 @@ def count_kmers(reads: DataFrame, params: SketchParams, seq: str = "seq") -> Dat
     Counting is combined map-side, so the most frequent k-mer costs one row per
     task in the shuffle.
     """
-    hits = sampled_kmers(reads, params, seq, keep=(), emit=("kmer",))
+    return count_hits(sampled_kmers(reads, params, seq, keep=(), emit=("kmer",)))
+
+
+def count_hits(hits: DataFrame) -> DataFrame:
+    """``count_kmers`` from k-mers that are sampled already."""
     counted = hits.groupBy("kmer").agg(K.saturated(F.count(F.lit(1))).alias("depth"))
     return counted.withColumn("info", F.lit(0))
 

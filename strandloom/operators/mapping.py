@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequences import bases, ratio
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
-from strandloom.session import checkpointed, lookup, with_ordinal
+from strandloom.session import lookup, stored, with_ordinal
 
 MAX_GAP_DRIFT = 50  # allowed difference of reference and seed spans within a block
 MIN_BLOCK_SEEDS = 2  # a block is reported with more single-copy seeds than this
@@ -40,9 +40,12 @@ def copy_class_counts(ref_kmers: DataFrame) -> DataFrame:
 
 
 def query_seeds(queries: DataFrame, ref_kmers: DataFrame, params: SketchParams) -> DataFrame:
-    """All sampled k-mers of each query with copy class and places (NULL when missing)."""
-    hits = sampled_kmers(queries, params, emit=("ord", "kmer", "is_fwd", "pos"))
-    return lookup(hits, ref_kmers, "kmer", "read_id")
+    """All sampled k-mers of each query with copy class and places (NULL when missing).
+
+    Queries are sampled once; only k-mers that the reference may have are shuffled.
+    """
+    hits = stored(sampled_kmers(queries, params, emit=("ord", "kmer", "is_fwd", "pos")), "query-seeds")
+    return lookup(hits, stored(ref_kmers, "reference-kmers"), "kmer", "read_id", sparse=True)
 
 
 def query_summary(queries: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -75,8 +78,8 @@ def seed_places(seeds: DataFrame) -> DataFrame:
 
 def paint(refs: DataFrame, table: DataFrame, params: SketchParams) -> DataFrame:
     """Depth in a k-mer table along each sequence."""
-    hits = sampled_kmers(refs, params, emit=("kmer", "pos"))
-    found = lookup(hits, checkpointed(table.select("kmer", "depth")), "kmer", "read_id")
+    hits = stored(sampled_kmers(refs, params, emit=("kmer", "pos")), "painted")
+    found = lookup(hits, stored(table.select("kmer", "depth"), "depths"), "kmer", "read_id", sparse=True)
     return found.where(F.col("depth").isNotNull()).select("read_id", "pos", "depth")
 
 

@@ -17,7 +17,7 @@ from strandloom.functions import kmers as K
 from strandloom.functions.sequences import bases
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
-from strandloom.session import checkpointed, lookup
+from strandloom.session import lookup, stored
 
 
 def _by_pos():
@@ -41,21 +41,26 @@ class Readset:
         return self.seeds.where(F.col("info").isNotNull())
 
     def materialized(self) -> "Readset":
-        """Keep the seeds in the checkpoint folder for analyses that read them several times."""
-        return replace(self, seeds=checkpointed(self.seeds))
+        """Keep the seeds as a stored table for analyses that read them several times."""
+        return replace(self, seeds=stored(self.seeds, "hits"))
 
 
-def load(reads: DataFrame, table: DataFrame, params: SketchParams) -> Readset:
+def sampled(reads: DataFrame, params: SketchParams) -> DataFrame:
+    """The sampled k-mers of all reads as a stored table: the text is read and sampled once."""
+    return stored(sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos", "len")), "seeds")
+
+
+def load(reads: DataFrame, table: DataFrame, params: SketchParams, seeds: DataFrame | None = None) -> Readset:
     """Find each read's hits to k-mers of ``table``; depth is recounted from the reads.
 
-    The recounted table is checkpointed: it is far smaller than the reads and
-    every later step looks k-mers up in it.
+    ``seeds`` (from ``sampled``) are made here if they are not given. The recounted table is checkpointed:
+    it is far smaller than the reads and every later step looks k-mers up in it.
     """
-    seeds = sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos", "len"))
-    recount = sampled_kmers(reads, params, keep=(), emit=("kmer",)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    seeds = sampled(reads, params) if seeds is None else seeds
+    recount = seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     counted = table.select("kmer", "info").join(recount, "kmer", "left")
     found = F.coalesce("n", F.lit(0))
-    counted = checkpointed(counted.select("kmer", K.saturated(found).alias("depth"), "info", found.alias("_weight")))
+    counted = stored(counted.select("kmer", K.saturated(found).alias("depth"), "info", found.alias("_weight")), "read-kmers")
     lengths = reads.select("read_id", F.length(bases(F.col("seq"))).cast("bigint").alias("len"))
     placed = lookup(seeds, counted, "kmer", "read_id", weight="_weight")
     return Readset(lengths, placed, counted.drop("_weight"), params)
@@ -63,7 +68,7 @@ def load(reads: DataFrame, table: DataFrame, params: SketchParams) -> Readset:
 
 def with_info(readset: Readset, table: DataFrame) -> Readset:
     """The same seeds under a reclassified k-mer ``table`` (kmer, depth, info)."""
-    table = checkpointed(table.select("kmer", "depth", "info"))
+    table = stored(table.select("kmer", "depth", "info"), "read-kmers")
     bare = readset.seeds.drop("depth", "info")
     return replace(readset, seeds=lookup(bare, table, "kmer", "read_id"), table=table)
 

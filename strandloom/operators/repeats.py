@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from strandloom.functions.sequences import bases
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
-from strandloom.session import checkpointed, lookup
+from strandloom.session import checkpointed, lookup, maybe_member, stored
 
 MIN_SUPPORT = 5  # fewest hits of a k-mer or of a link between neighbours
 
@@ -35,6 +35,12 @@ def reference_kmers(refs: DataFrame, params: SketchParams, strict: bool = False)
     return grouped.where(once).select("kmer", "at.pos", "at.is_fwd")
 
 
+def _present(seeds: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``lookup`` of stored seeds; those that ``keyed`` surely lacks are left out before the shuffle."""
+    there = maybe_member(seeds, keyed.select("kmer"), ["kmer"]).where("_maybe").drop("_maybe")
+    return lookup(there, keyed, "kmer", "read_id")
+
+
 def strand_vote(
     reads: DataFrame, reference: DataFrame, params: SketchParams, first: int = 100, tolerance: int = 10
 ) -> DataFrame:
@@ -42,9 +48,9 @@ def strand_vote(
 
     Bad: fewer hits than that, or more than ``tolerance`` votes for both strands.
     """
-    seeds = sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos"))
-    keyed = checkpointed(reference.select("kmer", F.col("is_fwd").alias("ref_fwd")))
-    found = lookup(seeds, keyed, "kmer", "read_id").where(F.col("ref_fwd").isNotNull())
+    seeds = stored(sampled_kmers(reads, params, emit=("kmer", "is_fwd", "pos")), "votes")
+    keyed = stored(reference.select("kmer", F.col("is_fwd").alias("ref_fwd")), "reference-strands")
+    found = _present(seeds, keyed).where(F.col("ref_fwd").isNotNull())
     rank = F.row_number().over(W.partitionBy("read_id").orderBy("pos"))
     same = F.col("is_fwd") == F.col("ref_fwd")
     votes = found.withColumn("rank", rank).where(F.col("rank") <= first).groupBy("read_id").agg(
@@ -65,9 +71,9 @@ def oriented_hits(reads: DataFrame, votes: DataFrame, table: DataFrame, params:
     Turning a read around keeps its canonical k-mers, so positions are mirrored
     instead of scanning the turned text.
     """
-    seeds = sampled_kmers(reads, params, emit=("kmer", "pos", "len"))
-    keyed = checkpointed(table.select("kmer", "depth"))
-    found = lookup(seeds, keyed, "kmer", "read_id").where(F.col("depth").isNotNull())
+    seeds = stored(sampled_kmers(reads, params, emit=("kmer", "pos", "len")), "oriented")
+    keyed = stored(table.select("kmer", "depth"), "depths")
+    found = _present(seeds, keyed).where(F.col("depth").isNotNull())
     good = votes.where(~F.col("is_bad")).select("read_id", "is_forward")
     mirrored = (F.col("len") - params.k - F.col("pos")).cast("int")
     return found.join(good, "read_id").select(

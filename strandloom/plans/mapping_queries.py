@@ -73,7 +73,7 @@ def _breaks(loc: str, ref: str) -> str:
 
 @query(
     "map_query_blocks",
-    f"""{SEEDS}, u as materialized (select s.read_id, s.ord, s.pos, s.copy, s.loc1, s.loc2, a.ref_id as r1, b.ref_id as r2,
+    f"""{SEEDS.replace("with", "with recursive", 1)}, u as materialized (select s.read_id, s.ord, s.pos, s.copy, s.loc1, s.loc2, a.ref_id as r1, b.ref_id as r2,
 row_number() over (partition by s.read_id order by s.ord) as n, count(case when copy=1 then 1 end) over (partition by s.read_id) as singles,
 count(*) over (partition by s.read_id) as total
 from s join x a on s.loc1=a.loc left join x b on s.loc2=b.loc where copy<3),

@@ -25,8 +25,8 @@ left join (select read_id, count(*) as n_all from a group by read_id) z on rl.re
 
 def load(spark, sf_dir):
     reads = fx.documents(spark, sf_dir)
-    table = kmerset.set_copy(kmerset.count_kmers(reads, fx.DENSE), 2, 5, 20)
-    return readset.load(reads, table, fx.DENSE)
+    seeds = readset.sampled(reads, fx.DENSE)
+    return readset.load(reads, kmerset.set_copy(kmerset.count_hits(seeds), 2, 5, 20), fx.DENSE, seeds)
 
 
 @query("readset_load", f"{SUMMARY} select read_id, len, n_hit, n_miss from sm")
