@@ -87,12 +87,13 @@ def fastq_scan(spark, sf_dir):
 
 @query(
     "fastq_gzip_scan",
-    f"""select row_number() over (order by doc_id) as read_id, name, length(seq) as len from ({CLEAN_NAMED})""",
+    f"""select row_number() over (order by doc_id) as read_id, name, "desc", length(seq) as len, seq, list_transform(range(length(seq)), lambda i: 0::integer) as qual
+from ({CLEAN_NAMED})""",
 )
 def fastq_gzip_scan(spark, sf_dir):
     path = scratch_path(spark, "reads") + ".fq.gz"
     sequence_files.write_sequences(_quality_documents(spark, sf_dir).drop("qual"), path)
-    return sequence_files.read_sequences(spark, path).select("read_id", "name", F.length("seq").cast("bigint").alias("len"))
+    return sequence_files.read_sequences(spark, path).select("read_id", "name", "desc", F.length("seq").cast("bigint").alias("len"), "seq", "qual")
 
 
 @query(
@@ -143,8 +144,8 @@ def convert_formats(spark, sf_dir):
     """with s as (select doc_id, regexp_replace(text,'[^ACGTNacgtn]','','g') as seq from documents),
 c as (select doc_id, unnest(string_split(seq,'')) as c, generate_subscripts(string_split(seq,''),1) as i from s where seq<>''),
 m as (select *, lag(c) over (partition by doc_id order by i) as p from c),
-k as (select doc_id, count(*) as n from m where p is null or upper(p)<>upper(c) group by doc_id)
-select row_number() over (order by s.doc_id) as read_id, 'd'||s.doc_id as name, coalesce(n,0) as len from s left join k on s.doc_id=k.doc_id""",
+k as (select doc_id, count(*) as n, string_agg(c, '' order by i) as kept from m where p is null or upper(p)<>upper(c) group by doc_id)
+select row_number() over (order by s.doc_id) as read_id, 'd'||s.doc_id as name, coalesce(n,0) as len, coalesce(kept,'') as seq from s left join k on s.doc_id=k.doc_id""",
 )
 def homopolymer_fasta(spark, sf_dir):
     """Scan, compress, write gzip FASTA, scan."""
@@ -154,7 +155,7 @@ def homopolymer_fasta(spark, sf_dir):
     compressed = reads.withColumn("seq", compress_homopolymers(F.col("seq"))).withColumn("desc", F.lit(""))
     sequence_files.write_sequences(compressed, f"{root}/out.fa.gz")
     out = sequence_files.read_sequences(spark, f"{root}/out.fa.gz")
-    return out.select("read_id", "name", F.length("seq").cast("bigint").alias("len"))
+    return out.select("read_id", "name", F.length("seq").cast("bigint").alias("len"), "seq")
 
 
 KMER_TEXT = """list_transform(range(0,19), lambda i: substr('acgt',1+((kmer>>(2*(18-i)))&3),1))"""

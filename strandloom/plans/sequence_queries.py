@@ -55,7 +55,7 @@ def _code_sql(codes: dict[str, int]) -> str:
 @query(
     "alphabet_codes",
     "select doc_id as read_id, "
-    + ", ".join(f"coalesce(list_sum({_code_sql(c)}),0)::bigint as {n}_sum, len({_code_sql(c)}) as {n}_n" for n, c in CODE_TABLES.items())
+    + ", ".join(f"coalesce(list_sum({_code_sql(c)}),0)::bigint as {n}_sum, len({_code_sql(c)}) as {n}_n, md5(coalesce(array_to_string({_code_sql(c)},','),'')) as {n}_md5" for n, c in CODE_TABLES.items())
     + " from documents",
 )
 def alphabet_codes(spark, sf_dir):
@@ -65,7 +65,7 @@ def alphabet_codes(spark, sf_dir):
     columns = []
     for name in CODE_TABLES:
         total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, v: a + v)
-        columns += [total.alias(f"{name}_sum"), F.size(name).cast("bigint").alias(f"{name}_n")]
+        columns += [total.alias(f"{name}_sum"), F.size(name).cast("bigint").alias(f"{name}_n"), F.md5(F.array_join(F.col(name).cast("array<string>"), ",")).alias(f"{name}_md5")]
     return arrays.select("read_id", *columns)
 
 

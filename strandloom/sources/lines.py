@@ -29,8 +29,8 @@ def read_lines(spark: SparkSession, path: str, separator: str | None = None) ->
     )
 
 
-def number(lines: DataFrame, name: str, start: int = 0) -> DataFrame:
-    """Number lines in file order (files by path) without moving them.
+def placed(lines: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Number lines in file order (files by path) without moving them; also ``_rank``, a line's place in its split.
 
     Lines of one split sit together in one scan partition, so a line's rank in its
     split is a difference of row positions, and only one row per split (count and
@@ -41,9 +41,13 @@ def number(lines: DataFrame, name: str, start: int = 0) -> DataFrame:
     before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.lit(start)
     offsets = checkpointed(splits.select("_file", "_block", "_first", offset.alias("_offset")))
-    placed = lines.join(F.broadcast(offsets), ["_file", "_block"])
     rank = F.col("_line") - F.col("_first")
-    return placed.select((F.col("_offset") + rank).alias(name), "value")
+    return lines.join(F.broadcast(offsets), ["_file", "_block"]).select((F.col("_offset") + rank).alias(name), rank.alias("_rank"), "value")
+
+
+def number(lines: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """``placed`` without the ranks."""
+    return placed(lines, name, start).select(name, "value")
 
 
 def running_counts(lines: DataFrame, counts: dict[str, Column]) -> DataFrame:

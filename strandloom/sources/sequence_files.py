@@ -6,6 +6,10 @@ A read table has ``read_id`` (1, 2, ... in file order), ``name``, ``desc``,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,8 @@ from strandloom.functions.sequences import (
     quality_text,
     quality_values,
 )
-from strandloom.sources.lines import head_lines, number, numbered_lines, read_lines, write_lines
+from strandloom.session import stored
+from strandloom.sources.lines import head_lines, number, placed, read_lines, write_lines
 
 # SAM header record types and the flag bit of a reverse-strand record.
 SAM_HEADERS = ("@HD", "@SQ", "@RG", "@PG", "@CO")
@@ -56,18 +61,61 @@ def read_fasta(spark: SparkSession, path: str, alphabet: str = "text") -> DataFr
     )
 
 
+def _four_line_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from numbered lines (line_no, _rank, value) of a scan partition, by the split in which they begin.
+
+    Lines at the start of a split that belong to an earlier one's last record are passed over, and what
+    the own last record lacks stays null.
+    """
+    names = ["line_no", "_rank", "value"]
+    rest = None
+
+    def emit(lines: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+        value, record = lines.column(2).combine_chunks(), lines.column(0).to_numpy() // 4
+        columns = [pa.array(record[heads], pa.int64()), value.take(pa.array(heads))]
+        for k in (1, 3):
+            at = np.minimum(heads + k, len(record) - 1)
+            there = (heads + k < len(record)) & (record[at] == record[heads])
+            columns.append(value.take(pa.array(at, mask=~there)))
+        return pa.RecordBatch.from_arrays(columns, names=["record", "header", "seq", "quality"])
+
+    for batch in batches:
+        lines = pa.Table.from_arrays([c if not pa.types.is_large_string(c.type) else c.cast(pa.string()) for c in batch.columns], names=names)
+        line_no, rank = lines.column(0).to_numpy(), lines.column(1).to_numpy()
+        lines = lines.filter(pa.array(rank >= line_no % 4))
+        lines = pa.concat_tables([rest, lines]) if rest is not None else lines
+        if not len(lines):
+            continue
+        heads = np.flatnonzero(lines.column(0).to_numpy() % 4 == 0)
+        # The last record may go on in the next batch.
+        rest = lines.slice(int(heads[-1]))
+        if len(heads) > 1:
+            yield emit(lines.slice(0, int(heads[-1])), heads[:-1])
+    if rest is not None:
+        yield emit(rest, np.zeros(1, np.int64))
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line records; sequence and quality must be equally long."""
-    lines = numbered_lines(spark, path)
-    part = {n: F.max(F.when(F.col("line_no") % 4 == n, F.col("value"))) for n in (0, 1, 3)}
-    records = lines.groupBy(F.floor(F.col("line_no") / 4).cast("bigint").alias("_record")).agg(
-        part[0].alias("header"), part[1].alias("seq"), part[3].alias("quality")
+    """Four-line records; sequence and quality must be equally long.
+
+    The number of lines before a split tells where its records begin, though a quality may start with the
+    header's mark. So records are put together where their lines are scanned; only lines behind
+    a split's border, at most three per split, move to the record that began before it.
+    """
+    lines = placed(read_lines(spark, path), "line_no").select("line_no", "_rank", "value")
+    began = lines.mapInArrow(_four_line_records, "record bigint, header string, seq string, quality string")
+    part = F.col("line_no") % 4
+    over = lines.where(F.col("_rank") < part).groupBy(F.floor(F.col("line_no") / 4).cast("bigint").alias("_record")).agg(
+        F.max(F.when(part == 1, F.col("value"))).alias("_seq"), F.max(F.when(part == 3, F.col("value"))).alias("_quality")
     )
+    whole = began.join(stored(over, "border-lines"), F.col("record") == F.col("_record"), "left")
+    seq, quality = F.coalesce("seq", "_seq"), F.coalesce("quality", "_quality")
+    records = whole.select("record", "header", seq.alias("seq"), quality.alias("quality"))
     name, desc = _name_and_description(F.regexp_replace("header", "^@", ""))
     uneven = F.coalesce(F.length("seq"), F.lit(-1)) != F.coalesce(F.length("quality"), F.lit(-1))
     problem = F.concat(F.lit("quality and sequence differ in length in "), F.coalesce("header", F.lit("a short record")))
     return records.select(
-        (F.col("_record") + 1).alias("read_id"),
+        (F.col("record") + 1).alias("read_id"),
         name.alias("name"),
         desc.alias("desc"),
         F.when(uneven, F.raise_error(problem).cast("string")).otherwise(F.col("seq")).alias("seq"),

@@ -166,3 +166,28 @@ def test_running_counts_across_splits_and_batches(spark, tmp_path):
         for key in settings:
             spark.conf.unset(key)
     assert got == want
+
+
+def test_fastq_records_across_split_borders(spark, tmp_path):
+    """One file read in splits of a few bytes; qualities start with the header's mark."""
+    reads = [(f"r{i}", "ACGT"[i % 4] * (1 + 37 * i % 90)) for i in range(60)]
+    path = tmp_path / "one.fq"
+    path.write_text("".join(f"@{name} d{i}\n{seq}\n+\n{'@' * len(seq)}\n" for i, (name, seq) in enumerate(reads)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("7", "64", "333", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = sequence_files.read_fastq(spark, str(path))
+            rows = sorted((r["read_id"], r["name"], r["desc"], r["seq"], set(r["qual"])) for r in found.collect())
+            assert rows == [(i + 1, name, f"d{i}", seq, {31}) for i, (name, seq) in enumerate(reads)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_fastq_text_is_not_shuffled(spark, tmp_path):
+    path = tmp_path / "some.fq"
+    path.write_text("@a\nACGT\n+\nIIII\n" * 50)
+    found = sequence_files.read_fastq(spark, str(path))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 50
