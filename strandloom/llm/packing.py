@@ -3,10 +3,13 @@
 A configuration is a multiset of lengths that fits into one sequence. The linear
 program asks for the least total of configuration counts that covers the number of
 pieces of every length. It is solved by multiplicative weights: every length has a
-weight; each step prices the best configuration with a knapsack dynamic program over
-the capacity, adds some of it, and lowers the weights of what it covers. The
-counts are rounded to whole numbers; what does not come out even, a bounded number
-of pieces, is packed by longest piece first and the fullest rest that subset sums reach.
+weight, its dual price times its pieces. Each step takes the configuration that is worth most at these
+prices, as often as its scarcest length allows, and lowers the weights of the lengths it covers,
+each by its covered share. Every few steps a knapsack dynamic program over the capacity prices all configurations and adds the
+best to those at hand; its best value also gives a lower bound on the number of sequences. The
+counts are rounded to whole numbers; what does not come out even is packed by longest piece
+first and the fullest rest that subset sums reach. Where that rule alone, or best fit decreasing, needs fewer
+sequences than the rounded program, as can be with few pieces of very many lengths, it is taken instead.
 
 Only the histogram (at most ``capacity`` rows) is solved on the driver. Pieces get
 their rank within their length from counts per (length, hash slice), so no length
@@ -30,16 +33,12 @@ from strandloom.llm.common import documents, scratch, text_of
 from strandloom.llm.tokens import word_ids
 
 CAPACITY = 2048
-# Pricing rounds; strength of the multiplicative weights; share of a length's pieces that one step covers.
-ROUNDS = 20
-RATE = 0.02
-SHARE = 0.5
-# How much more a unit of a long piece is worth, so that short ones last.
-LONG = 0.05
-# Least part of the capacity that a configuration of the linear program fills.
-FULL = 0.99
-# Hash slices within a length for ranking.
-SLICES = 256
+# Steps of the multiplicative weights, steps between two pricings, and configurations that one pricing adds at most.
+STEPS, PRICED, ADDED = 20_000, 200, 32
+# A weight falls by at most this rate in one step: less with few lengths, where more steps fall on each.
+RATES = (0.05, 0.5)
+# Hash slices within a length for ranking: at least so many, and one for so many pieces in all.
+SLICES, PIECES_PER_SLICE = 256, 50_000
 # Characters of text tokenized at once.
 AT_ONCE = 4_000_000
 
@@ -69,54 +68,108 @@ def filled(choice: np.ndarray, room: int) -> list[int]:
     return taken
 
 
-def fractional(histogram: np.ndarray, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Fractional counts of configurations (lengths, ascending) that cover most of ``histogram`` (pieces by length).
+class Program:
+    """The covering program's multiplicative weights, over the configurations at hand.
 
-    Each round prices once with weights that fall with the share of a length that
-    is covered. With the best fill of every room known, each length, longest first, has its
-    best configuration at hand. A round covers a length by ``SHARE`` at most, so
-    that weights follow. What no full configuration takes is left to the rounding.
+    ``amounts`` counts how often each configuration (lengths, ascending) was taken, ``covered`` how
+    often that covers each length's pieces, ``bound`` is the least number of sequences by the best prices so far.
     """
-    capacity = len(histogram) - 1
-    sizes = np.arange(capacity + 1, dtype=float)
-    demand = histogram.astype(float)
-    missing, counts = demand.copy(), {}
-    for _ in range(rounds):
-        share = np.divide(demand - missing, demand, out=np.ones(capacity + 1), where=demand > 0)
-        budget = np.minimum(missing, SHARE * demand)
-        if not (budget > 0).any():
-            break
-        _, choice = knapsack(np.where(budget > 0, sizes * (1 + LONG * sizes / capacity + RATE * np.exp(-share / SHARE)), -1.0))
-        for length in np.flatnonzero(budget > 0)[::-1].tolist():
-            pattern = (*sorted(filled(choice, capacity - length)), length)
-            used, times = np.unique(pattern, return_counts=True)
-            amount = float((budget[used] / times).min())
-            if amount > 0 and sum(pattern) >= FULL * capacity:
-                counts[pattern] = counts.get(pattern, 0.0) + amount
-                missing[used] = np.maximum(missing[used] - amount * times, 0)
-                budget[used] = np.maximum(budget[used] - amount * times, 0)
-    return counts
-
-
-def configurations(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+
+    def __init__(self, histogram: np.ndarray):
+        self.capacity = len(histogram) - 1
+        self.lengths = np.flatnonzero(histogram)
+        self.demand = histogram[self.lengths].astype(float)
+        self.place = np.full(self.capacity + 1, -1)
+        self.place[self.lengths] = np.arange(len(self.lengths))
+        # Weights of equal prices per unit of length, in logarithms.
+        self.weight = np.log(self.lengths * self.demand)
+        self.weight -= self.weight.max()
+        self.patterns: dict[tuple[int, ...], int] = {}
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []
+        self.table = np.zeros((len(self.lengths), len(self.lengths) + 256), np.float32)
+        self.amounts: list[float] = []
+        self.covered = np.zeros(len(self.lengths))
+        self.bound = float(np.ceil((self.lengths * self.demand).sum() / self.capacity))
+
+    def prices(self) -> np.ndarray:
+        return np.exp(self.weight - self.weight.max()) / self.demand
+
+    def price(self, most: int) -> None:
+        """Price all configurations; the best that hold each length, best first, come to those at hand."""
+        prices = self.prices()
+        values = np.full(self.capacity + 1, -1.0)
+        values[self.lengths] = prices
+        best, choice = knapsack(values)
+        self.bound = max(self.bound, float((prices * self.demand).sum() / best[self.capacity]))
+        worth = prices + best[self.capacity - self.lengths]
+        added = 0
+        for i in np.argsort(-worth, kind="stable").tolist():
+            length = int(self.lengths[i])
+            pattern = (*sorted([*filled(choice, self.capacity - length), length]),)
+            if pattern not in self.patterns:
+                self._add(pattern)
+                added += 1
+                if added >= most:
+                    break
+
+    def _add(self, pattern: tuple[int, ...]) -> None:
+        column = len(self.used)
+        self.patterns[pattern] = column
+        used, times = np.unique(self.place[list(pattern)], return_counts=True)
+        self.used.append((used, times.astype(float)))
+        self.amounts.append(0.0)
+        if column == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros((len(self.lengths), 1024), np.float32)], axis=1)
+        self.table[used, column] = times
+
+    def run(self, steps: int) -> None:
+        m = len(self.lengths)
+        rate = float(np.clip(np.sqrt(m * np.log(m + 1) / steps), *RATES))
+        for step in range(steps):
+            if step % PRICED == 0:
+                self.price(m if step == 0 else ADDED)
+                prices = self.prices()
+                worth = (prices.astype(np.float32) @ self.table[:, : len(self.used)]).astype(float)
+            column = int(worth.argmax())
+            used, times = self.used[column]
+            amount = float((self.demand[used] / times).min())
+            share = amount * times / self.demand[used]
+            self.amounts[column] += amount
+            self.covered[used] += share
+            self.weight[used] -= rate * share
+            fallen = prices[used] * (1 - np.exp(-rate * share))
+            prices[used] -= fallen
+            worth -= fallen @ self.table[used, : len(self.used)]
+
+    def solution(self) -> dict[tuple[int, ...], float]:
+        """Counts scaled so that the mean piece is covered once."""
+        mean = float((self.covered * self.lengths * self.demand).sum() / (self.lengths * self.demand).sum())
+        return {p: self.amounts[c] / mean for p, c in self.patterns.items() if self.amounts[c] > 0}
+
+
+def rounded(histogram: np.ndarray, counts: dict[tuple[int, ...], float]) -> list[tuple[tuple[int, ...], int]]:
     """Whole numbers of configurations that hold every piece exactly once.
 
-    The linear program's configurations are taken rounded up, most used first,
+    The configurations of ``counts`` are taken rounded down, then up, most used first,
     while their pieces are there. What remains is packed by the longest piece and the fullest sum of
     others, taken as often as it goes: each step uses up a length, or brings it below
     the number of times it fits into a sequence, so the number of steps is bounded by the capacity alone.
     """
     capacity, left, chosen = len(histogram) - 1, histogram.copy(), []
 
-    def take(pattern: tuple[int, ...], most: int) -> None:
+    def take(pattern: tuple[int, ...], most: int) -> int:
         used, times = np.unique(pattern, return_counts=True)
         n = min(most, int((left[used] // times).min()))
         if n > 0:
             left[used] -= n * times
             chosen.append((pattern, n))
+        return max(n, 0)
 
-    for pattern, amount in sorted(fractional(histogram).items(), key=lambda c: (-c[1], c[0])):
-        take(pattern, int(np.ceil(amount - 1e-9)))
+    order = sorted(counts.items(), key=lambda c: (-c[1], c[0]))
+    taken = {pattern: take(pattern, int(amount + 1e-9)) for pattern, amount in order}
+    for pattern, amount in order:
+        if sum(pattern) >= capacity - int(np.flatnonzero(histogram)[0]):  # nothing more would fit
+            take(pattern, int(np.ceil(amount - 1e-9)) - taken[pattern])
     while left.any():
         longest = int(np.flatnonzero(left)[-1])
         left[longest] -= 1
@@ -126,6 +179,43 @@ def configurations(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return chosen
 
 
+def best_fit(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing, all sequences with the same content at once."""
+    capacity = len(histogram) - 1
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {capacity: []}
+    for length in np.flatnonzero(histogram)[::-1].tolist():
+        left = int(histogram[length])
+        for room in sorted(r for r in open_ if r >= length):
+            each, groups = room // length, open_.get(room, []) if room < capacity else []
+            while left and groups:
+                pattern, n = groups.pop()
+                full = min(n, left // each)
+                if full:
+                    open_.setdefault(room - each * length, []).append(((length,) * each + pattern, full))
+                    left -= full * each
+                elif left:
+                    open_.setdefault(room - left * length, []).append(((length,) * left + pattern, 1))
+                    full, left = 1, 0
+                if n > full:
+                    groups.append((pattern, n - full))
+        if left:
+            each = capacity // length
+            for n, times in ((left // each, each), (1 if left % each else 0, left % each)):
+                if n:
+                    open_.setdefault(capacity - times * length, []).append(((length,) * times, n))
+    return [(tuple(sorted(pattern)), n) for groups in open_.values() for pattern, n in groups]
+
+
+def configurations(histogram: np.ndarray, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """The fewest sequences found for the histogram: (lengths, how many sequences hold them)."""
+    if not histogram.any():
+        return []
+    program = Program(histogram)
+    program.run(steps)
+    tries = [rounded(histogram, program.solution()), rounded(histogram, {}), best_fit(histogram)]
+    return min(tries, key=lambda t: sum(n for _, n in t))
+
+
 def fullest(left: np.ndarray, room: int) -> list[int]:
     """Pieces, each at most as often as ``left`` has it, whose sum is the largest up to ``room``; long ones come first."""
     mask, sums, states = (1 << room + 1) - 1, 1, []
@@ -180,7 +270,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 def _ranked(found: DataFrame) -> DataFrame:
     """``rank`` from 0 among the pieces of the same length, without bringing a length into one task."""
-    sliced = found.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)))
+    slices = max(SLICES, -(-found.count() // PIECES_PER_SLICE))
+    sliced = found.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
     counts = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

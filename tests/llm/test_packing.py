@@ -92,3 +92,56 @@ def test_pack(spark):
         assert end <= 16
     assert len(sequences) <= -(-sum(w[3] for w in want) // 16) + 1
     assert packing.pack(docs.where("false"), PATH).count() == 0
+
+
+def plain_best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = min((i for i, r in enumerate(rooms) if r >= n), key=lambda i: rooms[i], default=None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    return len(rooms)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=120))
+def test_best_fit_of_equal_pieces_at_once(lengths):
+    chosen = packing.best_fit(np.bincount(np.array(lengths, int), minlength=51))
+    assert sum(n for _, n in chosen) == plain_best_fit(lengths, 50)
+    assert sorted(x for pattern, n in chosen for x in pattern * n) == sorted(lengths) and all(sum(p) <= 50 for p, _ in chosen)
+
+
+def hard_histograms():
+    rng = np.random.default_rng(0)
+    lists = {
+        "thirds and halves": rng.choice([660, 670, 690, 700, 710, 1000, 1010, 1020, 1030, 1040], 5000),
+        "long and middle": np.r_[rng.integers(1100, 1900, 3000), rng.integers(300, 900, 3000)],
+        "long and a few short": np.r_[rng.integers(1100, 1900, 3000), rng.integers(10, 100, 200)],
+        "near a third": rng.integers(600, 761, 4000),
+        "all lengths": rng.integers(1, 2049, 6000),
+    }
+    return {k: np.bincount(v, minlength=2049) for k, v in lists.items()}
+
+
+def test_sequences_against_the_programs_bound_and_best_fit():
+    """At most 3 % over the linear program's bound on histograms without fitting short pieces, and never over best fit."""
+    for name, histogram in hard_histograms().items():
+        chosen = packing.configurations(histogram)
+        got, program = sum(n for _, n in chosen), packing.Program(histogram)
+        program.run(packing.STEPS)
+        assert got <= sum(n for _, n in packing.best_fit(histogram)), name
+        assert program.bound <= got <= 1.03 * program.bound, name
+        total = np.zeros_like(histogram)
+        for pattern, n in chosen:
+            np.add.at(total, list(pattern), n)
+        assert (total == histogram).all(), name
+
+
+def test_bound_of_a_program_with_a_known_optimum():
+    histogram = np.zeros(101, np.int64)
+    histogram[[34, 51]] = 300, 100  # two of 34, or 51 and 34
+    program = packing.Program(histogram)
+    program.run(2000)
+    assert 199 <= program.bound <= 200 and sum(n for _, n in packing.configurations(histogram)) == 200
