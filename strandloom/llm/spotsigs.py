@@ -7,9 +7,11 @@ instead, and one shorter than a chain takes its words as the only chain, so that
 texts without a word have an empty fingerprint. Likeness is the Jaccard similarity of
 two sets; two empty sets are alike.
 
-``near_pairs`` finds all pairs that are alike: sets are partitioned by length so that
-alike sets lie in the same or the next partition, meet on one of their rarest signatures,
-and are compared only if their lengths allow the threshold.
+``near_classes`` finds all classes of equal fingerprints that are alike: sets are partitioned by length so
+that alike sets lie in the same or the next partition, and meet there on one of their rarest signatures. Pairs that
+length, the place of the shared signature or a 64-bit digest of both sets rule out are pruned; the
+others are compared by their whole sets, block by block. A signature that very many sets head
+is split into a grid of blocks. The query tells every document its class and how many classes are near.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import documents, scratch, text_of
+from strandloom.llm.common import documents, maybe_member, scratch, text_of
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -36,6 +38,10 @@ ANCHORS = (
 CHAIN = 3
 THRESHOLD = 0.8
 AT_ONCE = 2_000_000
+# Signatures are ranked by the frequency of so many hash buckets; sets of one length partition differ by at most this factor.
+BUCKETS, WIDTH = 1 << 16, THRESHOLD**-3
+# Rows under one signature that are compared in one go, and sets per block when whole sets are compared.
+GROUP, BLOCK = 4096, 512
 FIRST = -(1 << 63)  # null ids come first
 
 
@@ -115,18 +121,28 @@ def likeness(a: np.ndarray, b: np.ndarray, texts: int) -> np.ndarray:
     return np.where(any_ > 0, both / np.maximum(any_ - both, 1), 1.0)
 
 
+def set_prints(keys: np.ndarray, texts: int) -> list[int]:
+    """64-bit hash of each text's set; equal sets have equal ones."""
+    digits = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+    ends = np.searchsorted(keys >> np.uint64(32), np.arange(texts), "right").tolist()
+    return [int.from_bytes(hashlib.blake2b(digits[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip([0, *ends], ends)]
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points replaced by as many of the first ones of the following text."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id bigint, n_near bigint, nearest_class bigint, nearest double"
+TOLD = "struct<print:bigint,class_id:bigint,n_near:bigint,nearest_class:bigint,nearest:double>"
 
 
 def _compare_batches(signer: Signer):
     names = [c.split()[0] for c in OUT.split(", ")]
 
+    told: dict[tuple[int | None, int], tuple] = {}
+
     def compared(ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
         """All but the last text, which is only the following one."""
         n = len(texts) - 1
@@ -135,12 +151,19 @@ def _compare_batches(signer: Signer):
         first, behind = own[own >> np.uint64(32) < n], own[own >> np.uint64(32) > 0] - np.uint64(1 << 32)
         digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]
         columns = [pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), digests, fingerprint_text(first, n), fingerprint_text(changed, n)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(likeness(first, changed, n)), pa.array(likeness(first, behind, n))], names=names)
+        classes = [told.get((i, p), (i, 0, None, None)) for i, p in zip(ids, set_prints(first, n))]
+        of_class = [pa.array([c[k] for c in classes], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+        for i, p in [k for k in told if k[0] != ids[-1]]:
+            del told[i, p]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(likeness(first, changed, n)), pa.array(likeness(first, behind, n)), *of_class], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, ids, texts, size, border = None, [], [], 0, False
         for batch in batches:
-            for b, copy, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, copy, doc, text, info in zip(*(c.to_pylist() for c in batch.columns)):
+                if info is not None:
+                    told[doc, info["print"]] = tuple(info.values())[1:]
+                    continue
                 if b != bucket:
                     if len(texts) > 1:
                         yield compared(ids, texts)
@@ -159,8 +182,9 @@ def _compare_batches(signer: Signer):
     return run
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
+def _in_order(docs: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """Documents dealt into ranges of ids, each range also with the first row of the next one (``copy``).
+    Rows of ``told`` (doc_id, told) come right before the documents with their id.
 
     The ranges come from quantiles of the ids alone; the text is shuffled once.
     The last range is followed by the first row of all.
@@ -176,12 +200,14 @@ def _in_order(docs: DataFrame) -> DataFrame:
     def longs(values: list[int]):
         return F.array(*[F.lit(v).cast("bigint") for v in values])
 
-    if groups:
+    def dealt_to(rows: DataFrame) -> DataFrame:
+        if not groups:
+            return rows.withColumn("bucket", F.lit(0))
         coarse = F.size(F.filter(longs([g[0] for g in groups]), lambda c: c <= F.col("key")))
         fine = F.size(F.filter(F.element_at(F.array(*map(longs, groups)), F.greatest(coarse, F.lit(1))), lambda c: c <= F.col("key")))
-        rows = rows.withColumn("bucket", F.when(coarse == 0, 0).otherwise((coarse - 1) * width + fine).cast("int"))
-    else:
-        rows = rows.withColumn("bucket", F.lit(0))
+        return rows.withColumn("bucket", F.when(coarse == 0, 0).otherwise((coarse - 1) * width + fine).cast("int"))
+
+    rows = dealt_to(rows)
     firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min("key").alias("first")).collect()}  # one row per range
     there = sorted(firsts)
     before = {b: there[i - 1] for i, b in enumerate(there)}
@@ -191,64 +217,263 @@ def _in_order(docs: DataFrame) -> DataFrame:
     here = F.struct(F.col("bucket"), F.lit(False).alias("copy"))
     ahead = F.struct(previous.alias("bucket"), F.lit(True).alias("copy"))
     dealt = rows.select("key", "doc_id", "text", F.explode(F.when(F.col("key") == first, F.array(here, ahead)).otherwise(F.array(here))).alias("to"))
-    dealt = dealt.select(F.col("to.bucket").alias("bucket"), F.col("to.copy").alias("copy"), "key", "doc_id", "text")
-    sorted_ = dealt.repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "copy", "key", "text")
-    return sorted_.select("bucket", "copy", "doc_id", "text")
+    dealt = dealt.select(F.col("to.bucket").alias("bucket"), F.col("to.copy").alias("copy"), "key", "doc_id", "text", F.lit(None).cast(TOLD).alias("told"))
+    if told is not None:
+        ahead_of = dealt_to(told.select(F.coalesce("doc_id", F.lit(FIRST)).alias("key"), "doc_id", "told"))
+        dealt = dealt.unionByName(ahead_of.select("bucket", F.lit(False).alias("copy"), "key", "doc_id", F.lit(None).cast("string").alias("text"), "told"))
+    sorted_ = dealt.repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "copy", "key", F.col("told").isNull(), "text")
+    return sorted_.select("bucket", "copy", "doc_id", "text", "told")
 
 
-def fingerprints(docs: DataFrame, signer: Signer | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, signer: Signer | None = None, told: DataFrame | None = None) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how alike it is to that and to the next document.
 
     Columns as in ``OUT``. Documents follow each other by ascending doc_id, null ids
     first, rows with the same id by text; behind the last comes the first, so a single document
     follows itself. Null text counts as empty. Texts without a word have the empty
-    fingerprint. Other columns are ignored.
+    fingerprint. Other columns are ignored. ``told`` (from ``near_classes``) has the classes of documents that
+    share their fingerprint or have near ones; all others are classes of their own. All rows of one id lie in one
+    task, which reads them one by one: texts of an id are only held together up to ``AT_ONCE`` characters.
     """
-    return _in_order(docs).mapInArrow(_compare_batches(signer or Signer()), OUT)
+    return _in_order(docs, told).mapInArrow(_compare_batches(signer or Signer()), OUT)
+
+
+def _each_set(signer: Signer, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+    """Every text's signatures, and the hash of the set."""
+    keys = signer.sets(texts)
+    ends = np.searchsorted(keys >> np.uint64(32), np.arange(len(texts)), "right").tolist()
+    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return [low[a:b] for a, b in zip([0, *ends], ends)], set_prints(keys, len(texts))
 
 
-def _set_batches(signer: Signer):
+def _in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (doc_id, text) in pieces of some ``AT_ONCE`` bytes."""
+    parts = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(batch)]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def _frequency_batches(signer: Signer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = signer.sets(texts)
-            ends = np.searchsorted(keys >> np.uint64(32), np.arange(len(texts)), "right")
-            sets = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "signatures"])
+            for part in _in_parts(batch):
+                counts += np.bincount((signer.sets(part.column(1).to_pylist()) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["bucket", "n"])
 
     return run
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | None = None) -> tuple[DataFrame, DataFrame]:
-    """All pairs of different fingerprints at least ``threshold`` alike, and which documents have which.
+def _least_overlap(a, b, threshold: float):
+    """Signatures that sets of these sizes must share."""
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+
+
+SPOTS = "doc_id bigint, print bigint, n int, bits bigint, heads array<bigint>"
+
+
+def _head_batches(signer: Signer, frequency: np.ndarray, threshold: float):
+    """Of every text the set's hash, size and digest, and its rarest signatures in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _in_parts(batch):
+                sets, prints = _each_set(signer, part.column(1).to_pylist())
+                sizes, bits, heads = [], [], []
+                for s in sets:
+                    n = len(s)
+                    order = np.lexsort((s, frequency[s & (BUCKETS - 1)]))
+                    heads.append(s[order[: n - math.ceil(threshold * n - 1e-9) + 1]] if n else s)
+                    odd = np.flatnonzero(np.bincount((s >> 16) & 63, minlength=64) & 1)
+                    sizes.append(n)
+                    bits.append(int(np.bitwise_or.reduce(np.int64(1) << odd, initial=np.int64(0))))
+                columns = [part.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "bits", "heads"])
+
+    return run
+
+
+MET = "hot boolean, a bigint, b bigint, key bigint, long boolean, place int, n int, bits bigint, print bigint"
+
+
+def _meet_batches(keys: int, threshold: float, split: bool):
+    """Candidate pairs of every group of rows that share the first ``keys`` columns; rows come sorted by them.
+
+    Rows behind: long, place, n, bits, print. With ``split``, groups of over ``GROUP`` rows leave as they are, marked hot.
+    """
+
+    def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.unique(rows, axis=0)
+        short, long = rows[rows[:, 0] == 0], rows[rows[:, 0] == 1]
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(short), 1024):
+            x, y = short[at : at + 1024, None, :], long[None, :, :]
+            least = _least_overlap(x[..., 2], y[..., 2], threshold)
+            good = (x[..., 2] < y[..., 2]) | ((x[..., 2] == y[..., 2]) & (x[..., 4] < y[..., 4]))
+            good &= x[..., 2] >= threshold * y[..., 2] - 1e-9
+            good &= np.minimum(x[..., 2] - x[..., 1], y[..., 2] - y[..., 1]) >= least
+            good &= np.bitwise_count((x[..., 3] ^ y[..., 3]).view(np.uint64)) <= x[..., 2] + y[..., 2] - 2 * least
+            i, j = np.nonzero(good)
+            found.append(np.stack([short[at + i, 4], long[j, 4]]))
+        a, b = np.concatenate(found, axis=1)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def cold(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        no = [pa.nulls(len(a), t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), *no], names=names)
+
+    def raw(rows: np.ndarray) -> pa.RecordBatch:
+        no = pa.nulls(len(rows), pa.int64())
+        key, long, place, n, bits, print_ = rows.T
+        columns = [pa.array(np.ones(len(rows), bool)), no, no, pa.array(key), pa.array(long == 1), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(print_)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, passing = np.zeros((0, keys + 5), np.int64), None
+        for batch in batches:
+            columns = [c.cast(pa.int8()) if pa.types.is_boolean(c.type) else c for c in batch.columns]
+            rows = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in columns], axis=1)])
+            starts = np.flatnonzero(np.r_[True, (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)]) if len(rows) else np.zeros(0, int)
+            sizes = np.diff(np.r_[starts, len(rows)])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, (at, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
+                group, last = rows[at : at + n], k == len(starts) - 1
+                if split and (n > GROUP or (passing is not None and tuple(group[0, :keys]) == passing)):
+                    passing = tuple(group[0, :keys])
+                    yield raw(group)
+                    if last:
+                        rest = rows[:0]
+                elif last:
+                    rest = group
+                elif n > 1:
+                    found = pairs(group[:, keys:])
+                    a.append(found[0])
+                    b.append(found[1])
+            yield cold(np.concatenate(a), np.concatenate(b))
+        yield cold(*pairs(rest[:, keys:]))
+
+    names = [c.split()[0] for c in MET.split(", ")]
+    return run
+
+
+def _wanted_batches(signer: Signer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _in_parts(batch):
+                sets, prints = _each_set(signer, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["print", "signatures"])
+
+    return run
 
-    Returns (class_a, class_b, likeness) and (doc_id, class_id): a class is the
-    documents with equal fingerprints, named by its smallest doc_id. Documents without a
-    word are one class and in no pair.
+
+def _likeness_batches(threshold: float):
+    """Likeness of the pairs of each cell, from the cell's sets, which come first (rows: x, y, a, b, signatures)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            x, y, a, b = (batch.column(k).to_pylist() for k in range(4))
+            out = []
+            for k in range(len(batch)):
+                if (x[k], y[k]) != cell:
+                    cell, sets = (x[k], y[k]), {}
+                if b[k] is None:
+                    sets[a[k]] = np.array(batch.column(4)[k].as_py(), np.int64)
+                    continue
+                both = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
+                likeness_ = both / (len(sets[a[k]]) + len(sets[b[k]]) - both)
+                if likeness_ >= threshold - 1e-9:
+                    out.append((a[k], b[k], likeness_))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+
+    return run
+
+
+def _part(size) -> object:
+    return F.floor(F.log(size.cast("double")) / math.log(WIDTH) + 1e-9).cast("int")
+
+
+def _candidates(spots: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different sets that share one of their rarest signatures and are not pruned."""
+    one_each = maybe_member(spots, classes.select(F.col("class_id").alias("doc_id"), "print"), ["doc_id", "print"]).where("_maybe and n > 0")
+    n = F.col("n")
+    # The shorter set of a pair needs fewer heads: the pair shares at least 2t / (1 + t) of it.
+    as_short = n - F.ceil(F.lit(2 * threshold / (1 + threshold)) * n - 1e-9) + 1
+    low = _part(F.ceil(F.lit(threshold) * n - 1e-9))
+    rows = one_each.select("print", "n", "bits", _part(n).alias("part"), low.alias("low"), as_short.alias("as_short"), F.posexplode("heads").alias("place", "s"))
+    yes, no = F.lit(True), F.lit(False)
+    roles = F.array(
+        F.when(F.col("place") < F.col("as_short"), F.struct(no.alias("long"), F.col("part").alias("at"))),
+        F.struct(yes.alias("long"), F.col("part").alias("at")),
+        F.when(F.col("low") < F.col("part"), F.struct(yes.alias("long"), F.col("low").alias("at"))),
+    )
+    each = rows.select("print", "n", "bits", "place", "s", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
+    heads = each.select(F.xxhash64("r.at", "s").alias("key"), "r.long", "place", "n", "bits", "print")
+    met = scratch(heads.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_batches(1, threshold, True), MET), "met")
+    pairs = met.where("not hot").select("a", "b")
+    hot = met.where("hot").select("key", "long", "place", "n", "bits", "print")
+    blocks = hot.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / (GROUP // 2)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    grid = hot.join(blocks, F.col("key") == F.col("_key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = grid.select("key", F.when(F.col("long"), F.col("other")).otherwise(F.col("own")).alias("x"), F.when(F.col("long"), F.col("own")).otherwise(F.col("other")).alias("y"), "long", "place", "n", "bits", "print")
+    split = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet_batches(3, threshold, False), MET)
+    return scratch(pairs.unionByName(split.select("a", "b")).distinct(), "candidates")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal fingerprints, all pairs of them at least ``threshold`` alike, and what documents are told.
+
+    Returns (print, class_id, n_docs), (a, b, likeness) by prints, and (doc_id, told) for ``fingerprints``. A class is
+    named by its smallest doc_id (null if it has none). Documents without a word are one class and in no
+    pair. The order of signatures comes from frequencies of ``BUCKETS`` hash buckets over all documents.
     """
-    narrow = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    sets = scratch(narrow.mapInArrow(_set_batches(signer or Signer()), "doc_id bigint, signatures array<bigint>"), "signatures")
-    hashed = sets.withColumn("print", F.sha2(F.concat_ws(",", F.transform("signatures", lambda s: s.cast("string"))), 256))
-    classes = scratch(hashed.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures")), "classes")
-    members = hashed.join(classes.select("print", "class_id"), "print").select("doc_id", "class_id")
-
-    each = classes.select("class_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
-    ranks = each.groupBy("s").agg(F.count(F.lit(1)).alias("seen"))
-    # A pair at the threshold shares one of the first n - ceil(threshold * n) + 1 signatures, rarest first.
-    rarest = each.join(ranks, "s").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "s"))).alias("o"))
-    prefix = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9).cast("int")
-    heads = rarest.select("class_id", "n", part.alias("part"), F.explode(F.transform(prefix, lambda o: o["s"])).alias("s"))
-    other = heads.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.explode(F.array("part", F.col("part") - 1)).alias("part"), "s")
-    meet = heads.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), "part", "s").join(other, ["part", "s"])
-    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    meet = meet.where(order & (F.col("n_a") >= F.lit(threshold) * F.col("n_b") - 1e-9)).select("a", "b").distinct()
-    left, right = (classes.select(F.col("class_id").alias(c), F.col("signatures").alias(f"s_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    alike = (both / (F.size("s_a") + F.size("s_b") - both)).alias("likeness")
-    pairs = meet.join(left, "a").join(right, "b").select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), alike)
-    return pairs.where(F.col("likeness") >= threshold - 1e-9), members
+    signer = signer or Signer()
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    frequency = np.zeros(BUCKETS, np.int64)
+    for row in narrow.mapInArrow(_frequency_batches(signer), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        frequency[row["bucket"]] = row["n"]
+    spots = scratch(narrow.mapInArrow(_head_batches(signer, frequency, threshold), SPOTS), "spots")
+    classes = scratch(spots.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs")), "classes")
+    pairs = _candidates(spots, classes, threshold)
+
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("_print")).distinct()
+    wanted = scratch(classes.join(involved, F.col("print") == F.col("_print")).select("print", F.col("class_id").alias("doc_id")), "compared")
+    texts = maybe_member(narrow, wanted, ["doc_id"]).where("_maybe").select("doc_id", "text")
+    sets = texts.mapInArrow(_wanted_batches(signer), "print bigint, signatures array<bigint>")
+    sets = scratch(sets.join(wanted.select("print"), "print", "left_semi").dropDuplicates(["print"]), "compared-sets")
+    blocks = max(1, -(-wanted.count() // BLOCK))
+    x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int") for c in "ab")
+    celled = pairs.select(x.alias("x"), y.alias("y"), "a", "b")
+    needed = celled.select("x", "y", F.explode(F.array("a", "b")).alias("_print")).distinct().join(sets, F.col("_print") == F.col("print"))
+    rows = needed.select("x", "y", F.col("print").alias("a"), F.lit(None).cast("bigint").alias("b"), "signatures")
+    rows = rows.unionByName(celled.withColumn("signatures", F.lit(None).cast("array<bigint>")))
+    ordered = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
+    alike = scratch(ordered.mapInArrow(_likeness_batches(threshold), "a bigint, b bigint, likeness double"), "alike")
+
+    both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
+    named = both.join(classes.select(F.col("print").alias("_b"), F.col("class_id").alias("other")), F.col("b") == F.col("_b"))
+    nearest = F.min(F.struct((-F.col("likeness")).alias("l"), F.col("other").isNull(), F.col("other").alias("other"))).alias("best")
+    near = named.groupBy(F.col("a").alias("_print")).agg(F.count(F.lit(1)).alias("n_near"), nearest)
+    of_class = classes.join(near, F.col("print") == F.col("_print"), "left").where("n_docs > 1 or n_near > 0")
+    told = F.struct("print", "class_id", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.col("best.other").alias("nearest_class"), (-F.col("best.l")).alias("nearest"))
+    shared = scratch(of_class.select(F.col("print").alias("_print"), told.alias("told")), "shared-classes")
+    told = spots.select("doc_id", "print").distinct().join(shared, F.col("print") == F.col("_print")).select("doc_id", "told")
+    return classes, alike, told
+
+
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | None = None) -> tuple[DataFrame, DataFrame]:
+    """(class_a, class_b, likeness) of all alike classes, and (doc_id, class_id) of all documents with an id; see ``near_classes``."""
+    classes, alike, told = near_classes(docs, threshold, signer)
+    ids = {c: classes.select(F.col("print").alias(c), F.col("class_id").alias(f"class_{c}")) for c in "ab"}
+    pairs = alike.join(ids["a"], "a").join(ids["b"], "b")
+    pairs = pairs.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "likeness")
+    members = fingerprints(docs.where("doc_id is not null"), signer, told).select("doc_id", "class_id")
+    return pairs, members
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    """Fingerprints, and every document's class and near classes from the search over all documents."""
+    docs = documents(spark, sf_dir)
+    return fingerprints(docs, told=near_classes(docs)[2])

@@ -235,6 +235,36 @@ def test_near_pairs(spark):
     assert {(r["class_a"], r["class_b"], round(r["likeness"], 9)) for r in pairs.collect()} == want and want
 
 
+@pytest.mark.parametrize("group", [spotsigs.GROUP, 16])
+def test_classes_of_the_query_against_all_pairs(spark, monkeypatch, tmp_path, group):
+    """class_id, n_near, nearest_class and nearest of every document; with a small group all hot signatures are split."""
+    monkeypatch.setattr(spotsigs, "GROUP", group)
+    monkeypatch.setattr(spotsigs, "BLOCK", group)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(80)]
+    docs = []
+    for c in range(6):
+        base = [w for _ in range(30 + 20 * c) for w in ("the", *rng.sample(words, 3))]
+        for v in range(25):
+            text = list(base)
+            for at in rng.sample(range(len(text)), v // 5):
+                text[at] = rng.choice(words)
+            docs.append((c * 100 + v, " ".join(text)))
+    docs += [(7, docs[30][1]), (None, docs[3][1]), (900, None), (901, ""), (902, "the"), (5, docs[5][1]), (903, "of lone stone river moon hill " * 30)]
+    spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, class_id int, told string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = spotsigs.op5_spotsigs(spark, str(tmp_path)).collect()
+    sets = [(i, frozenset(plain_signatures(t or ""))) for i, t in docs]
+    classes = {}
+    for i, s in sets:
+        classes[s] = min(i, classes.get(s, i), key=lambda v: (v is None, v))
+    want = []
+    for i, s in sets:
+        near = sorted((-round(jaccard(s, o), 9), classes[o]) for o in classes if o != s and s and o and jaccard(s, o) >= 0.8 - 1e-9)
+        want.append((i, classes[s], len(near), *((near[0][1], -near[0][0]) if near else (None, None))))
+    assert max(w[2] for w in want) >= 10
+    assert sorted(((r["doc_id"], r["class_id"], r["n_near"], r["nearest_class"], r["nearest"] and round(r["nearest"], 9)) for r in got), key=str) == sorted(want, key=str)
+
+
 # --- mixing --------------------------------------------------------------------------------
 
 
