@@ -337,7 +337,11 @@ def _meet_batches(keys: int, threshold: float, split: bool):
             starts = np.flatnonzero(np.r_[True, (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)]) if len(rows) else np.zeros(0, int)
             sizes = np.diff(np.r_[starts, len(rows)])
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, (at, n) in enumerate(zip(starts.tolist(), sizes.tolist())):
+            # Most signatures belong to one set only; just the others are looked at one by one.
+            several = np.minimum.reduceat(rows[:, -1], starts) != np.maximum.reduceat(rows[:, -1], starts) if len(rows) else np.zeros(0, bool)
+            several[:1] = several[-1:] = True
+            for k in np.flatnonzero(several | (sizes > GROUP)).tolist():
+                at, n = int(starts[k]), int(sizes[k])
                 group, last = rows[at : at + n], k == len(starts) - 1
                 if split and (n > GROUP or (passing is not None and tuple(group[0, :keys]) == passing)):
                     passing = tuple(group[0, :keys])
