@@ -39,13 +39,14 @@ def copy_class_counts(ref_kmers: DataFrame) -> DataFrame:
     return ref_kmers.groupBy("copy").agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("depth").alias("n_hits"))
 
 
-def query_seeds(queries: DataFrame, ref_kmers: DataFrame, params: SketchParams) -> DataFrame:
+def query_seeds(queries: DataFrame, ref_kmers: DataFrame, params: SketchParams, kept: bool = False) -> DataFrame:
     """All sampled k-mers of each query with copy class and places (NULL when missing).
 
-    Queries are sampled once; only k-mers that the reference may have are shuffled.
+    Queries are sampled once; only k-mers that the reference may have are shuffled. ``kept``: ``ref_kmers``
+    is a stored table already and is read as it is; bucketed by k-mer, it is not shuffled.
     """
     hits = stored(sampled_kmers(queries, params, emit=("ord", "kmer", "is_fwd", "pos")), "query-seeds")
-    return lookup(hits, stored(ref_kmers, "reference-kmers"), "kmer", "read_id", sparse=True)
+    return lookup(hits, ref_kmers if kept else stored(ref_kmers, "reference-kmers"), "kmer", "read_id", sparse=True)
 
 
 def query_summary(queries: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -12,9 +12,8 @@ from strandloom.operators.readset import Readset
 from strandloom.session import checkpointed, lookup
 
 MIN_SHARED = 3
-# Reads per join key before a k-mer's reads are spread over several keys. Copy
-# classes by depth keep single-copy k-mers far below it; a table classified
-# elsewhere need not.
+# Hits per block of a k-mer in the self join. Copy classes by depth keep single-copy
+# k-mers far below it; a table classified elsewhere need not.
 SPREAD = 512
 
 
@@ -22,13 +21,28 @@ def _single(readset: Readset) -> DataFrame:
     return readset.hits.where(K.copy_class(F.col("info")) == 1)
 
 
+def _in_grid(hits: DataFrame, across: bool, *spread_by: str) -> DataFrame:
+    """One side of a k-mer's self join, dealt over a square grid of ``cell``s.
+
+    A k-mer of n hits (``n_hits``, not saturated) has ``ceil(n / SPREAD)`` blocks of some SPREAD rows on each side, dealt by
+    ``spread_by``. Every block meets every block of the other side in a cell of its own: x goes to all
+    cells of its row of the grid, y (``across``) to all of its column. So no cell gets more than
+    about SPREAD rows from either side however hot the k-mer is, and every pair meets once.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_hits") / SPREAD)).cast("bigint")
+    dealt = hits.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(*spread_by), F.col("_blocks")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    row, column = ("_other", "_own") if across else ("_own", "_other")
+    return dealt.withColumn("cell", F.col(row) * F.col("_blocks") + F.col(column)).drop("_blocks", "_own", "_other")
+
+
 def first_occurrences(readset: Readset) -> DataFrame:
     """One row per read and single-copy k-mer: its first hit and its number of hits."""
     first = F.min(F.struct("pos", "is_fwd"))
     grouped = _single(readset).groupBy("read_id", "kmer").agg(
-        first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("depth").alias("depth")
+        first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("n_hits").alias("n_hits")
     )
-    return grouped.select("read_id", "kmer", "first.pos", "first.is_fwd", "n", "len", "depth")
+    return grouped.select("read_id", "kmer", "first.pos", "first.is_fwd", "n", "len", "n_hits")
 
 
 def repeat_reads(readset: Readset) -> DataFrame:
@@ -41,29 +55,26 @@ def repeat_reads(readset: Readset) -> DataFrame:
 def shared_hits(readset: Readset) -> DataFrame:
     """Every hit of y whose k-mer is single-copy in x: the rows overlaps are made of.
 
-    A k-mer of depth d joins its reads with each other, so single-copy classes by
-    a depth band bound the output per k-mer. Beyond SPREAD reads, x is split over
-    ``depth / SPREAD`` keys and y repeated for each, so no task gets a whole hot
-    k-mer and no pair is lost.
+    A k-mer's reads are joined with each other, so single-copy classes by a depth
+    band bound the output per k-mer; a hotter one is joined cell by cell of a grid.
     """
-    keys = F.greatest(F.lit(1), F.ceil(F.col("depth") / SPREAD)).cast("int")
-    x = first_occurrences(readset).select(
+    x = _in_grid(first_occurrences(readset), False, "read_id").select(
         "kmer",
-        F.pmod(F.xxhash64("read_id"), keys).cast("int").alias("part"),
+        "cell",
         F.col("read_id").alias("x"),
         F.col("pos").alias("x_pos"),
         F.col("is_fwd").alias("x_fwd"),
         F.col("len").alias("x_len"),
     )
-    y = _single(readset).select(
+    y = _in_grid(_single(readset), True, "read_id", "pos").select(
         "kmer",
-        F.explode(F.sequence(F.lit(0), keys - 1)).alias("part"),
+        "cell",
         F.col("read_id").alias("y"),
         F.col("pos").alias("y_pos"),
         F.col("is_fwd").alias("y_fwd"),
         F.col("len").alias("y_len"),
     )
-    return x.join(y, ["kmer", "part"]).drop("part")
+    return x.join(y, ["kmer", "cell"]).drop("cell")
 
 
 def candidates(readset: Readset) -> DataFrame:
@@ -197,17 +208,16 @@ def mark_contained(flags: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def shared_details(readset: Readset, pairs: DataFrame) -> DataFrame:
     """All shared single-copy hits of the given pairs in x order, order violations marked."""
-    keys = F.greatest(F.lit(1), F.ceil(F.col("depth") / SPREAD)).cast("int")
-    single = _single(readset).select("read_id", "kmer", "pos", "is_fwd", "depth", keys.alias("keys"))
-    x = single.select(
-        "kmer", F.pmod(F.xxhash64("read_id"), F.col("keys")).cast("int").alias("part"), "depth",
+    single = _single(readset).select("read_id", "kmer", "pos", "is_fwd", "depth", "n_hits")
+    x = _in_grid(single, False, "read_id", "pos").select(
+        "kmer", "cell", "depth",
         F.col("read_id").alias("x"), F.col("pos").alias("x_pos"), F.col("is_fwd").alias("x_fwd"),
     )
-    y = single.select(
-        "kmer", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("part"),
+    y = _in_grid(single, True, "read_id", "pos").select(
+        "kmer", "cell",
         F.col("read_id").alias("y"), F.col("pos").alias("y_pos"), F.col("is_fwd").alias("y_fwd"),
     )
-    both = x.join(y, ["kmer", "part"]).join(pairs.select("x", "y"), ["x", "y"], "left_semi")
+    both = x.join(y, ["kmer", "cell"]).join(pairs.select("x", "y"), ["x", "y"], "left_semi")
     walk = W.partitionBy("x", "y").orderBy("x_pos", "y_pos")
     same = F.col("x_fwd") == F.col("y_fwd")
     turn = (F.col("x_pos") - F.lag("x_pos").over(walk)).cast("bigint") * (F.col("y_pos") - F.lag("y_pos").over(walk))

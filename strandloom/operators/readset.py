@@ -27,8 +27,8 @@ def _by_pos():
 @dataclass(frozen=True)
 class Readset:
     """``reads`` (read_id, len), all sampled ``seeds`` (read_id, len, kmer, is_fwd, pos and,
-    for k-mers of the table, depth and info) and the k-mer ``table`` with depths
-    recounted from the reads."""
+    for k-mers of the table, depth, info and n_hits) and the k-mer ``table`` with depths
+    recounted from the reads. ``depth`` saturates, ``n_hits`` does not: it sizes what hot k-mers are split into."""
 
     reads: DataFrame
     seeds: DataFrame
@@ -60,7 +60,7 @@ def load(reads: DataFrame, table: DataFrame, params: SketchParams, seeds: DataFr
     recount = seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     counted = table.select("kmer", "info").join(recount, "kmer", "left")
     found = F.coalesce("n", F.lit(0))
-    counted = stored(counted.select("kmer", K.saturated(found).alias("depth"), "info", found.alias("_weight")), "read-kmers")
+    counted = stored(counted.select("kmer", K.saturated(found).alias("depth"), "info", found.alias("n_hits"), found.alias("_weight")), "read-kmers")
     lengths = reads.select("read_id", F.length(bases(F.col("seq"))).cast("bigint").alias("len"))
     placed = lookup(seeds, counted, "kmer", "read_id", weight="_weight")
     return Readset(lengths, placed, counted.drop("_weight"), params)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from strandloom.operators import kmerset, mapping
 from strandloom.plans import fixtures as fx
 from strandloom.plans import sql
 from strandloom.plans.registry import query
+from strandloom.sources import stores
+from strandloom.sources.lines import scratch_path
 
 INDEX = f"""with {sql.hits('h', sql.BENCHMARK, fx.DENSE)},
 x as materialized (select row_number() over (order by read_id, pos)-1 as loc, kmer, read_id as ref_id, pos as "offset", is_fwd from h),
@@ -33,18 +37,49 @@ def _seeds(spark, sf_dir):
     return mapping.query_seeds(fx.documents(spark, sf_dir), _reference(spark, sf_dir), fx.DENSE)
 
 
-@query(
-    "query_summary",
-    f"""{SEEDS}, l as (select read_id, length(seq) as len from ({sql.DOCUMENTS})),
+SUMMARY = f"""{SEEDS}, l as (select read_id, length(seq) as len from ({sql.DOCUMENTS})),
 g as (select read_id, count(*) as n, count(copy) as f, count(case when copy=1 then 1 end) as c1,
 count(case when copy=2 then 1 end) as c2, count(case when copy=3 then 1 end) as c3 from s group by read_id)
 select l.read_id, len, coalesce(n-f,0) as n_miss, coalesce(c1,0) as n_copy1, coalesce(c2,0) as n_copy2, coalesce(c3,0) as n_multi,
-f::double/n as hit_fraction from l left join g on l.read_id=g.read_id""",
-)
+f::double/n as hit_fraction from l left join g on l.read_id=g.read_id"""
+
+
+@query("query_summary", SUMMARY)
 def query_summary(spark, sf_dir):
     return mapping.query_summary(fx.documents(spark, sf_dir), _seeds(spark, sf_dir))
 
 
+def _stored_reference(spark, sf_dir):
+    path = scratch_path(spark, "reference")
+    refs = fx.benchmark(spark, sf_dir)
+    names = fx.clean(refs).select("read_id", F.concat(F.lit("item"), "read_id").alias("name"), "len")
+    stores.write_reference(ref_index(spark, sf_dir), names, fx.DENSE, path)
+    return path
+
+
+@query(
+    "reference_roundtrip",
+    f"""{INDEX}, n as (select read_id, 'item' || read_id as name, length(seq) as len from ({sql.BENCHMARK}))
+select x.loc, x.kmer, x.ref_id, n.name, n.len, x."offset", x.is_fwd, k.depth, k.copy, k.loc1, case when k.copy=2 then k.loc2 end as loc2
+from x join n on x.ref_id=n.read_id join k on x.kmer=k.kmer""",
+)
+def reference_roundtrip(spark, sf_dir):
+    """A stored reference read back: every occurrence with its sequence's name and its k-mer's places."""
+    path = _stored_reference(spark, sf_dir)
+    index, names, _ = stores.read_reference(spark, path)
+    kmers = stores.read_reference_kmers(spark, path).select("kmer", "depth", "copy", F.col("first.loc").alias("loc1"), F.col("second.loc").alias("loc2"))
+    return index.join(names.withColumnRenamed("read_id", "ref_id"), "ref_id").join(kmers, "kmer")
+
+
+@query("map_from_store", SUMMARY)
+def map_from_store(spark, sf_dir):
+    """Queries looked up in a stored reference, whose k-mers are not shuffled again."""
+    path = _stored_reference(spark, sf_dir)
+    _, _, params = stores.read_reference(spark, path)
+    queries = fx.documents(spark, sf_dir)
+    return mapping.query_summary(queries, mapping.query_seeds(queries, stores.read_reference_kmers(spark, path), params, kept=True))
+
+
 @query(
     "seed_hits",
     f"""{SEEDS}, p as (select read_id, ord, pos, kmer, copy, 0 as place, loc1 as loc from s where copy<3

@@ -10,6 +10,8 @@ from strandloom.operators import assembly, kmerset, overlaps, readset
 from strandloom.plans import fixtures as fx
 from strandloom.plans import sql
 from strandloom.plans.registry import query
+from strandloom.sources import stores
+from strandloom.sources.lines import scratch_path
 
 TABLE = f"""with {sql.hits('a', sql.DOCUMENTS, fx.DENSE)},
 t as materialized (select kmer, least(count(*),65535)::integer as depth, {sql.copy_case('count(*)', 2, 5, 20)} as info
@@ -34,6 +36,15 @@ def readset_load(spark, sf_dir):
     return readset.read_summary(load(spark, sf_dir)).select("read_id", "len", "n_hit", "n_miss")
 
 
+@query("readset_roundtrip", f"{HITS} select h.read_id, h.len, h.kmer, h.is_fwd, h.pos, t.depth, t.info from h join t on h.kmer=t.kmer")
+def readset_roundtrip(spark, sf_dir):
+    """A stored readset read back: every hit with its k-mer's row in the table."""
+    path = scratch_path(spark, "readset")
+    stores.write_readset(load(spark, sf_dir), path)
+    kept = stores.read_readset(spark, path)
+    return kept.hits.select("read_id", "len", "kmer", "is_fwd", "pos").join(kept.table.select("kmer", "depth", "info"), "kmer")
+
+
 @query(
     "readset_load_pages",
     SUMMARY.replace(

@@ -45,4 +45,4 @@ def stream_state_counts(spark, sf_dir):
     root = scratch_path(spark, "stream-state")
     reads = _reads(spark, sf_dir, "documents", F.col("doc_id"), "text")
     counts.update_counts(reads, fx.DEFAULT, f"{root}/updates", f"{root}/checkpoint").awaitTermination()
-    return counts.latest_counts(spark, f"{root}/updates")
+    return counts.state_counts(spark, f"{root}/checkpoint")

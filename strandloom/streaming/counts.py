@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from strandloom.functions import kmers as K
 from strandloom.operators.kmerset import count_kmers
@@ -49,15 +49,45 @@ def added_counts(spark: SparkSession, path: str) -> DataFrame:
     return parts.groupBy("kmer").agg(K.saturated(F.sum("depth")).alias("depth")).withColumn("info", F.lit(0))
 
 
+# The state lives on the executors' disks, not in the JVM heap, and batches upload only what they changed.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _start_with_state(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Start with the settings of ``STATE``; a query keeps those it is started with, the session gets its own back."""
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    try:
+        for name, value in STATE.items():
+            spark.conf.set(name, value)
+        return writer.start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def update_counts(reads: DataFrame, params: SketchParams, path: str, checkpoint: str) -> StreamingQuery:
-    """Keyed running counts in the state store; each batch writes the k-mers it changed."""
+    """Keyed running counts in the state store; each batch writes the k-mers it changed.
+
+    A restart goes on from ``checkpoint``. The totals are those of ``state_counts``, whatever the number
+    of batches; the folders of ``path`` are for those who follow the changes.
+    """
     counts = sampled_kmers(reads, params, keep=(), emit=("kmer",)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return _start_with_state(reads.sparkSession, writer.trigger(availableNow=True))
+
+
+def state_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All k-mers with their depths, read from the state of ``update_counts`` after its last batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    kmer, n = (state.schema[part].dataType.fieldNames()[0] for part in ("key", "value"))
+    return state.select(F.col("key")[kmer].alias("kmer"), K.saturated(F.col("value")[n]).alias("depth"))
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:

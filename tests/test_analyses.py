@@ -92,6 +92,31 @@ def test_spreading_hot_kmers_changes_nothing(tiles, monkeypatch):
     assert sorted(overlaps.shared_details(loaded, overlaps.overlaps(loaded)).collect()) == details
 
 
+def test_no_block_of_a_hot_kmer_grows(spark, monkeypatch):
+    """One k-mer in half of 400 reads, thirty times in one of them: cells stay small, pairs are all there."""
+    hits = [(read, 300, 7, True, 10 * read, 0) for read in range(0, 400, 2)]
+    hits += [(0, 300, 7, True, 5000 + i, 0) for i in range(29)] + [(read, 300, 1000 + read // 2, True, 3, 0) for read in range(400)]
+    seeds = spark.createDataFrame(hits, "read_id long, len long, kmer long, is_fwd boolean, pos int, info int").withColumn("info", F.lit(1))
+    counts = seeds.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_hits"), F.count(F.lit(1)).cast("int").alias("depth"))
+    seeds = seeds.join(counts, "kmer")
+    loaded = readset.Readset(seeds.select("read_id", "len").distinct(), seeds, counts, P)
+    monkeypatch.setattr(overlaps, "SPREAD", 16)
+    for side, spread_by in ((False, ["read_id", "pos"]), (True, ["read_id", "pos"])):
+        cells = overlaps._in_grid(seeds, side, *spread_by).groupBy("kmer", "cell").count()
+        assert cells.agg(F.max("count")).first()[0] <= 3 * 16
+        assert cells.where("kmer = 7").count() == 15 * 15  # 229 hits in blocks of 16
+    got = Counter((r.x, r.y) for r in overlaps.shared_hits(loaded).collect())
+    want = Counter()
+    by_kmer = {}
+    for read, _, kmer, *_ in hits:
+        by_kmer.setdefault(kmer, []).append(read)
+    for reads in by_kmer.values():
+        for x in set(reads):
+            for y in reads:
+                want[x, y] += 1
+    assert got == want
+
+
 def test_contained_and_repeat_reads(spark):
     genome = _genome(900, 11)
     rows = [(1, genome), (2, genome[200:600]), (3, genome[:300] + genome[:300]), (4, _genome(80, 12))]

@@ -3,6 +3,8 @@ import random
 import pytest
 
 from strandloom import cli
+from strandloom.operators import mapping
+from strandloom.params import SketchParams
 from strandloom.sources import kmer_tables, stores
 
 
@@ -100,3 +102,26 @@ def test_other_commands(spark, files):
     assert int(_rows(spark, files / "stats2/01-lengths")[0].total) < 13 * 600
     with pytest.raises(SystemExit):
         _run(spark, files, "kmers -zz")
+
+
+def test_stored_kmers_are_not_shuffled(spark, tmp_path):
+    """A lookup in a stored reference moves the queries' side only; a second write replaces the first."""
+    params = SketchParams(11, 3)
+    names = spark.createDataFrame([(1, "a", 40)], "read_id long, name string, len int")
+    texts = ["ACGTTGCATGCATCGGATCATTACGGATCTAGGATCAACGT", "TTGACCAGATTACAGGACCATAGGCATTAGGACCATTGACC"]
+    for text in texts:
+        refs = spark.createDataFrame([(1, text)], "read_id long, seq string")
+        stores.write_reference(mapping.index_reference(refs, params), names, params, str(tmp_path / "ref"))
+    stored = stores.read_reference_kmers(spark, str(tmp_path / "ref"))
+    assert sorted(stored.collect()) == sorted(mapping.reference_kmers(mapping.index_reference(refs, params)).collect())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seeds = mapping.query_seeds(refs, stored, params, kept=True)
+        plan = seeds._jdf.queryExecution().executedPlan().toString()
+        found = seeds.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "hashpartitioning(_probe" in plan and "hashpartitioning(_cold_key" not in plan and "Bucketed: true" in plan
+    assert found and all(r.copy for r in found)

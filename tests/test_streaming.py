@@ -22,6 +22,29 @@ def _folder(spark, tmp_path):
     return str(target.parent), fx.table(spark, str(target.parent), "documents")
 
 
+def test_state_outlives_a_restart(spark, tmp_path):
+    """New files after a first run are added to the counts that its state holds."""
+    folder, every = _folder(spark, tmp_path)
+    new = sorted((tmp_path / "in" / "documents.parquet").glob("part-*.parquet"))[-1].read_bytes()
+    before = spark.conf.get(next(iter(counts.STATE)), None)
+
+    def run():
+        stream = counts.stream_table(spark, folder, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))
+        counts.update_counts(stream, fx.DEFAULT, str(tmp_path / "updates"), str(tmp_path / "c")).awaitTermination()
+        return _counts(counts.state_counts(spark, str(tmp_path / "c")))
+
+    def batch():
+        docs = fx.table(spark, folder, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq"))
+        return _counts(kmerset.count_kmers(docs, fx.DEFAULT))
+
+    assert run() == batch()
+    (tmp_path / "in" / "documents.parquet" / "part-9.parquet").write_bytes(new)
+    spark.catalog.clearCache()
+    twice = batch()
+    assert run() == twice
+    assert spark.conf.get(next(iter(counts.STATE)), None) == before
+
+
 def _counts(frame):
     return sorted((r.kmer, r.depth) for r in frame.collect())
 
