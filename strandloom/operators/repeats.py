@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from strandloom.functions.sequences import bases
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
-from strandloom.session import checkpointed, lookup, maybe_member, stored
+from strandloom.session import HOT_KEYS, checkpointed, lookup, maybe_member, stored
 
 MIN_SUPPORT = 5  # fewest hits of a k-mer or of a link between neighbours
 
@@ -153,13 +153,14 @@ def informative_mods(mods: DataFrame, links: DataFrame) -> DataFrame:
     A neighbour supports when its link is seen MIN_SUPPORT times and makes up
     more than half of the k-mer's count or of the neighbour's links on that side.
     """
-    post = links.groupBy("k0").agg(F.sum("n").alias("n_post"))
-    pre = links.groupBy("k1").agg(F.sum("n").alias("n_pre"))
-    into = links.join(post, "k0").select(F.col("k1").alias("kmer"), "n", F.col("n_post").alias("other"), F.lit(True).alias("is_pre"))
-    out = links.join(pre, "k1").select(F.col("k0").alias("kmer"), "n", F.col("n_pre").alias("other"), F.lit(False).alias("is_pre"))
-    sides = into.unionByName(out).withColumnRenamed("n", "link")
-    # Links per k-mer are distinct neighbours; the aggregate below is combined map-side.
-    judged = sides.join(mods, "kmer")
+    # A k-mer between varying neighbours has as many links as there are of them: all three joins are safe for such hubs.
+    links = stored(links.select("k0", "k1", "n"), "links")
+    degree = F.count(F.lit(1)).alias("_weight")
+    post = lookup(links, links.groupBy("k0").agg(F.sum("n").alias("other"), degree), "k0", "k1", weight="_weight")
+    pre = lookup(links, links.groupBy("k1").agg(F.sum("n").alias("other"), degree), "k1", "k0", weight="_weight")
+    into = post.select(F.col("k1").alias("kmer"), F.col("k0").alias("beside"), F.col("n").alias("link"), "other", F.lit(True).alias("is_pre"))
+    out = pre.select(F.col("k0").alias("kmer"), F.col("k1").alias("beside"), F.col("n").alias("link"), "other", F.lit(False).alias("is_pre"))
+    judged = lookup(into.unionByName(out), mods.select("kmer", "n"), "kmer", "beside").where(F.col("n").isNotNull())
     half = F.floor(F.col("n") / 2)
     supports = (F.col("link") >= MIN_SUPPORT) & ((F.col("link") > half) | (F.col("link") > F.floor(F.col("other") / 2)))
     redundant = F.col("is_pre") & (F.col("link") == F.col("n")) & (F.col("link") == F.col("other"))
@@ -169,10 +170,16 @@ def informative_mods(mods: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def weak_reads(hits: DataFrame) -> DataFrame:
-    """Reads with a neighbouring pair seen fewer than MIN_SUPPORT times."""
+    """Reads with a neighbouring pair seen fewer than MIN_SUPPORT times.
+
+    The HOT_KEYS commonest pairs have support, so their rows leave map-side; any other
+    pair holds less than 1/HOT_KEYS of the rows that are shuffled.
+    """
     pairs = neighbours(hits)
-    weak = pairs.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < MIN_SUPPORT)
-    return pairs.join(weak, ["k0", "k1"], "left_semi").select("read_id").distinct()
+    seen = stored(pairs.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    common = seen.where(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "k0", "k1").limit(HOT_KEYS)
+    rare = pairs.join(F.broadcast(common), ["k0", "k1"], "left_anti")
+    return rare.join(seen.where(F.col("n") < MIN_SUPPORT), ["k0", "k1"], "left_semi").select("read_id").distinct()
 
 
 def count_without_last(hits: DataFrame) -> DataFrame:

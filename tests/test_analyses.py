@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom import session
 from strandloom.functions import kmers as K
 from strandloom.functions.sequences import reverse_complement
 from strandloom.functions.walk import Track, greedy_walk
@@ -195,6 +196,31 @@ def test_informative_kmers(spark):
     assert {r.kmer for r in repeats.informative_mods(mods, links).collect()} == {1, 3, 4}
 
 
+def test_hubs_among_links(spark, monkeypatch):
+    """A k-mer with 300 neighbours and a pair in 300 reads, with many and one hot key; 3 only repeats 2."""
+    edges = [(1, n, 6) for n in range(10, 310)] + [(n, 2, 7) for n in range(10, 310)] + [(2, 3, 9)]
+    mods = spark.createDataFrame([(k, 9) for k in (1, 2, 3, *range(10, 310))], "kmer long, n long")
+    links = spark.createDataFrame(edges, "k0 long, k1 long, n long")
+    hits = [(read, kmer, 10 * i) for read in range(300) for i, kmer in enumerate([5, 6] + ([7 + read] if read < 3 else []))]
+    frame = spark.createDataFrame(hits, "read_id long, kmer long, x int")
+
+    def run():
+        return {r.kmer for r in repeats.informative_mods(mods, links).collect()}, {r.read_id for r in repeats.weak_reads(frame).collect()}
+
+    assert run() == ({1, 2, *range(10, 310)}, {0, 1, 2})
+    for module in (repeats, session):
+        monkeypatch.setattr(module, "HOT_KEYS", 1)
+    assert run() == ({1, 2, *range(10, 310)}, {0, 1, 2})
+
+
+def test_a_read_in_many_overlaps(tiles, monkeypatch):
+    _, loaded = tiles
+    pairs = overlaps.checkpointed(overlaps.overlaps(loaded))
+    before = sorted(assembly.consensus_hits(loaded, pairs).collect())
+    monkeypatch.setattr(assembly, "SPREAD", 1)
+    assert before and sorted(assembly.consensus_hits(loaded, pairs).collect()) == before
+
+
 def test_blocks_and_weak_reads(spark):
     lists = {1: [5, 6, 7], 2: [5, 6, 7], 3: [5, 7], 4: [], 5: [5, 6, 7], 6: [5, 6, 7], 7: [5, 6, 7]}
     hits = [(read, kmer, 10 * i) for read, kmers in lists.items() for i, kmer in enumerate(kmers)]
