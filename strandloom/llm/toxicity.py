@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandloom.llm.common import documents, text_of
 from strandloom.llm.nets import Adam, Parameters, sigmoid, summed
@@ -229,15 +230,17 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> t
     return [r["_text"] for r in found], np.array([r["_label"] for r in found], np.int64)
 
 
-def _score_batches(p: Parameters | None):
+def _score_batches(p: Parameters | None, text: int, kept: int):
+    """Function for ``mapInArrow``: the first ``kept`` columns and ``_score`` of the text at place ``text`` (null: empty)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
             parts = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // AT_ONCE
             cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)]
             scores = [score_texts(p, texts.slice(a, b - a)) if p else np.zeros(b - a) for a, b in zip(cuts, cuts[1:])]
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(scores), pa.float64())], names=[*batch.schema.names[:-1], "_score"])
+            columns = [batch.column(i) for i in range(kept)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores), pa.float64())], names=[*batch.schema.names[:kept], "_score"])
 
     return run
 
@@ -254,7 +257,7 @@ def scored(docs: DataFrame, p: Parameters | None) -> DataFrame:
     alike. Other columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("_text"))
-    found = narrow.mapInArrow(_score_batches(p), "doc_id bigint, _score double")
+    found = narrow.mapInArrow(_score_batches(p, 1, 1), "doc_id bigint, _score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -264,10 +267,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    Null and empty texts are scored as texts without words and stay, repeated rows are judged alike and all stay or go, an
+    empty table stays empty, and without labels of both kinds every document stays. Columns of any type and name pass through.
+    """
     p = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     fields = docs.schema.fields
-    kept = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)], text_of().alias("_text"))
-    types = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    clean = kept.mapInArrow(_score_batches(p), f"{types}, _score double").where("_score < 0.5")
+    text = next(i for i, f in enumerate(fields) if f.name.lower() == "text")
+    kept = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)])
+    schema = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)], StructField("_score", DoubleType())])
+    clean = kept.mapInArrow(_score_batches(p, text, len(fields)), schema).where("_score < 0.5")
     return clean.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)])

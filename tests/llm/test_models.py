@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandloom.llm import language, toxicity
@@ -88,6 +89,11 @@ def test_toxicity(spark, toxic_tables, tmp_path):
     assert left.columns == d.columns
     clean = {i for i, r in of.items() if r["predicted"] == 0}
     assert {r["doc_id"] for r in left.collect()} == clean
+    nested = d.withColumn("c0", F.struct(F.lit(1).alias("a-b c"), F.array(F.col("lang")).alias("x"))).withColumn("n.c", F.lit(None).cast("date"))
+    passed = toxicity.toxicity_stage(spark, nested, str(tmp_path))
+    assert passed.columns == nested.columns and passed.where("c0.`a-b c` = 1").count() == left.count()
+    empty = toxicity.toxicity_stage(spark, d.where("false"), str(tmp_path))
+    assert empty.columns == d.columns and empty.count() == 0
     assert {r["score"] for r in toxicity.scored(d, toxicity.fitted(d, labels.where("toxic = 0"))).collect()} == {0.0}
     assert toxicity.scored(d.where("false"), p).count() == 0
 
