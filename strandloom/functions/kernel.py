@@ -178,31 +178,72 @@ def byte_counter(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def split_counter(counted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _split_changes(batch: pa.RecordBatch) -> np.ndarray:
+    """True where a row lies in another file split (_file, _block) than the one before; the first row is True."""
+    changed = np.zeros(batch.num_rows, bool)
+    changed[0] = True
+    for name in ("_file", "_block"):
+        column = batch.column(name)
+        changed[1:] |= ~pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return changed
+
+
+def _valid_rows(column: pa.Array) -> np.ndarray:
+    """Each row's own number where the column has a value, else -1."""
+    return np.where(column.is_valid().to_numpy(zero_copy_only=False), np.arange(len(column)), -1)
+
+
+def split_totals(counted: list[str], carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Function for ``mapInArrow``: per run of one file split in a batch the sums of the ``counted``
+    columns, the last value of the ``carried`` ones and the first ``_line``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            starts = np.flatnonzero(_split_changes(batch))
+            arrays = {name: batch.column(name).take(pa.array(starts)) for name in ("_file", "_block", "_line")}
+            for name in counted:
+                arrays[name] = pa.array(np.add.reduceat(batch.column(name).to_numpy(), starts))
+            for name in carried:
+                last = np.maximum.reduceat(_valid_rows(batch.column(name)), starts)
+                arrays[name] = batch.column(name).take(pa.array(last, mask=last < 0))
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+    return run
+
+
+def split_counter(counted: list[str], carried: list[str] = []) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Function for ``mapInArrow``: running totals of the ``counted`` columns within each
-    file split (_file, _block), carried from batch to batch."""
+    file split (_file, _block), and the last value so far of the ``carried`` ones, kept from batch to batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, carried = None, [0] * len(counted)
+        split, sums = None, [0] * len(counted)
+        latest: dict[str, pa.Array] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             file, block = batch.column("_file"), batch.column("_block")
-            changed = np.ones(batch.num_rows, bool)
+            changed = _split_changes(batch)
             changed[0] = split != (file[0].as_py(), block[0].as_py())
-            for column in (file, block):
-                same = pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-                changed[1:] = same if column is file else changed[1:] & same
-            changed[1:] = ~changed[1:]
             segment = np.cumsum(changed)  # 0: still the previous batch's split
             starts = np.flatnonzero(changed)
             arrays = {name: batch.column(name) for name in batch.schema.names}
             for i, name in enumerate(counted):
                 total = np.cumsum(batch.column(name).to_numpy())
-                base = np.concatenate(([-carried[i]], np.concatenate(([0], total))[starts]))
+                base = np.concatenate(([-sums[i]], np.concatenate(([0], total))[starts]))
                 running = total - base[segment]
-                carried[i] = int(running[-1])
+                sums[i] = int(running[-1])
                 arrays[name] = pa.array(running)
+            first = np.concatenate(([-1], starts))[segment]
+            for name in carried:
+                column = batch.column(name)
+                before = latest.get(name, pa.nulls(1, column.type))
+                last = np.maximum.accumulate(_valid_rows(column))
+                # Place 0 is the value before the batch, which counts in its own split only.
+                missing = (last < first) | (last < 0) & (segment > 0)
+                arrays[name] = pa.concat_arrays([before, column]).take(pa.array(last + 1, mask=missing))
+                latest[name] = arrays[name].slice(batch.num_rows - 1, 1)
             split = (file[-1].as_py(), block[-1].as_py())
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 

@@ -215,15 +215,25 @@ def record_format(spark, sf_dir):
     return _conversation_lines(spark, sf_dir)
 
 
-def _conversation_records(spark, sf_dir):
+def _conversation_file(spark, sf_dir, lines_per_file=None):
     path = scratch_path(spark, "turns")
     lines = _conversation_lines(spark, sf_dir).withColumn("group_id", F.col("conv_id") + 1)
     provenance = records.Header(provenance=(("strandloom", "1", "conversations", "2024-01-01_00:00:00"),))
-    records.write_records(lines, ["conv_id", "turn", "part"], records.SEQUENCE_SCHEMA, path, provenance)
-    schema = records.embedded_schema(spark, path)
+    records.write_records(lines, ["conv_id", "turn", "part"], records.SEQUENCE_SCHEMA, path, provenance, lines_per_file=lines_per_file)
+    return path, records.embedded_schema(spark, path)
+
+
+def _conversation_records(spark, sf_dir):
+    path, schema = _conversation_file(spark, sf_dir)
     return records.read_records(spark, path, schema), schema
 
 
+def _indexed_conversations(spark, sf_dir):
+    path, schema = _conversation_file(spark, sf_dir, 50_000)
+    records.write_index(spark, path, schema)
+    return path
+
+
 NUMBERED = """numbered as (select *, row_number() over (order by conv_id, turn, part) as line_no,
 sum(case when part=1 then 1 else 0 end) over (order by conv_id, turn, part rows unbounded preceding)::bigint as object_id,
 sum(case when part=0 then 1 else 0 end) over (order by conv_id, turn, part rows unbounded preceding)::bigint as group_id from l)"""
@@ -237,11 +247,10 @@ from numbered s join c i on i.conv_id=s.conv_id and i.turn=s.turn
 join (select conv_id, count(*) as n from c group by conv_id) g on g.conv_id=s.conv_id where s.part=1""",
 )
 def record_parse(spark, sf_dir):
-    lines, schema = _conversation_records(spark, sf_dir)
-    seqs = records.parse_lines(lines, schema, "S").withColumnRenamed("f0", "seq")
-    roles = records.parse_lines(lines, schema, "I").select("object_id", F.col("f0").alias("role"))
-    groups = records.parse_lines(lines, schema, "g").select("group_id", F.col("f0").alias("group_n"), F.col("f1").alias("group_name"))
-    return seqs.join(roles, "object_id").join(groups, "group_id")
+    path, schema = _conversation_file(spark, sf_dir)
+    turns = records.objects(records.read_records(spark, path, schema, group_line=True), schema, seq="S", role="I", of="g")
+    group = [F.col("of.f1").alias("group_name"), F.col("of.f0").alias("group_n")]
+    return turns.select("object_id", "group_id", "line_no", F.col("seq.f0").alias("seq"), F.col("role.f0").alias("role"), *group)
 
 
 @query(
@@ -260,14 +269,12 @@ def record_counts(spark, sf_dir):
 
 @query("record_goto_group", f"{TURNS}, {NUMBERED} select line_no, object_id, value from numbered where group_id=7")
 def record_goto_group(spark, sf_dir):
-    lines, _ = _conversation_records(spark, sf_dir)
-    return records.goto_group(lines, 7).select("line_no", "object_id", "value")
+    return records.read_indexed(spark, _indexed_conversations(spark, sf_dir), group_id=7).select("line_no", "object_id", "value")
 
 
 @query("record_goto_object", f"{TURNS}, {NUMBERED} select line_no, group_id, value from numbered where object_id=11")
 def record_goto_object(spark, sf_dir):
-    lines, _ = _conversation_records(spark, sf_dir)
-    return records.goto_object(lines, 11).select("line_no", "group_id", "value")
+    return records.read_indexed(spark, _indexed_conversations(spark, sf_dir), object_id=11).select("line_no", "group_id", "value")
 
 
 @query(
@@ -292,12 +299,9 @@ def record_typed_lists(spark, sf_dir):
     lines = made.select("vec_id", F.inline(parts)).withColumn("group_id", F.lit(0))
     path = scratch_path(spark, "vectors")
     records.write_records(lines, ["vec_id", "part"], schema, path)
-    found = records.read_records(spark, path)
-    frames = [records.parse_lines(found, schema, letter).drop("line_no", "group_id") for letter in "VRW"]
-    first = frames[0].select("object_id", F.col("f0").alias("vec_id"), F.col("f1").alias("ints"))
-    second = frames[1].select("object_id", F.col("f0").alias("reals"))
-    third = frames[2].select("object_id", F.col("f0").alias("words"))
-    return first.join(second, "object_id").join(third, "object_id").drop("object_id")
+    found = records.objects(records.read_records(spark, path), schema, v="V", r="R", w="W")
+    names = {"v.f0": "vec_id", "v.f1": "ints", "r.f0": "reals", "w.f0": "words"}
+    return found.select(*[F.col(field).alias(name) for field, name in names.items()])
 
 
 OTHER_SCHEMA = "P 3 alt\nG g 2 3 INT 6 STRING\nO S 1 6 STRING\n"

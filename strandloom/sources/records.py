@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import takewhile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from strandloom.functions.sequences import quality_text, quality_values
-from strandloom.sources.lines import head_lines, read_lines, running_counts, write_lines
+from strandloom.sources.lines import head_lines, read_lines, running_counts, split_totals, write_lines
 
 # Field type names, format version and header line marks.
 FIELD_TYPES = {
@@ -134,23 +135,38 @@ def embedded_schema(spark: SparkSession, path: str) -> RecordSchema:
     return schema
 
 
-def read_records(spark: SparkSession, path: str, schema: RecordSchema | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: RecordSchema | None = None, group_line: bool = False) -> DataFrame:
     """All data lines: line_no, line_type, value, object_id, group_id.
 
     Ids count the object and group lines up to and including the line (0 before the first).
+    With ``group_line`` each line also has the text of its group's line (null before the first group).
     """
     schema = schema or embedded_schema(spark, path)
-    lines = read_lines(spark, path)
+    return _placed_records(read_lines(spark, path), schema, group_line)
+
+
+def _data_lines(lines: DataFrame, schema: RecordSchema) -> DataFrame:
+    kind = F.substring("value", 1, 1)
+    return lines.where(kind.isin(*schema.lines) & ((F.length("value") == 1) | F.substring("value", 2, 1).eqNullSafe(" ")))
+
+
+def _parser_state(schema: RecordSchema) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What a reader knows at a line: counts of lines, objects and groups, and the last group line."""
     kind = F.substring("value", 1, 1)
-    data = lines.where(kind.isin(*schema.lines) & (F.length("value") == 1) | kind.isin(*schema.lines) & F.substring("value", 2, 1).eqNullSafe(" "))
     opened, grouped = schema.letter(OBJECT), schema.letter(GROUP)
-    sums = {
+    counts = {
         "line_no": F.lit(1),
         "object_id": (kind == F.lit(opened)).cast("int") if opened else F.lit(0),
         "group_id": (kind == F.lit(grouped)).cast("int") if grouped else F.lit(0),
     }
-    numbered = running_counts(data, sums)
-    return numbered.select("line_no", F.substring("value", 1, 1).alias("line_type"), "value", "object_id", "group_id")
+    return counts, {"group_line": F.when(kind == F.lit(grouped), F.col("value")) if grouped else F.lit(None)}
+
+
+def _placed_records(lines: DataFrame, schema: RecordSchema, group_line: bool, start: DataFrame | None = None) -> DataFrame:
+    counts, carried = _parser_state(schema)
+    carried = carried if group_line else {}
+    numbered = running_counts(_data_lines(lines, schema), counts, carried, start)
+    return numbered.select("line_no", F.substring("value", 1, 1).alias("line_type"), "value", "object_id", "group_id", *carried)
 
 
 def _token(rest: Column) -> Column:
@@ -163,7 +179,7 @@ def _after(rest: Column, n: Column) -> Column:
 
 
 def _string_list(rest: Column, n: Column) -> Column:
-    """``n`` length-prefixed strings as an array, consuming from the left."""
+    """``items``: ``n`` length-prefixed strings as an array, consuming from the left; ``rest``: the text behind them."""
     start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("items"))
 
     def step(state: Column, _: Column) -> Column:
@@ -175,31 +191,86 @@ def _string_list(rest: Column, n: Column) -> Column:
         )
 
     steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step)["items"]
+    return F.aggregate(steps, start, step)
+
+
+def _leading(schema: RecordSchema, letter: str) -> int:
+    """Number of fields before a list field."""
+    kinds = schema.lines[letter].fields
+    return next((i for i, kind in enumerate(kinds) if kind in LIST_FIELDS), len(kinds))
+
+
+def _fields(schema: RecordSchema, letter: str, words: Column) -> list[Column]:
+    """Field columns of a line cut at its first ``_leading + 2`` blanks; text after the fields is a comment."""
+    kinds, at = schema.lines[letter].fields, _leading(schema, letter)
+    found = [F.get(words, F.lit(i + 1)).cast(FIELD_TYPES[kind]) for i, kind in enumerate(kinds[:at])]
+    if at == len(kinds):
+        return found
+    n, rest = F.get(words, F.lit(at + 1)).cast("int"), F.coalesce(F.get(words, F.lit(at + 2)), F.lit(""))
+    if kinds[at] in ("STRING", "DNA"):
+        found.append(F.substring(rest, F.lit(1), n))
+        behind, first = F.split(_after(rest, n), " "), F.lit(0)
+    elif kinds[at] == "STRING_LIST":
+        listed = _string_list(rest, n)
+        found.append(listed["items"])
+        behind, first = F.split(listed["rest"], " "), F.lit(0)
+    else:
+        behind, first = F.split(rest, " "), n
+        found.append(F.slice(behind, F.lit(1), n).cast(FIELD_TYPES[kinds[at]]))
+    later = kinds[at + 1 :]
+    return found + [F.get(behind, first + i).cast(FIELD_TYPES[kind]) for i, kind in enumerate(later)]
+
+
+def typed_lines(records: DataFrame, schema: RecordSchema, **letters: str) -> DataFrame:
+    """Lines of several types in one pass: line_no, line_type, object_id, group_id and one struct column
+    (``f0``, ``f1`` ...) for each ``name=letter``, null in lines of other types.
+
+    Where ``records`` has a ``group_line``, a column with the group type's letter holds the fields of the
+    line's group in every line. Lines of types not named are left out.
+    """
+    kind, group = F.col("line_type"), schema.letter(GROUP)
+    carried = "group_line" in records.columns
+    limit = F.lit(2)
+    for letter in letters.values():
+        limit = F.when(kind == letter, _leading(schema, letter) + 3).otherwise(limit)
+    # Cut once per line; the fields are taken from the words in a projection of their own.
+    cut = records.where(kind.isin(*letters.values())).withColumn("_words", F.split("value", " ", limit))
+    if carried and group:
+        cut = cut.withColumn("_group_words", F.split("group_line", " ", _leading(schema, group) + 3))
+    columns = []
+    for name, letter in letters.items():
+        from_group = carried and letter == group
+        words, present = (F.col("_group_words"), F.col("_group_words").isNotNull()) if from_group else (F.col("_words"), kind == letter)
+        fields = [c.alias(f"f{i}") for i, c in enumerate(_fields(schema, letter, words))]
+        columns.append(F.when(present, F.struct(*fields)).alias(name))
+    return cut.select("line_no", "line_type", "object_id", "group_id", *columns)
+
+
+def objects(records: DataFrame, schema: RecordSchema, **letters: str) -> DataFrame:
+    """One row per object: object_id, group_id, line_no of its own line, and the struct of its first line of each
+    named type (null where it has none; with ``group_line`` also of its group's line).
+
+    Lines before the first object are left out. Lines of one object meet in one shuffle on object_id, combined
+    map-side, as they lie together in the file.
+    """
+    opened, group = schema.letter(OBJECT), schema.letter(GROUP)
+    if group in letters.values() and "group_line" not in records.columns:
+        raise ValueError("fields of the group need records with a group_line")
+    wanted = letters if opened in letters.values() else {**letters, "_object": opened}
+    # A group's own line counts under the object before it.
+    lines = typed_lines(records.where(~F.col("line_type").eqNullSafe(group)), schema, **wanted).where(F.col("object_id") > 0)
+    first = [F.min_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(name) for name in letters]
+    own = F.col("line_type") == opened
+    return lines.groupBy("object_id").agg(
+        F.min(F.when(own, F.col("group_id"))).alias("group_id"), F.min(F.when(own, F.col("line_no"))).alias("line_no"), *first
+    )
 
 
 def parse_lines(records: DataFrame, schema: RecordSchema, letter: str) -> DataFrame:
     """Lines of one type with fields ``f0``, ``f1`` ...; text after the fields is a comment."""
-    rows = records.where(F.col("line_type") == letter).withColumn("_rest", F.expr("substring(value, 3)"))
-    for i, kind in enumerate(schema.lines[letter].fields):
-        rest, token = F.col("_rest"), _token(F.col("_rest"))
-        if kind in ("INT", "REAL", "CHAR"):
-            rows = rows.withColumn(f"f{i}", token.cast(FIELD_TYPES[kind])).withColumn("_rest", _after(rest, F.length(token)))
-            continue
-        rows = rows.withColumn("_n", token.cast("int")).withColumn("_rest", _after(rest, F.length(token)))
-        if kind in ("STRING", "DNA"):
-            value, used = F.substring(rest, F.lit(1), F.col("_n")), F.col("_n")
-        elif kind == "STRING_LIST":
-            value, used = _string_list(rest, F.col("_n")), None
-        else:
-            items = F.slice(F.split(rest, " "), F.lit(1), F.col("_n"))
-            value = items.cast(FIELD_TYPES[kind])
-            used = F.length(F.array_join(items, " "))
-        rows = rows.withColumn(f"f{i}", value)
-        # A string list is the last field of its line in every known file type.
-        rows = rows.withColumn("_rest", _after(rest, used) if used is not None else F.lit(""))
     names = [f"f{i}" for i in range(len(schema.lines[letter].fields))]
-    return rows.select("line_no", "object_id", "group_id", *names)
+    typed = typed_lines(records.drop("group_line"), schema, _line=letter)
+    return typed.select("line_no", "object_id", "group_id", *[F.col("_line")[name].alias(name) for name in names])
 
 
 def format_line(letter: str, kinds: tuple[str, ...], columns: list[Column]) -> Column:
@@ -231,7 +302,7 @@ def list_size(records: DataFrame, schema: RecordSchema) -> DataFrame:
         n = F.element_at(F.split("value", " "), F.lit(at + 2)).cast("bigint")
         if line.fields[at] == "STRING_LIST":
             rest = F.regexp_replace("value", r"^(\S+ ){%d}" % (at + 2), "")
-            n = F.aggregate(_string_list(rest, n.cast("int")), F.lit(0).cast("bigint"), lambda a, s: a + F.length(s))
+            n = F.aggregate(_string_list(rest, n.cast("int"))["items"], F.lit(0).cast("bigint"), lambda a, s: a + F.length(s))
         size = F.when(F.col("line_type") == letter, n).otherwise(size)
     return records.withColumn("size", size.cast("bigint"))
 
@@ -266,11 +337,63 @@ def goto_group(records: DataFrame, i: int) -> DataFrame:
     return records.where(F.col("group_id") == i)
 
 
+def index_path(path: str) -> str:
+    """Where the index of a folder of part files lies; readers of the folder pass over it."""
+    return f"{path.rstrip('/')}/_index"
+
+
+def _stamps(spark: SparkSession, files: str | list[str]) -> DataFrame:
+    """Size and time of each file, without its content."""
+    found = spark.read.format("binaryFile").load(files)
+    return found.select(F.col("_metadata.file_path").alias("_file"), F.col("length").alias("_bytes"), F.col("modificationTime").alias("_time"))
+
+
+def write_index(spark: SparkSession, path: str, schema: RecordSchema | None = None, index: str | None = None) -> None:
+    """Index of a folder of record files: for each part file the lines, objects and groups before it and in it, and the
+    group line that holds at its start. One scan; one row per file."""
+    schema = schema or embedded_schema(spark, path)
+    counts, carried = _parser_state(schema)
+    splits = split_totals(_data_lines(read_lines(spark, path), schema), counts, carried)
+    last = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_block"))).alias(n) for n in carried]
+    files = splits.groupBy("_file").agg(*[F.sum(n).alias(n) for n in counts], *last)
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    at = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in counts] + [F.last(n, ignorenulls=True).over(before).alias(n) for n in carried]
+    ends = [F.sum(n).over(W.orderBy("_file")).alias(f"last_{n}") for n in counts]
+    table = files.select("_file", *at, *ends).join(_stamps(spark, path), "_file")
+    table.orderBy("_file").write.mode("overwrite").parquet(index or index_path(path))
+
+
+def read_indexed(
+    spark: SparkSession,
+    path: str,
+    object_id: int | None = None,
+    group_id: int | None = None,
+    schema: RecordSchema | None = None,
+    index: str | None = None,
+) -> DataFrame:
+    """Lines of one object or one group (from 1), as ``read_records`` gives them with the group line.
+
+    Only part files that hold lines of it are opened; their names come from the index, read with a
+    pushed filter. A part file changed since then is an error. An id that is not there gives no rows.
+    """
+    schema = schema or embedded_schema(spark, path)
+    name, i = ("object_id", object_id) if object_id is not None else ("group_id", group_id)
+    table = spark.read.parquet(index or index_path(path)).where((F.col(name) <= i) & (F.col(f"last_{name}") >= i))
+    rows = table.select("_file", "_bytes", "_time").collect()
+    if not rows:
+        return spark.createDataFrame([], "line_no long, line_type string, value string, object_id long, group_id long, group_line string")
+    files = [row._file for row in rows]
+    if sorted(_stamps(spark, files).collect()) != sorted(rows):
+        raise ValueError(f"{path} has changed since its index was written")
+    lines = _placed_records(read_lines(spark, files), schema, True, table)
+    return lines.where(F.col(name) == i)
+
+
 def _sized(text: str) -> str:
     return f"{len(text)} {text}"
 
 
-def header_lines(schema: RecordSchema, header: Header, counts: DataFrame | None = None, subtype: str = "") -> list[str]:
+def header_lines(schema: RecordSchema, header: Header, counts: list[Row] | None = None, subtype: str = "") -> list[str]:
     """Header text; ``counts`` has one row per line type."""
     out = [f"1 {_sized(schema.file_type)} {MAJOR} {MINOR}"]
     if subtype:
@@ -284,7 +407,7 @@ def header_lines(schema: RecordSchema, header: Header, counts: DataFrame | None
         out.append(f"{SCHEMA_LINE} {line.kind} {letter} {len(line.fields)}" + "".join(f" {_sized(f)}" for f in line.fields))
     out.append(SPACER)
     group = schema.letter(GROUP)
-    for row in counts.orderBy("line_type").collect() if counts is not None else []:
+    for row in sorted(counts or [], key=lambda row: row.line_type):
         out.append(f"# {row.line_type} {row.n}")
         for mark, value in (("@", row.longest), ("+", row.total)):
             out += [f"{mark} {row.line_type} {value}"] if value else []
@@ -294,17 +417,28 @@ def header_lines(schema: RecordSchema, header: Header, counts: DataFrame | None
 
 
 def write_records(
-    lines: DataFrame, order: list[str], schema: RecordSchema, path: str, header: Header = Header(), gzip: bool = False
+    lines: DataFrame,
+    order: list[str],
+    schema: RecordSchema,
+    path: str,
+    header: Header = Header(),
+    gzip: bool = False,
+    lines_per_file: int | None = None,
 ) -> None:
-    """Write data lines (``value``, ``order`` columns, ``group_id``) behind a full header."""
+    """Write data lines (``value``, ``order`` columns, ``group_id``) behind a full header.
+
+    ``lines_per_file`` bounds the part files (about), so that an index can lead to small ones.
+    """
     typed = lines.withColumn("line_type", F.substring("value", 1, 1))
-    head = header_lines(schema, header, line_counts(typed, schema))
     spark = lines.sparkSession
+    counts = line_counts(typed, schema).collect()
+    head = header_lines(schema, header, counts)
+    files = -(-sum(row.n for row in counts) // lines_per_file) if lines_per_file else 0
     body = lines.select(F.lit(1).alias("_body"), F.lit(0).alias("_head"), F.col("value"), *order)
     empty = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in order]
     rows = spark.range(1).select(F.posexplode(F.array(*[F.lit(line) for line in head])).alias("_head", "value"))
     top = rows.select(F.lit(0).alias("_body"), "_head", "value", *empty)
-    write_lines(top.unionByName(body), ["_body", "_head", *order], path, gzip)
+    write_lines(top.unionByName(body), ["_body", "_head", *order], path, gzip, files)
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
@@ -366,18 +500,13 @@ def write_sequence_records(reads: DataFrame, path: str, gzip: bool = False, head
 
 def read_sequence_records(spark: SparkSession, path: str) -> DataFrame:
     schema = embedded_schema(spark, path)
-    records = read_records(spark, path, schema)
-    # One shuffle on object_id regroups the lines of each read.
-    field = {letter: parse_lines(records, schema, letter).select("object_id", F.lit(letter).alias("t"), "f0") for letter in "SIQ" if letter in schema.lines}
-    lines = None
-    for frame in field.values():
-        lines = frame if lines is None else lines.unionByName(frame)
-    pick = {letter: F.max(F.when(F.col("t") == letter, F.col("f0"))) for letter in "SIQ"}
-    reads = lines.groupBy("object_id").agg(*[column.alias(letter) for letter, column in pick.items()])
+    names = {name: letter for name, letter in {"S": "S", "I": "I", "Q": "Q"}.items() if letter in schema.lines}
+    reads = objects(read_records(spark, path, schema), schema, **names)
+    text = {name: F.col(name)["f0"] if name in names else F.lit(None).cast("string") for name in "SIQ"}
     return reads.select(
         F.col("object_id").alias("read_id"),
-        F.coalesce("I", F.lit("")).alias("name"),
+        F.coalesce(text["I"], F.lit("")).alias("name"),
         F.lit("").alias("desc"),
-        F.col("S").alias("seq"),
-        quality_values(F.col("Q")).alias("qual"),
+        text["S"].alias("seq"),
+        quality_values(text["Q"]).alias("qual"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.sources.records import parse_lines, parse_schema, read_records
+from strandloom.sources.records import objects, parse_schema, read_records, typed_lines
 
 # Line types of site and sample files.
 SCHEMAS = parse_schema(
@@ -40,15 +40,14 @@ def read_sites(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
     """Sites with their contig and a ``status``: ok or the rule they break.
 
     ``contigs`` has ``name`` and ``len``. The contig line before a site sets its
-    contig, found by joining on the running group number.
+    contig; it is carried along by the reader.
     """
     schema = SCHEMAS["var"]
-    records = read_records(spark, path, schema)
-    groups = parse_lines(records, schema, "c").select("group_id", F.col("f1").alias("chrom"))
-    sites = parse_lines(records, schema, "I").select(
-        "object_id", "group_id", F.col("f0").alias("left_pos"), F.col("f1").alias("right_pos")
+    lines = typed_lines(read_records(spark, path, schema, group_line=True), schema, contig="c", site="I")
+    sites = lines.where(F.col("line_type") == "I").select(
+        "object_id", F.col("contig.f1").alias("chrom"), F.col("site.f0").alias("left_pos"), F.col("site.f1").alias("right_pos")
     )
-    named = sites.join(groups, "group_id", "left").join(
+    named = sites.join(
         contigs.select(F.col("name").alias("chrom"), "len"), "chrom", "left"
     )
     status = (
@@ -71,17 +70,11 @@ def valid_sites(sites: DataFrame) -> DataFrame:
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """Sample name, file name and coverage per object; a repeated name is an error."""
     schema = SCHEMAS["smp"]
-    records = read_records(spark, path, schema)
-    fields = [
-        parse_lines(records, schema, letter).select("object_id", F.lit(letter).alias("t"), F.col("f0").cast("string").alias("v"))
-        for letter in "NFC"
-    ]
-    lines = fields[0].unionByName(fields[1]).unionByName(fields[2])
-    pick = {letter: F.max(F.when(F.col("t") == letter, F.col("v"))) for letter in "NFC"}
-    rows = lines.groupBy("object_id").agg(*[column.alias(letter) for letter, column in pick.items()])
+    found = objects(read_records(spark, path, schema), schema, name="N", file="F", coverage="C")
+    rows = found.select("object_id", F.col("name.f0").alias("N"), F.col("file.f0").alias("F"), F.col("coverage.f0").alias("C"))
     seen = rows.groupBy("N").agg(F.count(F.lit(1)).alias("_n"))
     message = F.concat(F.lit("duplicate sample name "), F.col("N"))
     name = F.when(F.col("_n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("N"))
     return rows.join(seen, "N").select(
-        "object_id", name.alias("name"), F.col("F").alias("file_name"), F.col("C").cast("double").alias("coverage")
+        "object_id", name.alias("name"), F.col("F").alias("file_name"), F.col("C").alias("coverage")
     )

@@ -191,3 +191,99 @@ def test_fastq_text_is_not_shuffled(spark, tmp_path):
     path.write_text("@a\nACGT\n+\nIIII\n" * 50)
     found = sequence_files.read_fastq(spark, str(path))
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 50
+
+
+RECORD_HEAD = "1 3 abc 1 0\n~ G g 2 3 INT 6 STRING\n~ O A 2 3 INT 8 INT_LIST\n~ D W 2 11 STRING_LIST 3 INT\n~ D T 2 6 STRING 4 REAL\n.\n"
+
+
+def _grouped_records(n, seed):
+    """Lines and the expected rows (line_no, object_id, group_id, A, W, T, group) of each object."""
+    rng, lines, want, group, group_id = random.Random(seed), [], [], None, 0
+    for i in range(1, n + 1):
+        if rng.random() < 0.2:
+            group_id += 1
+            group = (i, f"group {i}")
+            lines.append(f"g {i} {len(group[1])} {group[1]}")
+        ints = [rng.randrange(-9, 99) for _ in range(rng.randrange(4))]
+        lines.append(f"A {i} {len(ints)}" + "".join(f" {x}" for x in ints) + rng.choice(["", " a comment"]))
+        row = [len(lines), i, group_id, (i, ints), None, None, group]
+        if rng.random() < 0.7:
+            words = [rng.choice(["", "x y", "long word"]) for _ in range(rng.randrange(3))]
+            lines.append(f"W {len(words)}" + "".join(f" {len(w)} {w}" for w in words) + f" {i}")
+            row[4] = (words, i)
+        if rng.random() < 0.7:
+            text = rng.choice(["", "some text ", "t"])
+            lines.append(f"T {len(text)} {text} {i / 4}")
+            row[5] = (text, i / 4)
+        want.append(tuple(row))
+    return lines, want
+
+
+@pytest.fixture
+def small_splits(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "600", "spark.sql.files.openCostInBytes": "64", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def _plain_struct(value):
+    return value if value is None else tuple(value)
+
+
+def test_objects_of_all_types_in_one_pass(spark, tmp_path, small_splits):
+    """Splits and Arrow batches border anywhere; objects before the first group have none."""
+    lines, want = _grouped_records(200, 5)
+    assert want[0][6] is None
+    (tmp_path / "r.rec").write_text(RECORD_HEAD + "\n".join(lines) + "\n")
+    schema = records.embedded_schema(spark, str(tmp_path / "r.rec"))
+    found = records.read_records(spark, str(tmp_path / "r.rec"), schema, group_line=True)
+    frame = records.objects(found, schema, a="A", w="W", t="T", g="g")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") + plan.count("MapInArrow") == 2
+    rows = [(r.line_no, r.object_id, r.group_id, *map(_plain_struct, (r.a, r.w, r.t, r.g))) for r in frame.orderBy("object_id").collect()]
+    assert rows == want
+    with pytest.raises(ValueError):
+        records.objects(records.read_records(spark, str(tmp_path / "r.rec"), schema), schema, g="g")
+
+
+def test_index_opens_only_the_files_of_an_object(spark, tmp_path, small_splits):
+    """Bytes read for one object or group do not depend on the size of the whole."""
+    read = {}
+    for n in (120, 600):
+        lines, want = _grouped_records(n, 8)
+        path = tmp_path / f"r{n}"
+        path.mkdir()
+        step = 23
+        for k in range(0, len(lines), step):
+            (path / f"p{k // step:04}.rec").write_text((RECORD_HEAD if k == 0 else "") + "\n".join(lines[k : k + step]) + "\n")
+        records.write_index(spark, str(path))
+        whole = records.read_records(spark, str(path), group_line=True).toPandas()
+        groups = [w[2] for w in want]
+        files = set()
+        for name, ids in (("object_id", (1, 9, n // 2, n + 1)), ("group_id", (1, 7, groups[-1]))):
+            for i in ids:
+                found = records.read_indexed(spark, str(path), **{name: i})
+                columns = ["line_no", "line_type", "value", "object_id", "group_id"]
+                expected = whole[whole[name] == i].sort_values("line_no")
+                assert [tuple(r) for r in found.select(columns).orderBy("line_no").collect()] == [tuple(r) for r in expected[columns].values]
+                assert {r.group_line for r in found.collect()} == set(expected["group_line"])
+                used = found.inputFiles() if len(expected) else []
+                assert len(used) <= 3
+                files.update([(name, i, len(used))] if i < 10 else [])
+        read[n] = files
+    assert read[120] == read[600]
+    (tmp_path / "r120" / "p0000.rec").write_text(RECORD_HEAD + "A 1 0\n")
+    with pytest.raises(ValueError, match="changed"):
+        records.read_indexed(spark, str(tmp_path / "r120"), object_id=1)
+
+
+def test_small_record_files(spark, tmp_path):
+    reads = spark.range(1, 500).select(F.col("id").alias("read_id"), F.lit(0).alias("group_id"), F.concat(F.lit("S 1 A"), F.lit("")).alias("value"))
+    records.write_records(reads, ["read_id"], records.SEQUENCE_SCHEMA, str(tmp_path / "s"), lines_per_file=20)
+    assert len(list((tmp_path / "s").glob("part-*"))) >= 20
+    records.write_index(spark, str(tmp_path / "s"))
+    found = records.read_indexed(spark, str(tmp_path / "s"), object_id=333)
+    assert len(found.inputFiles()) == 1 and [r.line_no for r in found.collect()] == [333]
