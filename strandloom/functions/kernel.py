@@ -272,3 +272,55 @@ def arrow_mapper(
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *emit])
 
     return run
+
+
+def orbit(successor: np.ndarray, start: int) -> np.ndarray:
+    """``start``, its successor, and so on, below ``len(successor)``; found by pointer doubling.
+
+    Every successor lies behind its row.
+    """
+    n = len(successor)
+    jump = np.append(successor, n)
+    seen = np.array([start] if start < n else [], np.int64)
+    while len(seen) and seen[-1] < n:
+        seen = np.concatenate((seen, jump[seen]))
+        jump = jump[jump]
+    return seen[seen < n]
+
+
+def spaced_rows(gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Function for ``mapInArrow`` over rows sorted by (read_id, x): those that lie at least ``gap`` behind
+    the last one kept of their read, the first from place 0 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, free_from = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            reads, x = batch.column("read_id"), batch.column("x").to_numpy().astype(np.int64)
+            changed = np.ones(n, bool)
+            changed[1:] = ~pc.equal(reads[1:], reads[:-1]).to_numpy(zero_copy_only=False)
+            starts, read = np.flatnonzero(changed), np.cumsum(changed) - 1
+            ends = np.append(starts[1:], n)
+            # One key for the whole batch, with room for a gap behind each read.
+            low = min(int(x.min()), 0)
+            step = int(x.max()) - low + gap + 1
+            key = x - low + read * step
+            first_free = np.zeros(len(starts), np.int64)
+            if reads[0].as_py() == current:
+                first_free[0] = min(free_from, int(x.max()) + 1)
+            entry = np.maximum(np.searchsorted(key, first_free - low + np.arange(len(starts)) * step), starts)
+            # Reads without a row to keep lead on to the next one.
+            entry = np.append(entry, n)
+            for i in np.flatnonzero(entry[:-1] >= ends)[::-1]:
+                entry[i] = entry[i + 1]
+            after = np.maximum(np.searchsorted(key, key + gap), np.arange(n) + 1)
+            kept = orbit(np.where(after < ends[read], after, entry[read + 1]), int(entry[0]))
+            if reads[n - 1].as_py() != current:
+                current, free_from = reads[n - 1].as_py(), 0
+            if len(kept) and read[kept[-1]] == len(starts) - 1:
+                free_from = int(x[kept[-1]]) + gap
+            yield batch.take(pa.array(kept))
+
+    return run

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from strandloom.functions import chain
 from strandloom.functions.sequences import bases, ratio
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
@@ -84,88 +86,35 @@ def paint(refs: DataFrame, table: DataFrame, params: SketchParams) -> DataFrame:
     return found.where(F.col("depth").isNotNull()).select("read_id", "pos", "depth")
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
-_BLOCK = "struct<i0:int,q0:int,start:struct<loc:bigint,ref_id:bigint,offset:int>,iN:int,qN:int,end:struct<loc:bigint,ref_id:bigint,offset:int>,n1:int,n2:int>"
-
-
-def _breaks(block: Column, place: Column) -> Column:
-    """Whether a seed at ``place`` cannot extend the block.
-
-    The drift test looks at the span the block already has, not at the new seed.
-    """
-    start, end = block["start"]["loc"], block["end"]["loc"]
-    span = F.abs(end - start)
-    drift = F.abs(span - (block["iN"] - block["i0"])) > MAX_GAP_DRIFT
-    backward = F.when(start < end, place["loc"] < end).when(start > end, place["loc"] > end).otherwise(False)
-    return (place["ref_id"] != block["start"]["ref_id"]) | backward | ((start != end) & drift)
-
-
 def chain_blocks(seeds: DataFrame, strict: bool = False) -> DataFrame:
     """Fold each query's seeds, in position order, into collinear reference blocks.
 
     Reference place 0 also means "no block yet". A two-copy seed that would end a
     block is tried at its second place. The last block is reported by its
     single-copy seeds like the others; ``strict`` uses its two-copy seeds instead.
-    The seeds of one query are bounded by the query's own row.
+    Seeds are sorted by query and streamed past one open block, so a query with very
+    many seeds needs no more memory than any other.
     """
+    place = {f"{which}_{c}": F.col(which)[c] for which in ("first", "second") for c in chain.PLACE}
     usable = seeds.where(F.col("copy") < 3).select(
-        "read_id", F.struct("ord", "pos", (F.col("copy") == 1).alias("single"), "first", "second").alias("seed")
-    )
-    per_query = usable.groupBy("read_id").agg(F.array_sort(F.collect_list("seed")).alias("seeds"))
-    nothing = F.lit(None).cast(_BLOCK)
-    start = F.struct(nothing.alias("block"), F.array().cast(f"array<{_BLOCK}>").alias("done"))
-
-    def step(state: Column, seed: Column) -> Column:
-        block = state["block"]
-        fresh = block.isNull() | (block["start"]["loc"] == 0)
-        choice = (
-            F.when(fresh, F.struct(seed["first"].alias("at"), F.lit(True).alias("ends")))
-            .when(~_breaks(block, seed["first"]), F.struct(seed["first"].alias("at"), F.lit(False).alias("ends")))
-            .when(seed["single"], F.struct(seed["first"].alias("at"), F.lit(True).alias("ends")))
-            .otherwise(F.struct(seed["second"].alias("at"), _breaks(block, seed["second"]).alias("ends")))
-        )
-
-        def advance(chosen: Column) -> Column:
-            ends, single = chosen["ends"], seed["single"].cast("int")
-            extended = F.struct(
-                F.when(ends, seed["ord"]).otherwise(block["i0"]).alias("i0"),
-                F.when(ends, seed["pos"]).otherwise(block["q0"]).alias("q0"),
-                F.when(ends, chosen["at"]).otherwise(block["start"]).alias("start"),
-                seed["ord"].alias("iN"),
-                seed["pos"].alias("qN"),
-                chosen["at"].alias("end"),
-                (F.when(ends, 0).otherwise(block["n1"]) + single).alias("n1"),
-                (F.when(ends, 0).otherwise(block["n2"]) + 1 - single).alias("n2"),
-            )
-            finished = F.coalesce(ends & (block["n1"] > MIN_BLOCK_SEEDS), F.lit(False))
-            done = F.when(finished, F.array_append(state["done"], block)).otherwise(state["done"])
-            return F.struct(extended.cast(_BLOCK).alias("block"), done.alias("done"))
-
-        return _let(choice, advance)
-
-    folded = per_query.select(
-        "read_id",
-        F.size(F.filter("seeds", lambda s: s["single"])).alias("n_single"),
-        F.aggregate("seeds", start, step).alias("state"),
+        "read_id", "ord", "pos", (F.col("copy") == 1).alias("single"), *[c.alias(name) for name, c in place.items()]
     )
-    last = F.col("state.block")
-    report = last["n2" if strict else "n1"] > MIN_BLOCK_SEEDS
-    blocks = F.when(report, F.array_append("state.done", last)).otherwise(F.col("state.done"))
-    rows = folded.select("read_id", "n_single", F.explode(blocks).alias("b"))
+    ordered = usable.repartition("read_id").sortWithinPartitions("read_id", "ord", "pos")
+    id_field = ordered.schema["read_id"]
+    folding = chain.blocks(MIN_BLOCK_SEEDS, MAX_GAP_DRIFT, strict)
+    folded = ordered.mapInArrow(folding, f"read_id {id_field.dataType.simpleString()}, {chain.SCHEMA}")
+    n_single = F.max("n_single").over(W.partitionBy("read_id"))
+    rows = folded.withColumn("n_single", n_single).where(F.col("q0").isNotNull())
     return rows.select(
         "read_id",
-        F.col("b.q0").alias("query_start"),
-        F.col("b.qN").alias("query_end"),
-        (F.col("b.qN") - F.col("b.q0")).alias("span"),
-        F.col("b.start.ref_id").alias("ref_id"),
-        F.col("b.start.offset").alias("ref_start"),
-        F.col("b.end.offset").alias("ref_end"),
-        F.col("b.n1").alias("n1"),
-        F.col("b.n2").alias("n2"),
-        ratio(F.col("b.n1") + F.col("b.n2"), F.abs(F.col("b.end.loc") - F.col("b.start.loc"))).alias("density"),
-        ratio(F.col("b.n1"), F.col("n_single")).alias("single_fraction"),
+        F.col("q0").alias("query_start"),
+        F.col("qN").alias("query_end"),
+        (F.col("qN") - F.col("q0")).alias("span"),
+        F.col("start_ref").alias("ref_id"),
+        F.col("start_offset").alias("ref_start"),
+        F.col("end_offset").alias("ref_end"),
+        "n1",
+        "n2",
+        ratio(F.col("n1") + F.col("n2"), F.abs(F.col("end_loc") - F.col("start_loc"))).alias("density"),
+        ratio(F.col("n1"), F.col("n_single")).alias("single_fraction"),
     )

@@ -6,13 +6,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strandloom.functions import kernel
 from strandloom.functions.sequences import bases
 from strandloom.operators.sketch import sampled_kmers
 from strandloom.params import SketchParams
@@ -99,23 +97,11 @@ def thin_hits(hits: DataFrame, gap: int) -> DataFrame:
     """Greedily keep hits at least ``gap`` after the last kept one of their read.
 
     Partitions are sorted by read and position and streamed with two values of
-    state, so memory does not depend on the length of a read.
+    state, so memory does not depend on the length of a read; the chain of kept
+    rows of a batch is found by pointer doubling.
     """
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, free_from = None, 0
-        for batch in batches:
-            kept = []
-            for read, x in zip(batch["read_id"].tolist(), batch["x"].tolist()):
-                if read != current:
-                    current, free_from = read, 0
-                kept.append(x >= free_from)
-                if kept[-1]:
-                    free_from = x + gap
-            yield batch[kept]
-
     ordered = hits.repartition("read_id").sortWithinPartitions("read_id", "x")
-    return ordered.mapInPandas(keep, hits.schema)
+    return ordered.mapInArrow(kernel.spaced_rows(gap), hits.schema)
 
 
 def neighbours(hits: DataFrame) -> DataFrame:

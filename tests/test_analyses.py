@@ -1,10 +1,14 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom import session
+from strandloom.functions import chain, kernel
 from strandloom.functions import kmers as K
 from strandloom.functions.sequences import reverse_complement
 from strandloom.functions.walk import Track, greedy_walk
@@ -58,6 +62,80 @@ def test_chaining_against_plain_fold(spark, strict):
     assert len(got) > 40
 
 
+def _seed_batches(rows, size):
+    """Seeds (query, ord, pos, places) of the stream that ``chain.blocks`` reads; a place is its loc, with ref loc // 100000."""
+    columns = {"read_id": [r[0] for r in rows], "ord": [r[1] for r in rows], "pos": [r[2] for r in rows], "single": [len(r[3]) == 1 for r in rows]}
+    for which, k in (("first", 0), ("second", 1)):
+        at = [r[3][k] if len(r[3]) > k else None for r in rows]
+        columns |= {f"{which}_ref_id": [None if x is None else x // 100_000 for x in at], f"{which}_offset": at, f"{which}_loc": at}
+    return pa.table(columns).to_batches(max_chunksize=size)
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 100_000])
+def test_chain_stream_against_plain_fold(size):
+    """Long steady runs, turns, jumps and two-copy seeds, with batch borders anywhere."""
+    rng, rows, queries = random.Random(11), [], {}
+    for q in range(12):
+        loc, way, found = rng.randrange(300_000), 1, []
+        for order in range(rng.choice([1, 2, 40, 400])):
+            if rng.random() < 0.02:
+                loc, way = rng.randrange(300_000), rng.choice([1, -1])
+            loc = max(loc + way * rng.choice([1, 1, 1, 2]), 0)
+            found.append((order, order * 7, [loc] if rng.random() < 0.8 else sorted({loc, rng.randrange(300_000)})))
+        queries[q] = found
+        rows += [(q, *r) for r in found]
+    ref_of = {x: x // 100_000 for x in range(-5, 301_000)}
+    for strict in (False, True):
+        got, singles = [], {}
+        for batch in chain.blocks(2, 50, strict)(_seed_batches(rows, size)):
+            for r in batch.to_pylist():
+                if r["q0"] is None:
+                    singles[r["read_id"]] = r["n_single"]
+                else:
+                    got.append((r["read_id"], r["q0"], r["qN"], r["start_loc"], r["end_loc"], r["n1"], r["n2"]))
+        want = [(q, *block) for q, found in queries.items() for block in plain.chain(found, ref_of, strict)]
+        assert Counter(got) == Counter(want) and len(got) > 5
+        assert singles == {q: sum(len(r[2]) == 1 for r in queries[q]) for q in {w[0] for w in want}}
+
+
+def test_chain_of_a_million_seeds_in_bounded_memory():
+    """One query, read batch by batch: what stays between batches does not grow."""
+
+    def batches():
+        for start in range(0, 1_000_000, 10_000):
+            at = np.arange(start, start + 10_000, dtype=np.int64) + 1
+            none = pa.nulls(len(at), pa.int64())
+            zero = np.zeros(len(at), np.int64)
+            columns = {"read_id": zero, "ord": at, "pos": at, "single": np.ones(len(at), bool), "first_ref_id": zero, "first_offset": at, "first_loc": at}
+            yield pa.RecordBatch.from_pydict({**{k: pa.array(v) for k, v in columns.items()}, **{f"second_{c}": none for c in chain.PLACE}})
+
+    tracemalloc.start()
+    rows = [r for batch in chain.blocks(2, 50, False)(batches()) for r in batch.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["q0"], r["qN"], r["n1"], r["n_single"]) for r in rows] == [(1, 1_000_000, 1_000_000, None), (None, None, None, 1_000_000)]
+    assert peak < 20e6
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 10_000])
+@pytest.mark.parametrize("gap", [0, 1, 9, 1000])
+def test_spaced_rows_against_plain_loop(size, gap):
+    """Ties, places before 0 and reads across batch borders."""
+    rng, rows, want = random.Random(gap), [], []
+    for read in range(30):
+        rows += [(read, x) for x in sorted(rng.randrange(-5, 200) for _ in range(rng.choice([1, 2, 30])))]
+    current, free_from = None, 0
+    for read, x in rows:
+        if read != current:
+            current, free_from = read, 0
+        if x >= free_from:
+            want.append((read, x))
+            free_from = x + gap
+    table = pa.table({"read_id": [r[0] for r in rows], "x": pa.array([r[1] for r in rows], pa.int32())})
+    got = [(r["read_id"], r["x"]) for batch in kernel.spaced_rows(gap)(table.to_batches(max_chunksize=size)) for r in batch.to_pylist()]
+    assert got == want
+
+
 def test_mapping_places_reads(spark):
     genome = _genome(2000, 9)
     refs = spark.createDataFrame([(5, _genome(500, 1)), (6, genome)], "read_id long, seq string")
