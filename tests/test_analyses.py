@@ -231,6 +231,26 @@ def test_clusters_with_hub_and_path(spark):
     assert got == plain.components([e for e in edges if e[0] != e[1]])
 
 
+def test_least_reachable_follows_pairs_one_way(spark):
+    rng = random.Random(16)
+    edges = [(i + 1, i) for i in range(500, 530)] + [(i, i + 1) for i in range(600, 630)] + [(40, 3), (7, 7)]
+    edges += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(130)]
+    edges += [(b, a) for a, b in edges if a % 3 == 0]
+    rng.shuffle(edges)
+    follow = {}
+    for a, b in edges:
+        if a != b:
+            follow.setdefault(a, set()).add(b)
+    expected = {}
+    for a in follow:
+        seen, front = {a}, [a]
+        while front:
+            front = [c for b in front for c in follow.get(b, ()) if c not in seen and not seen.add(c)]
+        expected[a] = min(seen)
+    rows = overlaps.least_reachable(spark.createDataFrame(edges, "x long, y long")).collect()
+    assert len(rows) == len(expected) and {r.read_id: r.cluster for r in rows} == expected
+
+
 def test_thinning(spark):
     rng = random.Random(7)
     hits = sorted({(rng.randrange(9), rng.randrange(400)) for _ in range(900)})
