@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,21 @@ def test_sampling_across_chunks_and_slices(monkeypatch):
     assert run() == whole and len(whole) > 300
 
 
+@pytest.mark.parametrize("reads", [8000, 1])
+def test_sampling_and_byte_counts_in_bounded_memory(reads):
+    """Arrays stay small beside a batch of 24 MB of text, of many reads or of one, and do not grow with it."""
+    unit = "".join(random.Random(8).choices("ACGT the quick brown fox", k=3000))
+    batch = pa.record_batch({"read_id": list(range(reads)), "seq": [unit * (8000 // reads)] * reads})
+    p = SketchParams(19, 31)
+    mapper = kernel.arrow_mapper(kernel.sample_hits, "seq", ["read_id"], ["kmer", "pos"], (p.k, p.w, p.factor))
+    for run in (mapper, kernel.byte_counter("seq")):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows > 10 and peak < (12e6 if reads > 1 else 80e6)
+
+
 def test_reverse_complement_keeps_the_sample(spark):
     rng = random.Random(3)
     p = SketchParams(13, 5)
