@@ -251,6 +251,48 @@ def test_least_reachable_follows_pairs_one_way(spark):
     assert len(rows) == len(expected) and {r.read_id: r.cluster for r in rows} == expected
 
 
+@pytest.mark.parametrize("cell_hits, at_once, tile", [(1 << 20, 1 << 18, 4096), (7, 40, 50)])
+def test_linkage_pairs_stay_in_their_cells(spark, monkeypatch, cell_hits, at_once, tile):
+    """Pairs and verdicts against plain loops, in few and in many cells and portions; no pair is shuffled."""
+    monkeypatch.setattr(linkage, "CELL_HITS", cell_hits)
+    monkeypatch.setattr(linkage, "TILE", tile)
+    monkeypatch.setattr(linkage.pairing, "PAIRS_AT_ONCE", at_once)
+    rng, rows = random.Random(21), []
+    depth = {k: rng.choice([2, 3, 4, 9, 19, 20, 40]) for k in range(60)}
+    for read in range(40):
+        length = rng.choice([60, 200, 400])
+        for pos in sorted(rng.sample(range(length - 15), rng.randrange(1, 30))):
+            k = rng.randrange(60)
+            rows.append((read, length, k, rng.random() < 0.5, pos, depth[k], 0 if k % 13 == 0 else 33))
+    seeds = spark.createDataFrame(rows, "read_id long, len long, kmer long, is_fwd boolean, pos int, depth int, info int")
+    loaded = readset.Readset(None, seeds, None, P)
+    hits, first, pairs = [r for r in rows if r[6]], {}, []
+    for read, length, k, fwd, pos, d, _ in sorted(hits, key=lambda r: (r[0], r[4])):
+        if 3 <= d < 20:
+            first.setdefault((k, read), (pos, fwd, length))
+    for (k, read), (pos, fwd, _) in first.items():
+        pairs += [(k, depth[k], r[2], r[5], read, (r[4] - pos) * (1 if fwd else -1)) for r in hits if r[0] == read and r[4] != pos]
+    got = linkage.anchor_pairs(loaded, 3, 20)
+    assert sorted(tuple(r)[:6] for r in got.collect()) == sorted(pairs) and len(pairs) > 2000
+    groups = {}
+    for k, _, mod, _, _, dx in pairs:
+        groups.setdefault((k, mod), []).append(dx)
+    assert got.where("is_first").count() == len(groups)
+    want = {}
+    for (k, mod), dxs in groups.items():
+        n, low, high = len(dxs), min(dxs), max(dxs)
+        down, split = low > 0, low <= 0 < high
+        dist = low if down else -low if split else -high
+        reaches = [at[2] - at[0] - P.w if at[1] == down else at[0] for (a, _), at in first.items() if a == k]
+        reaching = sum(r >= dist for r in reaches)
+        d = depth[mod]
+        want[k, mod] = (down, split, n, dist, reaching, n < d and 2 * n < reaching, n == d or n >= 0.8 * reaching, n == 1 and reaching >= 10)
+    verdicts = linkage.test_pairs(loaded, 3, 20)
+    assert {(r.anchor, r.mod): tuple(r)[4:] for r in verdicts.collect()} == want
+    plan = verdicts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Window" not in plan
+
+
 def test_thinning(spark):
     rng = random.Random(7)
     hits = sorted({(rng.randrange(9), rng.randrange(400)) for _ in range(900)})
