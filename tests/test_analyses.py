@@ -440,3 +440,22 @@ def test_reference_marks_and_resets(spark):
     assert reset == core
     summary = {(r.in_ref, r["class"]): r.n_kmers for r in linkage.mark_summary(marks).collect()}
     assert summary[True, "core"] == len(core)
+
+
+def test_hits_are_stored_and_shuffled_once(spark):
+    """New bits in the table do not store the hits again, and only hits of the k-mers asked for are looked up."""
+    from pathlib import Path
+
+    from strandloom.plans import linkage_queries
+    from strandloom.session import shared_folder
+
+    folder = Path(shared_folder(spark, "").removeprefix("file:"))
+    before = set(folder.glob("hits-*"))
+    flagged = linkage_queries._flagged(spark, "/root/testdata/sf0.001")
+    assert len(set(folder.glob("hits-*")) - before) == 1
+    repeats = flagged.table.where("info & 8 <> 0")
+    some = readset.with_info(flagged, repeats, sparse=True)
+    every = readset.with_info(flagged, flagged.table).hits.where("info & 8 <> 0")
+    names = ["read_id", "kmer", "pos", "depth", "info"]
+    want = sorted(map(tuple, every.select(names).collect()))
+    assert sorted(map(tuple, some.hits.select(names).collect())) == want and 0 < len(want) < flagged.seeds.count()
