@@ -51,8 +51,24 @@ def _mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the words' bytes, 8 of which are mixed in at a time for all words."""
+    if len(words) == 0:
+        return np.zeros(0, np.uint64)
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    held = words.buffers()[2]
+    data = np.concatenate([np.frombuffer(held, np.uint8)[: offsets[-1]] if held is not None else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the 8 bytes from each place on
+    size = np.diff(offsets)
+    value = _mixed(np.zeros(len(words), np.uint64), size.astype(np.uint64))
+    left, done = np.flatnonzero(size), 0
+    while len(left):
+        rest = np.minimum(size[left] - done, 8).astype(np.uint64)
+        value[left] = _mixed(value[left], eight[offsets[left] + done] << (np.uint64(64) - np.uint64(8) * rest))
+        done += 8
+        left = left[size[left] > done]
+    return _mixed(value, value >> np.uint64(32))
 
 
 class Signer:
@@ -67,7 +83,7 @@ class Signer:
         words, index = coded.dictionary, coded.indices.to_numpy()
         filled = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
         common = pc.is_in(words, self.anchors).to_numpy(zero_copy_only=False)
-        hashes = _word_hashes(words.to_pylist())
+        hashes = _word_hashes(words)
         text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
         real = filled[index] if len(index) else np.zeros(0, bool)
         text, index = text[real], index[real]
@@ -371,26 +387,50 @@ def _wanted_batches(signer: Signer):
     return run
 
 
-def _likeness_batches(threshold: float):
-    """Likeness of the pairs of each cell, from the cell's sets, which come first (rows: x, y, a, b, signatures)."""
+LINKS = "print bigint, n_near bigint, likeness double, other bigint"
+
+
+def _likeness_batches(threshold: float, counted: bool):
+    """Likeness of the pairs of each cell, from the cell's sets, which come first (rows: x, y, a, b, signatures, class_id).
+
+    With ``counted`` no pair leaves the task: each set is told how many near ones it has in the cell, and the nearest.
+    """
+
+    def told(links: dict[int, tuple[int, tuple]]) -> pa.RecordBatch:
+        rows = [(p, n, -best[0], None if best[1] else best[2]) for p, (n, best) in links.items()]
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["print", "n_near", "likeness", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets = None, {}
+        cell, sets, names, links = None, {}, {}, {}
         for batch in batches:
-            x, y, a, b = (batch.column(k).to_pylist() for k in range(4))
+            x, y, a, b, _, named = (batch.column(k).to_pylist() if k != 4 else None for k in range(6))
             out = []
             for k in range(len(batch)):
                 if (x[k], y[k]) != cell:
-                    cell, sets = (x[k], y[k]), {}
+                    if links:
+                        yield told(links)
+                    cell, sets, names, links = (x[k], y[k]), {}, {}, {}
                 if b[k] is None:
-                    sets[a[k]] = np.array(batch.column(4)[k].as_py(), np.int64)
+                    sets[a[k]], names[a[k]] = batch.column(4)[k].values.to_numpy(zero_copy_only=False), named[k]
                     continue
                 both = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
                 likeness_ = both / (len(sets[a[k]]) + len(sets[b[k]]) - both)
-                if likeness_ >= threshold - 1e-9:
+                if likeness_ < threshold - 1e-9:
+                    continue
+                if counted:
+                    for own, other in ((a[k], b[k]), (b[k], a[k])):
+                        # Of the nearest ones the smallest class, those without a name last.
+                        at, (n, best) = (-likeness_, names[other] is None, names[other] or 0), links.get(own, (0, None))
+                        links[own] = n + 1, at if best is None else min(best, at)
+                else:
                     out.append((a[k], b[k], likeness_))
+            if counted:
+                continue
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+        if links:
+            yield told(links)
 
     return run
 
@@ -426,11 +466,12 @@ def _candidates(spots: DataFrame, classes: DataFrame, threshold: float) -> DataF
     return scratch(pairs.unionByName(split.select("a", "b")).distinct(), "candidates")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | None = None, listed: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Classes of equal fingerprints, all pairs of them at least ``threshold`` alike, and what documents are told.
 
     Returns (print, class_id, n_docs), (a, b, likeness) by prints, and (doc_id, told) for ``fingerprints``. A class is
-    named by its smallest doc_id (null if it has none). Documents without a word are one class and in no
+    named by its smallest doc_id (null if it has none). Unless ``listed``, links are counted where they are found and the second
+    result is None. Documents without a word are one class and in no
     pair. The order of signatures comes from frequencies of ``BUCKETS`` hash buckets over all documents.
     """
     signer = signer or Signer()
@@ -446,20 +487,25 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer |
     wanted = scratch(classes.join(involved, F.col("print") == F.col("_print")).select("print", F.col("class_id").alias("doc_id")), "compared")
     texts = maybe_member(narrow, wanted, ["doc_id"]).where("_maybe").select("doc_id", "text")
     sets = texts.mapInArrow(_wanted_batches(signer), "print bigint, signatures array<bigint>")
-    sets = scratch(sets.join(wanted.select("print"), "print", "left_semi").dropDuplicates(["print"]), "compared-sets")
+    named = wanted.select("print", F.col("doc_id").alias("class_id"))
+    sets = scratch(sets.join(named, "print").dropDuplicates(["print"]), "compared-sets")
     blocks = max(1, -(-wanted.count() // BLOCK))
     x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int") for c in "ab")
     celled = pairs.select(x.alias("x"), y.alias("y"), "a", "b")
     needed = celled.select("x", "y", F.explode(F.array("a", "b")).alias("_print")).distinct().join(sets, F.col("_print") == F.col("print"))
-    rows = needed.select("x", "y", F.col("print").alias("a"), F.lit(None).cast("bigint").alias("b"), "signatures")
-    rows = rows.unionByName(celled.withColumn("signatures", F.lit(None).cast("array<bigint>")))
+    rows = needed.select("x", "y", F.col("print").alias("a"), F.lit(None).cast("bigint").alias("b"), "signatures", "class_id")
+    nothing = {"signatures": F.lit(None).cast("array<bigint>"), "class_id": F.lit(None).cast("bigint")}
+    rows = rows.unionByName(celled.withColumns(nothing))
     ordered = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
-    alike = scratch(ordered.mapInArrow(_likeness_batches(threshold), "a bigint, b bigint, likeness double"), "alike")
-
-    both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
-    named = both.join(classes.select(F.col("print").alias("_b"), F.col("class_id").alias("other")), F.col("b") == F.col("_b"))
     nearest = F.min(F.struct((-F.col("likeness")).alias("l"), F.col("other").isNull(), F.col("other").alias("other"))).alias("best")
-    near = named.groupBy(F.col("a").alias("_print")).agg(F.count(F.lit(1)).alias("n_near"), nearest)
+    if listed:
+        alike = scratch(ordered.mapInArrow(_likeness_batches(threshold, False), "a bigint, b bigint, likeness double"), "alike")
+        both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
+        links = both.join(classes.select(F.col("print").alias("_b"), F.col("class_id").alias("other")), F.col("b") == F.col("_b"))
+        links = links.select(F.col("a").alias("print"), F.lit(1).cast("bigint").alias("n_near"), "likeness", "other")
+    else:
+        alike, links = None, ordered.mapInArrow(_likeness_batches(threshold, True), LINKS)
+    near = links.groupBy(F.col("print").alias("_print")).agg(F.sum("n_near").alias("n_near"), nearest)
     of_class = classes.join(near, F.col("print") == F.col("_print"), "left").where("n_docs > 1 or n_near > 0")
     told = F.struct("print", "class_id", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.col("best.other").alias("nearest_class"), (-F.col("best.l")).alias("nearest"))
     shared = scratch(of_class.select(F.col("print").alias("_print"), told.alias("told")), "shared-classes")
@@ -480,4 +526,4 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | N
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints, and every document's class and near classes from the search over all documents."""
     docs = documents(spark, sf_dir)
-    return fingerprints(docs, told=near_classes(docs)[2])
+    return fingerprints(docs, told=near_classes(docs, listed=False)[2])

@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -389,3 +390,37 @@ def test_equally_likely_domains_go_to_the_first_name(spark):
     mixture = mixing.Mixture({}, {}, ["0/0", "1/0"], {}, [0.0, 0.0])
     rows = mixture.classified(spark.range(1).withColumn("_tokens", F.lit(1)), ["_tokens"])
     assert rows.select(mixture.best_name()).first()[0] == "0/0"
+
+
+def test_word_hashes_tell_words_apart():
+    """A word's hash depends on its own bytes only, however long it and its neighbours are."""
+    words = ["", "a", "aa", "a\0", "stone", "stones", "eightlet", "eightlett", "é", "x" * 1000, "x" * 1001] + [f"w{i}" for i in range(50_000)]
+    column = pa.array(words, pa.string())
+    hashes = spotsigs._word_hashes(column)
+    assert len(set(hashes.tolist())) == len(words)
+    assert len(set((hashes >> np.uint64(40)).tolist())) > 49_000  # 24 of the bits: some 75 of 50,000 meet by chance
+    assert [spotsigs._word_hashes(pa.array([w]))[0] for w in words[:60]] == hashes[:60].tolist()
+    assert spotsigs._word_hashes(column.slice(3, 9)).tolist() == hashes[3:12].tolist()
+    assert len(spotsigs._word_hashes(column[:0])) == 0
+
+
+def test_links_are_counted_where_they_are_found(spark):
+    """The query's way gives what listing all pairs gives, without a row for each of the links of a group."""
+    rng = random.Random(5)
+    base = [w for _ in range(80) for w in ("the", *(f"w{rng.randrange(90)}" for _ in range(3)))]
+    docs = []
+    for v in range(60):
+        text = list(base)
+        for at in rng.sample(range(len(text)), v // 8):
+            text[at] = f"w{rng.randrange(90)}"
+        docs.append((v if v % 9 else None, " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    _, pairs, listed = spotsigs.near_classes(frame)
+    _, none, counted = spotsigs.near_classes(frame, listed=False)
+    assert none is None and pairs.count() > 500
+    assert sorted(map(str, counted.collect())) == sorted(map(str, listed.collect()))
+    held = spotsigs._likeness_batches(0.8, True)
+    sets = pa.array([list(range(20)), list(range(21)), list(range(22)), None, None, None], pa.list_(pa.int64()))
+    columns = [pa.array([0] * 6), pa.array([0] * 6), pa.array([1, 2, 3, 1, 1, 2]), pa.array([None, None, None, 2, 3, 3], pa.int64()), sets, pa.array([7, None, 9, None, None, None], pa.int64())]
+    rows = [r for b in held(iter([pa.RecordBatch.from_arrays(columns, names=["x", "y", "a", "b", "signatures", "class_id"])])) for r in b.to_pylist()]
+    assert [(r["print"], r["n_near"], r["other"]) for r in rows] == [(1, 2, None), (2, 2, 9), (3, 2, None)]
