@@ -9,9 +9,10 @@ two sets; two empty sets are alike.
 
 ``near_classes`` finds all classes of equal fingerprints that are alike: sets are partitioned by length so
 that alike sets lie in the same or the next partition, and meet there on one of their rarest signatures. Pairs that
-length, the place of the shared signature or a 64-bit digest of both sets rule out are pruned; the
-others are compared by their whole sets, block by block. A signature that very many sets head
-is split into a grid of blocks. The query tells every document its class and how many classes are near.
+length, the place of the shared signature or a 64-bit digest of both sets rule out are pruned. What is left of the pairs
+never becomes rows: a signature's group leaves as links that span it, and the sets of a connected component meet
+whole in one cell, or in a grid of cells by blocks, where all pairs are judged and counted. A signature that very many sets head
+is split into a grid of blocks as well. The query tells every document its class and how many classes are near.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import documents, maybe_member, scratch, text_of
+from strandloom.llm.common import components, documents, maybe_member, scratch, text_of
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -40,8 +41,9 @@ THRESHOLD = 0.8
 AT_ONCE = 2_000_000
 # Signatures are ranked by the frequency of so many hash buckets; sets of one length partition differ by at most this factor.
 BUCKETS, WIDTH = 1 << 16, THRESHOLD**-3
-# Rows under one signature that are compared in one go, and sets per block when whole sets are compared.
-GROUP, BLOCK = 4096, 512
+# Rows under one signature that are compared in one go, and sets per block when whole sets are compared: fewer, down to
+# ``SPREAD``, where that gives every task a cell. A block has at most ``HELD`` signatures, and ``SHARED`` of two blocks' are matched at once.
+GROUP, BLOCK, SPREAD, HELD, SHARED = 4096, 2048, 96, 1 << 21, 1 << 21
 FIRST = -(1 << 63)  # null ids come first
 
 
@@ -286,7 +288,12 @@ def _least_overlap(a, b, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-SPOTS = "doc_id bigint, print bigint, n int, bits bigint, heads array<bigint>"
+def _narrow(s: np.ndarray) -> np.ndarray:
+    """Signatures as they are stored and shuffled: the same 32 bits, signed."""
+    return s.astype(np.uint32).view(np.int32)
+
+
+SPOTS = "doc_id bigint, print bigint, n int, bits bigint, heads array<int>"
 
 
 def _head_batches(signer: Signer, frequency: np.ndarray, threshold: float):
@@ -300,56 +307,74 @@ def _head_batches(signer: Signer, frequency: np.ndarray, threshold: float):
                 for s in sets:
                     n = len(s)
                     order = np.lexsort((s, frequency[s & (BUCKETS - 1)]))
-                    heads.append(s[order[: n - math.ceil(threshold * n - 1e-9) + 1]] if n else s)
+                    heads.append(_narrow(s[order[: n - math.ceil(threshold * n - 1e-9) + 1]] if n else s))
                     odd = np.flatnonzero(np.bincount((s >> 16) & 63, minlength=64) & 1)
                     sizes.append(n)
                     bits.append(int(np.bitwise_or.reduce(np.int64(1) << odd, initial=np.int64(0))))
-                columns = [part.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
+                columns = [part.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64()), pa.array(heads, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "bits", "heads"])
 
     return run
 
 
-MET = "hot boolean, a bigint, b bigint, key bigint, long boolean, place int, n int, bits bigint, print bigint"
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, least member) that span the components of the pairs; one less than members in each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    linked = label != np.arange(len(nodes))
+    return nodes[linked], nodes[label[linked]]
+
+
+# A row's role under a signature: it may be the shorter set of a pair, the longer one, or either.
+SHORT, LONG, EITHER = 0, 1, 2
+MET = "hot boolean, a bigint, b bigint, key bigint, role int, place int, n int, bits bigint, print bigint"
 
 
 def _meet_batches(keys: int, threshold: float, split: bool):
-    """Candidate pairs of every group of rows that share the first ``keys`` columns; rows come sorted by them.
+    """Links that span the candidate pairs of every group of rows that share the first ``keys`` columns; rows come sorted by them.
 
-    Rows behind: long, place, n, bits, print. With ``split``, groups of over ``GROUP`` rows leave as they are, marked hot.
+    Rows behind: role, place, n, bits, print. With ``split``, groups of over ``GROUP`` rows leave as they are, marked hot.
     """
 
     def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.unique(rows, axis=0)
-        short, long = rows[rows[:, 0] == 0], rows[rows[:, 0] == 1]
-        found = [np.zeros((2, 0), np.int64)]
-        for at in range(0, len(short), 1024):
-            x, y = short[at : at + 1024, None, :], long[None, :, :]
+        short, long = rows[rows[:, 0] != LONG], rows[rows[:, 0] != SHORT]
+        a = b = np.zeros(0, np.int64)
+        for at in range(0, len(short), 256):
+            x, y = short[at : at + 256, None, :], long[None, :, :]
             least = _least_overlap(x[..., 2], y[..., 2], threshold)
             good = (x[..., 2] < y[..., 2]) | ((x[..., 2] == y[..., 2]) & (x[..., 4] < y[..., 4]))
             good &= x[..., 2] >= threshold * y[..., 2] - 1e-9
             good &= np.minimum(x[..., 2] - x[..., 1], y[..., 2] - y[..., 1]) >= least
             good &= np.bitwise_count((x[..., 3] ^ y[..., 3]).view(np.uint64)) <= x[..., 2] + y[..., 2] - 2 * least
             i, j = np.nonzero(good)
-            found.append(np.stack([short[at + i, 4], long[j, 4]]))
-        a, b = np.concatenate(found, axis=1)
-        return np.minimum(a, b), np.maximum(a, b)
+            a, b = _spanning(np.concatenate([a, short[at + i, 4]]), np.concatenate([b, long[j, 4]]))
+        return a, b
 
     def cold(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        no = [pa.nulls(len(a), t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        no = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), bool)), pa.array(a), pa.array(b), *no], names=names)
 
     def raw(rows: np.ndarray) -> pa.RecordBatch:
         no = pa.nulls(len(rows), pa.int64())
-        key, long, place, n, bits, print_ = rows.T
-        columns = [pa.array(np.ones(len(rows), bool)), no, no, pa.array(key), pa.array(long == 1), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(print_)]
+        key, role, place, n, bits, print_ = rows.T
+        columns = [pa.array(np.ones(len(rows), bool)), no, no, pa.array(key), pa.array(role.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(print_)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, passing = np.zeros((0, keys + 5), np.int64), None
         for batch in batches:
-            columns = [c.cast(pa.int8()) if pa.types.is_boolean(c.type) else c for c in batch.columns]
-            rows = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in columns], axis=1)])
+            rows = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)])
             starts = np.flatnonzero(np.r_[True, (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)]) if len(rows) else np.zeros(0, int)
             sizes = np.diff(np.r_[starts, len(rows)])
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -370,7 +395,7 @@ def _meet_batches(keys: int, threshold: float, split: bool):
                     found = pairs(group[:, keys:])
                     a.append(found[0])
                     b.append(found[1])
-            yield cold(np.concatenate(a), np.concatenate(b))
+            yield cold(*_spanning(np.concatenate(a), np.concatenate(b)))
         yield cold(*pairs(rest[:, keys:]))
 
     names = [c.split()[0] for c in MET.split(", ")]
@@ -382,7 +407,7 @@ def _wanted_batches(signer: Signer):
         for batch in batches:
             for part in _in_parts(batch):
                 sets, prints = _each_set(signer, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["print", "signatures"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array([_narrow(s) for s in sets], pa.list_(pa.int32()))], names=["print", "signatures"])
 
     return run
 
@@ -390,47 +415,94 @@ def _wanted_batches(signer: Signer):
 LINKS = "print bigint, n_near bigint, likeness double, other bigint"
 
 
+def _alike(sizes: np.ndarray, flat: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of sets at least ``threshold`` alike, and their likeness: of side 0 with side 1, and any of side -1.
+
+    The sets' distinct signatures stand one after the other in ``flat``. Shared ones are matched and counted for some sets at a time.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    ends = np.searchsorted(flat, flat, "right")
+    met = side[owner] == 1
+    right = np.flatnonzero(met | (side[owner] < 0))  # entries that sets on the left may meet
+    many = np.r_[0, np.cumsum(met | (side[owner] < 0))]
+    # On one side an entry meets those behind it, else all of the same signature; these lie behind one another in ``right``.
+    begins = np.where(side[owner] < 0, np.arange(len(flat)) + 1, np.searchsorted(flat, flat, "left"))
+    lo, n = many[begins], many[ends] - many[begins]
+    left = np.flatnonzero((n > 0) & ~met)
+    left = left[np.argsort(owner[left], kind="stable")]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    per = max(1, SHARED // max(1, len(sizes)))  # sets on the left at a time
+    for first in range(0, len(sizes), per):
+        mine = left[slice(*np.searchsorted(owner[left], (first, first + per)))]
+        if not len(mine):
+            continue
+        both = np.zeros(min(per, len(sizes) - first) * len(sizes), np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(n[mine]) // SHARED)) + 1
+        for part in np.split(mine, cuts):
+            total = np.cumsum(n[part])
+            place = np.arange(total[-1]) - np.repeat(total - n[part], n[part]) + np.repeat(lo[part], n[part])
+            met_by = np.repeat((owner[part] - first) * len(sizes), n[part])
+            both += np.bincount(met_by + owner[right[place]], minlength=len(both))
+        at = np.flatnonzero(both)
+        i, j = at // len(sizes) + first, at % len(sizes)
+        likeness_ = both[at] / (sizes[i] + sizes[j] - both[at])
+        good = likeness_ >= threshold - 1e-9
+        found.append((i[good], j[good], likeness_[good]))
+    i, j, likeness_ = (np.concatenate(c) for c in zip(*found))
+    return i, j, likeness_
+
+
 def _likeness_batches(threshold: float, counted: bool):
-    """Likeness of the pairs of each cell, from the cell's sets, which come first (rows: x, y, a, b, signatures, class_id).
+    """Likeness of all alike pairs of each cell's sets (rows: x, y, a, b, signatures, class_id; sorted by the cell x, y).
 
+    ``a`` is the set's name; ``b`` is 0 or 1 where only sets of different blocks meet, null where all do. Rows without signatures are passed over.
     With ``counted`` no pair leaves the task: each set is told how many near ones it has in the cell, and the nearest.
     """
 
-    def told(links: dict[int, tuple[int, tuple]]) -> pa.RecordBatch:
-        rows = [(p, n, -best[0], None if best[1] else best[2]) for p, (n, best) in links.items()]
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["print", "n_near", "likeness", "other"])
+    def told(names: np.ndarray, classes: pa.Array, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        i, j, value = pairs
+        own, other, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([value, value])
+        # Of the nearest ones the smallest class, those without a name last.
+        unnamed, class_ = classes.is_null().to_numpy(zero_copy_only=False), classes.fill_null(0).to_numpy()
+        order = np.lexsort((class_[other], unnamed[other], -value, own))
+        own, other, value = own[order], other[order], value[order]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        nearest = classes.take(pa.array(other[starts]))
+        columns = [pa.array(names[own[starts]]), pa.array(np.diff(np.r_[starts, len(own)])), pa.array(value[starts]), nearest]
+        return pa.RecordBatch.from_arrays(columns, names=["print", "n_near", "likeness", "other"])
+
+    def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held)
+        names, classes = whole.column("a").to_numpy(), whole.column("class_id").combine_chunks()
+        signatures, side = whole.column("signatures"), whole.column("b").fill_null(-1).to_numpy()
+        sizes = pc.list_value_length(signatures).to_numpy().astype(np.int64)
+        pairs = _alike(sizes, pc.list_flatten(signatures).to_numpy(), side, threshold)
+        if not len(pairs[0]):
+            return
+        if counted:
+            yield told(names, classes, pairs)
+        else:
+            i, j = names[pairs[0]], names[pairs[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(pairs[2])], names=["a", "b", "likeness"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, sets, names, links = None, {}, {}, {}
+        cell, held = None, []
         for batch in batches:
-            x, y, a, b, _, named = (batch.column(k).to_pylist() if k != 4 else None for k in range(6))
-            out = []
-            for k in range(len(batch)):
-                if (x[k], y[k]) != cell:
-                    if links:
-                        yield told(links)
-                    cell, sets, names, links = (x[k], y[k]), {}, {}, {}
-                if b[k] is None:
-                    sets[a[k]], names[a[k]] = batch.column(4)[k].values.to_numpy(zero_copy_only=False), named[k]
-                    continue
-                both = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
-                likeness_ = both / (len(sets[a[k]]) + len(sets[b[k]]) - both)
-                if likeness_ < threshold - 1e-9:
-                    continue
-                if counted:
-                    for own, other in ((a[k], b[k]), (b[k], a[k])):
-                        # Of the nearest ones the smallest class, those without a name last.
-                        at, (n, best) = (-likeness_, names[other] is None, names[other] or 0), links.get(own, (0, None))
-                        links[own] = n + 1, at if best is None else min(best, at)
-                else:
-                    out.append((a[k], b[k], likeness_))
-            if counted:
+            batch = batch.filter(batch.column(4).is_valid())
+            if not batch.num_rows:
                 continue
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
-        if links:
-            yield told(links)
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]).tolist()
+            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+                if (x[at], y[at]) != cell:
+                    if held:
+                        yield from judged(held)
+                    cell, held = (x[at], y[at]), []
+                held.append(pa.RecordBatch.from_arrays(batch.slice(at, end - at).columns, names=["x", "y", "a", "b", "signatures", "class_id"]))
+        if held:
+            yield from judged(held)
 
     return run
 
@@ -440,37 +512,56 @@ def _part(size) -> object:
 
 
 def _candidates(spots: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different sets that share one of their rarest signatures and are not pruned."""
+    """Links (u, v) that span all pairs of different sets that share one of their rarest signatures and are not pruned."""
     one_each = maybe_member(spots, classes.select(F.col("class_id").alias("doc_id"), "print"), ["doc_id", "print"]).where("_maybe and n > 0")
     n = F.col("n")
     # The shorter set of a pair needs fewer heads: the pair shares at least 2t / (1 + t) of it.
     as_short = n - F.ceil(F.lit(2 * threshold / (1 + threshold)) * n - 1e-9) + 1
     low = _part(F.ceil(F.lit(threshold) * n - 1e-9))
     rows = one_each.select("print", "n", "bits", _part(n).alias("part"), low.alias("low"), as_short.alias("as_short"), F.posexplode("heads").alias("place", "s"))
-    yes, no = F.lit(True), F.lit(False)
     roles = F.array(
-        F.when(F.col("place") < F.col("as_short"), F.struct(no.alias("long"), F.col("part").alias("at"))),
-        F.struct(yes.alias("long"), F.col("part").alias("at")),
-        F.when(F.col("low") < F.col("part"), F.struct(yes.alias("long"), F.col("low").alias("at"))),
+        F.struct(F.when(F.col("place") < F.col("as_short"), EITHER).otherwise(LONG).alias("role"), F.col("part").alias("at")),
+        F.when(F.col("low") < F.col("part"), F.struct(F.lit(LONG).alias("role"), F.col("low").alias("at"))),
     )
     each = rows.select("print", "n", "bits", "place", "s", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
-    heads = each.select(F.xxhash64("r.at", "s").alias("key"), "r.long", "place", "n", "bits", "print")
+    heads = each.select(F.xxhash64("r.at", "s").alias("key"), "r.role", "place", "n", "bits", "print")
     met = scratch(heads.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_batches(1, threshold, True), MET), "met")
     pairs = met.where("not hot").select("a", "b")
-    hot = met.where("hot").select("key", "long", "place", "n", "bits", "print")
+    single = F.explode(F.when(F.col("role") == EITHER, F.array(F.lit(SHORT), F.lit(LONG))).otherwise(F.array("role"))).alias("role")
+    hot = met.where("hot").select("key", single, "place", "n", "bits", "print")
     blocks = hot.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / (GROUP // 2)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     grid = hot.join(blocks, F.col("key") == F.col("_key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = grid.select("key", F.when(F.col("long"), F.col("other")).otherwise(F.col("own")).alias("x"), F.when(F.col("long"), F.col("own")).otherwise(F.col("other")).alias("y"), "long", "place", "n", "bits", "print")
+    long = F.col("role") == LONG
+    cells = grid.select("key", F.when(long, F.col("other")).otherwise(F.col("own")).alias("x"), F.when(long, F.col("own")).otherwise(F.col("other")).alias("y"), "role", "place", "n", "bits", "print")
     split = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet_batches(3, threshold, False), MET)
-    return scratch(pairs.unionByName(split.select("a", "b")).distinct(), "candidates")
+    return pairs.unionByName(split.where("a is not null").select("a", "b")).toDF("u", "v")
+
+
+def _in_cells(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Every set in the cells of its component, as ``_likeness_batches`` takes them; any two sets of a component meet in one cell.
+
+    ``members`` (root, n: one row per set) tells how many blocks a component is cut into by a hash; there is a cell for each two blocks.
+    """
+    tasks = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count = F.count(F.lit(1))
+    spread = F.least(F.ceil(count / min(SPREAD, BLOCK)), F.lit(math.isqrt(2 * tasks) + 1))
+    blocks = F.greatest(spread, F.ceil(count / BLOCK), F.ceil(F.sum("n") / HELD)).cast("int")
+    cut = members.groupBy(F.col("root").alias("_root")).agg(blocks.alias("blocks")).where("blocks > 1")  # at most one row per SPREAD sets
+    dealt = sets.join(F.broadcast(cut), F.col("root") == F.col("_root"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low < high, (F.col("own") == high).cast("bigint")).alias("b")
+    cell = (low.cast("bigint") * F.col("blocks") + high).alias("y")
+    return dealt.select(F.col("root").alias("x"), cell, F.col("print").alias("a"), side, "signatures", "class_id").repartition("x", "y")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer | None = None, listed: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Classes of equal fingerprints, all pairs of them at least ``threshold`` alike, and what documents are told.
 
-    Returns (print, class_id, n_docs), (a, b, likeness) by prints, and (doc_id, told) for ``fingerprints``. A class is
-    named by its smallest doc_id (null if it has none). Unless ``listed``, links are counted where they are found and the second
+    Returns (print, class_id, n_docs, n), (a, b, likeness) by prints, and (doc_id, told) for ``fingerprints``. A class is
+    named by its smallest doc_id (null if it has none); ``n`` is the size of its set. Unless ``listed``, links are counted where they are found and the second
     result is None. Documents without a word are one class and in no
     pair. The order of signatures comes from frequencies of ``BUCKETS`` hash buckets over all documents.
     """
@@ -480,23 +571,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, signer: Signer |
     for row in narrow.mapInArrow(_frequency_batches(signer), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
         frequency[row["bucket"]] = row["n"]
     spots = scratch(narrow.mapInArrow(_head_batches(signer, frequency, threshold), SPOTS), "spots")
-    classes = scratch(spots.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs")), "classes")
-    pairs = _candidates(spots, classes, threshold)
+    classes = scratch(spots.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("n")), "classes")
+    member = components(_candidates(spots, classes, threshold))
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("_print")).distinct()
-    wanted = scratch(classes.join(involved, F.col("print") == F.col("_print")).select("print", F.col("class_id").alias("doc_id")), "compared")
+    wanted = scratch(classes.join(member, F.col("print") == F.col("node")).select("print", F.col("class_id").alias("doc_id"), "n", "root"), "compared")
     texts = maybe_member(narrow, wanted, ["doc_id"]).where("_maybe").select("doc_id", "text")
-    sets = texts.mapInArrow(_wanted_batches(signer), "print bigint, signatures array<bigint>")
-    named = wanted.select("print", F.col("doc_id").alias("class_id"))
+    sets = texts.mapInArrow(_wanted_batches(signer), "print bigint, signatures array<int>")
+    named = wanted.select("print", F.col("doc_id").alias("class_id"), "root")
     sets = scratch(sets.join(named, "print").dropDuplicates(["print"]), "compared-sets")
-    blocks = max(1, -(-wanted.count() // BLOCK))
-    x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int") for c in "ab")
-    celled = pairs.select(x.alias("x"), y.alias("y"), "a", "b")
-    needed = celled.select("x", "y", F.explode(F.array("a", "b")).alias("_print")).distinct().join(sets, F.col("_print") == F.col("print"))
-    rows = needed.select("x", "y", F.col("print").alias("a"), F.lit(None).cast("bigint").alias("b"), "signatures", "class_id")
-    nothing = {"signatures": F.lit(None).cast("array<bigint>"), "class_id": F.lit(None).cast("bigint")}
-    rows = rows.unionByName(celled.withColumns(nothing))
-    ordered = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.asc_nulls_first("b"))
+    ordered = _in_cells(sets, wanted).sortWithinPartitions("x", "y")
     nearest = F.min(F.struct((-F.col("likeness")).alias("l"), F.col("other").isNull(), F.col("other").alias("other"))).alias("best")
     if listed:
         alike = scratch(ordered.mapInArrow(_likeness_batches(threshold, False), "a bigint, b bigint, likeness double"), "alike")

@@ -424,3 +424,23 @@ def test_links_are_counted_where_they_are_found(spark):
     columns = [pa.array([0] * 6), pa.array([0] * 6), pa.array([1, 2, 3, 1, 1, 2]), pa.array([None, None, None, 2, 3, 3], pa.int64()), sets, pa.array([7, None, 9, None, None, None], pa.int64())]
     rows = [r for b in held(iter([pa.RecordBatch.from_arrays(columns, names=["x", "y", "a", "b", "signatures", "class_id"])])) for r in b.to_pylist()]
     assert [(r["print"], r["n_near"], r["other"]) for r in rows] == [(1, 2, None), (2, 2, 9), (3, 2, None)]
+
+
+@pytest.mark.parametrize("shared", [spotsigs.SHARED, 700])
+def test_a_group_of_near_copies_leaves_as_spanning_links(monkeypatch, shared):
+    """Rows that leave a signature's group grow with its sets, not with their pairs; cells count the same links as sets do one by one."""
+    monkeypatch.setattr(spotsigs, "SHARED", shared)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.r_[np.arange(3, 60), rng.integers(1000, 1 << 32, rng.integers(1, 20))]) for _ in range(150)]
+    sizes = np.array([len(s) for s in sets])
+    group = [(5, role, 0, n, 0, name) for role in (0, 1) for name, n in enumerate(sizes.tolist())]
+    names = ["key", "role", "place", "n", "bits", "print"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*group), types)], names=names)
+    links = [r for b in spotsigs._meet_batches(1, 0.8, True)(iter([rows])) for r in b.to_pylist()]
+    assert len(links) <= 149 and len({r["b"] for r in links}) <= 2
+    want = {(a, b) for a in range(150) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8}
+    for side in (np.full(150, -1), np.arange(150) % 2):
+        i, j, _ = spotsigs._alike(sizes, np.concatenate(sets).astype(np.int64), side, 0.8)
+        found = [(max(p), min(p)) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(found) == sorted(p for p in want if side[0] < 0 or side[p[0]] != side[p[1]]) and len(found) > 1000
