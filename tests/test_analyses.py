@@ -1,6 +1,8 @@
 import random
+import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -293,6 +295,43 @@ def test_linkage_pairs_stay_in_their_cells(spark, monkeypatch, cell_hits, at_onc
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Window" not in plan
 
 
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in blocks.split("\n") if "shuffle_" in f}
+
+
+def test_linkage_rounds_hold_a_share_of_the_copies(spark, monkeypatch, tmp_path):
+    """Rounds give the same counts and reports as all cells at once; each copies few hits, and its shuffle files and old sums go."""
+    monkeypatch.setattr(linkage, "CELL_HITS", 200)
+    monkeypatch.setattr(linkage, "TILE", 50)
+    monkeypatch.setattr(linkage, "ROUND_HITS", 500)
+    rng, rows = random.Random(22), []
+    depth = {k: rng.choice([2, 3, 4, 9, 19, 20]) for k in range(200)}
+    for read in range(80):
+        rows += [(read, 400, k, rng.random() < 0.5, pos, depth[k], 33) for pos, k in enumerate(rng.sample(range(200), 12))]
+    loaded = readset.Readset(None, spark.createDataFrame(rows, "read_id long, len long, kmer long, is_fwd boolean, pos int, depth int, info int"), None, P)
+    whole = {run: sorted(linkage.linkage_counts(linkage.test_pairs(loaded, 3, 20), run).collect()) for run in (1, 4)}
+    pairs = linkage.anchor_pairs(loaded, 3, 20).groupBy("anchor").agg(F.count("*"), F.sum("dx"), F.count_if("is_first")).collect()
+    folder = Path(session.shared_folder(spark, "x").removeprefix("file:")).parent
+    kept, files = set(folder.iterdir()), _shuffle_files(spark)
+    dealt = linkage.deal(loaded, 3, 20)
+    assert dealt.rounds > 3 and {p.name.split("-")[0] for p in set(folder.iterdir()) - kept} == {"dealt"}
+    got = linkage.by_anchor(dealt, False, lambda p: p.groupBy("anchor").agg(F.count("*"), F.sum("dx"), F.count_if("is_first")))
+    counts = {run: linkage.counts_of_rounds(dealt, run) for run in whole}
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - kept) == ["counts", "counts", "dealt", "reports"]
+    for _ in range(100):  # files go a moment after their query
+        if not _shuffle_files(spark) - files:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - files
+    assert sorted(got.collect()) == sorted(pairs) and len(pairs) > 100
+    assert {run: sorted(c.collect()) for run, c in counts.items()} == whole
+    copies = dealt.reads.select(F.size("m_mod").alias("n"), F.explode("dealt.cell").alias("cell"))
+    turns = copies.groupBy((F.col("cell") % dealt.rounds).alias("turn")).agg(F.sum("n").alias("hits")).collect()
+    most = max(500, 2 * len(rows))
+    assert sum(r["hits"] for r in turns) > 2 * most and max(r["hits"] for r in turns) <= 1.5 * most
+
+
 def test_thinning(spark):
     rng = random.Random(7)
     hits = sorted({(rng.randrange(9), rng.randrange(400)) for _ in range(900)})
